@@ -158,15 +158,15 @@ def examples_sql(src: str, step: int) -> str:
         (DAILY_SPLITS, DAILY_CUTOFF) if step == DAY else (HOURLY_SPLITS, HOURLY_CUTOFF)
     )
     day = f"CAST(make_timestamp(t.idx * {step}) AS DATE)"
-    joins = " ".join(
-        f"JOIN {src} f{h} ON f{h}.series = t.series AND f{h}.idx = t.idx + {h}" for h in HORIZONS
-    )
-    labels = ", ".join(f"f{h}.value AS y_{h}" for h in HORIZONS)
+    at = "max(value) OVER (PARTITION BY series ORDER BY idx RANGE BETWEEN {0} AND {0})"
+    labels = ", ".join(f"{at.format(f'{h} FOLLOWING')} AS y_{h}" for h in HORIZONS)
     items = ", ".join(f"{{'h': {h}, 'y': y_{h}}}" for h in HORIZONS)
-    return f"""ex AS (
-  SELECT t.series AS target_id, t.idx, t.value AS x1, t.value - p.value AS x2, {labels},
-         {split_sql(day, splits, cutoff, True)} AS split
-  FROM {src} t JOIN {src} p ON p.series = t.series AND p.idx = t.idx - 1 {joins}),
+    whole = " AND ".join(f"y_{h} IS NOT NULL" for h in HORIZONS)
+    return f"""steps AS (SELECT *, {at.format('1 PRECEDING')} AS prior, {labels} FROM {src}),
+ex AS (
+  SELECT t.series AS target_id, t.idx, t.value AS x1, t.value - t.prior AS x2,
+         {", ".join(f"y_{h}" for h in HORIZONS)}, {split_sql(day, splits, cutoff, True)} AS split
+  FROM steps t WHERE prior IS NOT NULL AND {whole}),
 exl AS (SELECT target_id, idx, split, x1, x2, unnest([{items}], recursive := true) FROM ex)"""
 
 
