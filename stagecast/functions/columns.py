@@ -169,14 +169,6 @@ def crossed(maximum: Column, valid: Column, expected: Column | int, threshold: C
     return F.when(maximum >= threshold, True).when(valid >= expected, False)
 
 
-def offset_quantiles(center: Column, offsets: dict[str, Column]) -> Column:
-    """Map of quantile label to the centre plus its offset, never below zero."""
-    parts = []
-    for label, offset in offsets.items():
-        parts += [F.lit(label), F.greatest(F.lit(0.0), center + offset)]
-    return F.create_map(*parts)
-
-
 def decross(values: Column) -> Column:
     return F.array_sort(values)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecast.constants import (
@@ -23,7 +23,6 @@ from stagecast.functions.columns import (
     freshness,
     iso_utc,
     micros,
-    offset_quantiles,
     quantiles_ordered,
     stable_id,
 )
@@ -59,7 +58,7 @@ def issue_state(readings: DataFrame, issues: DataFrame, width: int = 10 * DAY) -
     farther = F.last("o", ignorenulls=True).over(w.rangeBetween(-PRIOR_FAR, -PRIOR_MID))
     nearer = F.first("o", ignorenulls=True).over(w.rangeBetween(-PRIOR_MID, -PRIOR_NEAR))
     recent = w.rangeBetween(-RECENT, 0)
-    upto = w.rangeBetween(w.unboundedPreceding, 0)
+    upto = w.rangeBetween(Window.unboundedPreceding, 0)
     middle = F.col("us") - PRIOR_MID
     prior = (
         F.when(F.col("farther").isNull(), F.col("nearer.value"))
@@ -104,54 +103,66 @@ def issue_state(readings: DataFrame, issues: DataFrame, width: int = 10 * DAY) -
     ).withColumn("freshness", freshness(F.col("observation_age_minutes")))
 
 
-def _label(q: float) -> str:
-    return str(float(q))
+def _labels(quantiles: Sequence[float]) -> list[str]:
+    return [str(float(q)) for q in quantiles]
 
 
-def _point(horizon: int, quantiles: Column) -> Column:
-    return F.struct(
-        F.lit(horizon).alias("horizon_hours"),
-        (F.col("issued_at") + F.expr(f"interval {horizon} hours")).alias("valid_at"),
-        quantiles.alias("quantiles"),
+def _literals(values: Sequence) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _points(horizons: Sequence[int], labels: Sequence[str], values: Column) -> Column:
+    """Points of a forecast from values by horizon and quantile."""
+    return F.zip_with(
+        _literals(horizons),
+        values,
+        lambda h, v: F.struct(
+            h.alias("horizon_hours"),
+            (F.col("issued_at") + F.make_dt_interval(hours=h)).alias("valid_at"),
+            F.map_from_arrays(_literals(labels), v).alias("quantiles"),
+        ),
     )
 
 
-def _crossing(horizon: int, quantiles: Column) -> Column:
+def _crossings(horizons: Sequence[int], labels: Sequence[str], maximum: Column) -> Column:
     threshold = F.col("flood_stage_ft")
-    return F.struct(
-        F.lit("minor").alias("threshold_name"),
-        threshold.alias("threshold_ft"),
-        F.lit(horizon).alias("horizon_hours"),
-        (quantiles["0.5"] >= threshold).alias("median_crosses"),
-        ((quantiles["0.05"] < threshold) & (threshold <= quantiles["0.95"])).alias(
-            "forecast_interval_straddles"
+    low, middle, high = (labels.index(q) for q in ("0.05", "0.5", "0.95"))
+    return F.zip_with(
+        _literals(horizons),
+        maximum,
+        lambda h, v: F.struct(
+            F.lit("minor").alias("threshold_name"),
+            threshold.alias("threshold_ft"),
+            h.alias("horizon_hours"),
+            (v[middle] >= threshold).alias("median_crosses"),
+            ((v[low] < threshold) & (threshold <= v[high])).alias("forecast_interval_straddles"),
         ),
     )
 
 
 def _document(
-    state: DataFrame,
+    rows: DataFrame,
     version: Column,
     model_status: str,
     discharge_version: str,
     mapping: str,
     horizons: Sequence[int],
-    stage: list[Column],
-    maximum: list[Column],
-    discharge: list[Column],
+    labels: Sequence[str],
     mode: str,
 ) -> DataFrame:
-    """Forecast rows from columns holding the quantile maps by horizon."""
+    """Forecast rows from ``stage_q``, ``maximum_q`` and perhaps ``discharge_q``: values by
+    horizon and quantile. Arrays keep the generated code small."""
     snapshot = stable_id(
         F.col("target_id"), iso_utc(F.col("issued_at")), F.col("observed_hash"), F.lit(mode)
     )
-    empty = F.array().cast("array<struct<horizon_hours:int,valid_at:timestamp,quantiles:map<string,double>>>")
-
-    def points(maps: list[Column]) -> Column:
-        return F.array(*[_point(h, m) for h, m in zip(horizons, maps)]) if maps else empty
-
+    stage = _points(horizons, labels, F.col("stage_q"))
+    discharge = (
+        _points(horizons, labels, F.col("discharge_q"))
+        if "discharge_q" in rows.columns
+        else F.filter(stage, lambda p: F.lit(False))
+    )
     horizon_models = F.create_map(*[F.lit(x) for h in horizons for x in (h, mapping)])
-    return state.withColumn("snapshot_id", snapshot).select(
+    return rows.withColumn("snapshot_id", snapshot).select(
         stable_id(F.col("snapshot_id"), version).alias("id"),
         "target_id",
         "issued_at",
@@ -166,10 +177,10 @@ def _document(
         F.lit(mode).alias("mode"),
         "freshness",
         degradation_reasons(F.col("freshness")).alias("degradation_reasons"),
-        points(stage).alias("stage"),
-        points(maximum).alias("maximum_stage"),
-        points(discharge).alias("discharge"),
-        F.array(*[_crossing(h, m) for h, m in zip(horizons, maximum)]).alias("threshold_crossings"),
+        stage.alias("stage"),
+        _points(horizons, labels, F.col("maximum_q")).alias("maximum_stage"),
+        discharge.alias("discharge"),
+        _crossings(horizons, labels, F.col("maximum_q")).alias("threshold_crossings"),
         horizon_models.alias("horizon_model_mapping"),
     )
 
@@ -216,28 +227,38 @@ def persistence_forecasts(
     )
     rows = issuable(state).join(thresholds, "target_id").withColumn("slope", slope)
     base = F.col("observed_value")
-    centers = {
-        f"c_{h}": base + F.col("slope") * 6 * (1 - exp(-h / 6)) for h in horizons
-    }
-    rows = rows.withColumns(centers)
-    top: Column = base
-    tops = {}
-    for h in horizons:
-        top = F.greatest(top, F.col(f"c_{h}"))
-        tops[f"m_{h}"] = top
-    rows = rows.withColumns(tops)
-
-    def spread_map(center: Column, spread: Column) -> Column:
-        return offset_quantiles(center, {_label(q): z * spread for q, z in PERSISTENCE_OFFSETS.items()})
-
-    maps = {}
-    for h in horizons:
-        spread = 0.08 + 0.06 * h**0.5
-        flow = F.greatest(F.lit(0.0), 500 * F.pow(F.greatest(F.col(f"c_{h}"), F.lit(0.0)), 1.5))
-        maps[f"stage_{h}"] = spread_map(F.col(f"c_{h}"), F.lit(spread))
-        maps[f"max_{h}"] = spread_map(F.col(f"m_{h}"), F.lit(spread * 1.15))
-        maps[f"flow_{h}"] = spread_map(flow, F.greatest(F.lit(25.0), flow * 0.15))
-    rows = rows.withColumns(maps)
+    offsets = _literals(PERSISTENCE_OFFSETS.values())
+
+    def around(centers: Column, spreads: Column) -> Column:
+        return F.zip_with(
+            centers, spreads, lambda c, w: F.transform(offsets, lambda z: F.greatest(F.lit(0.0), c + z * w))
+        )
+
+    spread = [0.08 + 0.06 * h**0.5 for h in horizons]
+    rows = (
+        rows.withColumn(
+            "centers",
+            F.array(*[base + F.col("slope") * 6 * (1 - exp(-h / 6)) for h in horizons]),
+        )
+        .withColumn(
+            "tops",
+            F.transform(
+                "centers",
+                lambda c, i: F.greatest(base, F.array_max(F.slice("centers", F.lit(1), i + 1))),
+            ),
+        )
+        .withColumn(
+            "flows",
+            F.transform(
+                "centers",
+                lambda c: F.greatest(F.lit(0.0), 500 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1.5))),
+            ),
+        )
+        .withColumn("flow_spread", F.transform("flows", lambda q: F.greatest(F.lit(25.0), q * 0.15)))
+        .withColumn("stage_q", around(F.col("centers"), _literals(spread)))
+        .withColumn("maximum_q", around(F.col("tops"), _literals([w * 1.15 for w in spread])))
+        .withColumn("discharge_q", around(F.col("flows"), F.col("flow_spread")))
+    )
     return _document(
         rows,
         F.lit(PERSISTENCE_MODEL),
@@ -245,9 +266,7 @@ def persistence_forecasts(
         "separate-rating-proxy-v1",
         "no-nwp",
         horizons,
-        [F.col(f"stage_{h}") for h in horizons],
-        [F.col(f"max_{h}") for h in horizons],
-        [F.col(f"flow_{h}") for h in horizons],
+        _labels(PERSISTENCE_OFFSETS),
         mode,
     )
 
@@ -280,22 +299,42 @@ def ridge_forecasts(
             "target_id",
         )
     )
-    rows = rows.withColumns({f"c_{h}": linear_center(features, i) for i, h in enumerate(horizons)})
-    labels = [_label(q) for q in quantiles]
-    maps = {
-        f"stage_{h}": offset_quantiles(
-            F.col(f"c_{h}"),
-            {q: F.col("residual_quantile_offsets")[q][i] for q in labels},
+    labels = _labels(quantiles)
+    residuals = F.transform(
+        F.sequence(F.lit(0), F.lit(len(horizons) - 1)),
+        lambda i: F.transform(
+            _literals(labels), lambda q: F.get(F.col("residual_quantile_offsets")[q], i)
+        ),
+    )
+    base = F.col("observed_value")
+    rows = (
+        rows.withColumn(
+            "centers", F.array(*[linear_center(features, i) for i in range(len(horizons))])
         )
-        for i, h in enumerate(horizons)
-    }
-    rows = rows.withColumns(maps)
-    running = {q: F.col("observed_value") for q in labels}
-    tops = {}
-    for h in horizons:
-        running = {q: F.greatest(top, F.col(f"stage_{h}")[q]) for q, top in running.items()}
-        tops[f"max_{h}"] = F.create_map(*[x for q, top in running.items() for x in (F.lit(q), top)])
-    rows = rows.withColumns(tops)
+        .withColumn("residuals", residuals)
+        .withColumn(
+            "stage_q",
+            F.zip_with(
+                "centers", "residuals",
+                lambda c, r: F.transform(r, lambda o: F.greatest(F.lit(0.0), c + o)),
+            ),
+        )
+        .withColumn(
+            "maximum_q",
+            F.transform(
+                "stage_q",
+                lambda v, i: F.transform(
+                    v,
+                    lambda s, k: F.greatest(
+                        base,
+                        F.array_max(
+                            F.transform(F.slice("stage_q", F.lit(1), i + 1), lambda w: F.get(w, k))
+                        ),
+                    ),
+                ),
+            ),
+        )
+    )
     return _document(
         rows,
         F.concat(F.lit(f"{RIDGE_MODEL}-"), F.col("target_id")),
@@ -303,9 +342,7 @@ def ridge_forecasts(
         "unavailable",
         "no-nwp-target-only",
         horizons,
-        [F.col(f"stage_{h}") for h in horizons],
-        [F.col(f"max_{h}") for h in horizons],
-        [],
+        labels,
         mode,
     )
 

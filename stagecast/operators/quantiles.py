@@ -35,6 +35,35 @@ def _locate(counts: DataFrame, keys: Sequence[str], bucket: str, wanted: DataFra
     )
 
 
+def _wanted_bins(bins: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Bins that hold a wanted rank, a row per rank, counted from the bin's first value."""
+    by_bin = Window.partitionBy(*keys).orderBy("bin")
+    spans = bins.withColumns(
+        {
+            "through": F.sum("n").over(by_bin),
+            "group_size": F.sum("n").over(Window.partitionBy(*keys)),
+        }
+    ).withColumn("upto", F.col("through") - F.col("n"))
+    wanted = []
+    for p in probabilities:
+        exact = F.lit(float(p)) * (F.col("group_size") - 1)
+        for rank in (F.floor(exact), F.ceil(exact)):
+            wanted.append(
+                F.struct(
+                    F.lit(float(p)).alias("probability"),
+                    exact.alias("exact"),
+                    rank.cast("bigint").alias("rank"),
+                )
+            )
+    inside = F.filter(
+        F.array_distinct(F.array(*wanted)),
+        lambda w: (w["rank"] >= F.col("upto")) & (w["rank"] < F.col("through")),
+    )
+    return spans.select(
+        *keys, "bin", "lo", "hi", "group_size", "upto", F.inline(inside)
+    ).withColumn("rank", F.col("rank") - F.col("upto")).drop("upto")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
@@ -51,22 +80,7 @@ def exact_quantiles(
     bins = rows.groupBy(*keys, "bin").agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    probs = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    sizes = bins.groupBy(*keys).agg(F.sum("n").alias("group_size"))
-    targets = (
-        sizes.withColumn("probability", probs)
-        .withColumn("exact", F.col("probability") * (F.col("group_size") - 1))
-        .withColumn(
-            "rank",
-            F.explode(
-                F.array_distinct(
-                    F.array(F.floor("exact").cast("bigint"), F.ceil("exact").cast("bigint"))
-                )
-            ),
-        )
-        .withColumn("wanted_rank", F.col("rank"))
-    )
-    in_bin = _locate(bins, keys, "bin", targets)
+    in_bin = _wanted_bins(bins, keys, probabilities)
     # values of the wanted bins, counted by value; sub-bins keep each ordered group small
     ranges = in_bin.select(*keys, "bin", "lo", "hi").distinct()
     share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))

@@ -14,6 +14,7 @@ from stagecast.constants import HORIZONS, QUANTILES, RIDGE_MODEL, SPLITS
 from stagecast.functions.columns import split_of
 from stagecast.operators import models as m
 from stagecast.operators.features import TARGET_FEATURES
+from stagecast.session import materialise
 
 
 def with_split(examples: DataFrame, issue_day, cutoff: date, splits=SPLITS) -> DataFrame:
@@ -49,10 +50,17 @@ def train_ridge(
     variants = {"target_only": list(target_features)}
     if upstream_features:
         variants["target_plus_upstream"] = [*target_features, *upstream_features]
-    thresholds = m.label_thresholds(train, 0.95, horizons)
-    fitted = {name: m.fit_ridge(train, cols, horizons) for name, cols in variants.items()}
+    # a row per target each, used by every step below
+    thresholds = materialise(m.label_thresholds(train, 0.95, horizons), "label-thresholds")
+    fitted = {
+        name: materialise(m.fit_ridge(train, cols, horizons), f"ridge-{name}")
+        for name, cols in variants.items()
+    }
     metrics = {
-        name: _metrics(m.predict(validation, fitted[name], cols, horizons), thresholds, horizons, name)
+        name: materialise(
+            _metrics(m.predict(validation, fitted[name], cols, horizons), thresholds, horizons, name),
+            f"metrics-{name}",
+        )
         for name, cols in variants.items()
     }
     base = _metrics(
