@@ -1,0 +1,300 @@
+"""Payloads, envelopes, bulletins, snapshots, manifests and read views."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stagecast.constants import MINUTE
+from stagecast.functions.columns import floor_time, iso_utc, repair_two_digit_year
+from stagecast.operators import views
+from stagecast.operators.revisions import latest_by
+from stagecast.queries.bindings import CANON, OBS, observations, query, rounded, samples, table
+from stagecast.queries.upstream import _QUALIFIED, _qualified
+from stagecast.sources import bulletins as b
+from stagecast.sources import envelopes as v
+from stagecast.sources import payloads as p
+from stagecast.sources.demo import demo_observations
+from stagecast.sources.tables import fingerprint, frozen_lags, manifest
+
+
+def payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Landed payloads from ``events``: a feature collection per event type and minute."""
+    e = table(spark, d, "events")
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    properties = F.struct(
+        F.when(F.col("value") < 1, F.lit("-999999")).otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(F.col("value") < 50, time).alias("time"),
+        F.when((F.col("value") >= 50) & (F.col("value") < 200), time).alias("datetime"),
+        F.when(F.col("value") >= 200, time).alias("phenomenonTime"),
+        F.when(F.col("value") < 100, F.concat(F.lit("s-"), F.col("user_id"))).alias("time_series_id"),
+        F.concat(F.lit("USGS-"), F.col("user_id")).alias("monitoring_location_id"),
+        F.when(F.col("event_type") == "click", "Approved").otherwise("Provisional").alias("approval_status"),
+        F.when(F.col("event_type") == "view", F.array(F.lit("ICE"))).alias("qualifier"),
+        F.col("props").alias("note"),
+    )
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"))
+    return e.groupBy(
+        F.col("event_type").alias("gauge_id"), floor_time(F.col("ts"), MINUTE).alias("ingested_at")
+    ).agg(
+        F.to_json(F.struct(F.array_sort(F.collect_list(feature)).alias("features"))).alias("payload")
+    ).withColumn("parameter_code", F.when(F.col("gauge_id") == "view", "00060").otherwise("00065"))
+
+
+@query("""SELECT event_type AS gauge_id,
+  CASE WHEN value < 100 THEN 's-' || user_id ELSE 'USGS-' || user_id END AS time_series_id,
+  date_trunc('second', ts) AS event_time, CASE WHEN value < 1 THEN NULL ELSE value END AS value,
+  CASE WHEN event_type = 'view' THEN 'ft3/s' ELSE 'ft' END AS unit, event_type = 'click' AS approved,
+  CASE WHEN event_type = 'view' THEN 'ICE' ELSE '' END AS qualifiers
+FROM events""")
+def payload_observations(spark: SparkSession, d: str) -> DataFrame:
+    return p.payload_observations(payloads(spark, d)).select(
+        "gauge_id", "time_series_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+        "value", "unit", "approved", F.array_join("qualifiers", ",").alias("qualifiers"),
+    )
+
+
+def _archive(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(
+        F.lit("usgs").alias("source"),
+        F.concat_ws("/", F.lit("continuous"), "event_type", F.lit("00065"), F.date_format("ts", "yyyy-MM")).alias("resource"),
+        F.col("ts").alias("retrieved_at"),
+        F.col("props").alias("payload"),
+    )
+
+
+_ARCHIVE = """a AS (SELECT sha256(props) AS content_hash, 'continuous/' || event_type || '/00065/' ||
+    strftime(ts, '%Y-%m') AS resource, ts AS retrieved_at, octet_length(encode(props)) AS byte_count FROM events),
+entries AS (SELECT content_hash, resource, retrieved_at, byte_count, 'raw/usgs/' ||
+    strftime(retrieved_at, '%Y/%m/%d') || '/' || content_hash || '.gz' AS relative_path FROM a
+  QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY retrieved_at, resource) = 1)"""
+
+
+@query(f"WITH {_ARCHIVE} SELECT * FROM entries")
+def payload_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return p.catalogue_entries(_archive(spark, d)).drop("source")
+
+
+@query(f"""WITH {_ARCHIVE} SELECT content_hash, resource FROM entries
+WHERE content_hash NOT IN (SELECT content_hash FROM a WHERE retrieved_at < TIMESTAMP '2024-01-02')""")
+def payload_new(spark: SparkSession, d: str) -> DataFrame:
+    rows = _archive(spark, d)
+    stored = p.catalogue_entries(rows.where(F.col("retrieved_at") < F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz")))
+    return p.new_entries(p.catalogue_entries(rows), stored).select("content_hash", "resource")
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded events; those under 1 lose their contract version, those over 200 their payload."""
+    rows = observations(spark, d).withColumn(
+        "raw_payload", F.create_map(F.lit("archive_hash"), F.col("payload_hash"))
+    )
+    return v.encode(rows).withColumn("value", F.when(
+        F.get_json_object("value", "$.observation.value").try_cast("double") > 200,
+        F.regexp_replace("value", r'"raw_payload":\{[^}]*\}', '"raw_payload":"gone"'),
+    ).when(
+        F.get_json_object("value", "$.observation.value").isNull(),
+        F.regexp_replace("value", '"schema_version":1', '"schema_version":2'),
+    ).otherwise(F.col("value")))
+
+
+@query(f"""WITH {OBS} SELECT 'events' AS source, gauge_id || '-value' AS time_series_id, gauge_id, event_time,
+  value, ingested_at, payload_hash, payload_hash AS archive_hash FROM obs WHERE value <= 200""")
+def envelope_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    found = v.decode(messages(spark, d))
+    ntz = {n: F.col(n).cast("timestamp_ntz") for n in ("event_time", "ingested_at")}
+    return found.withColumns(ntz).select(
+        "source", "time_series_id", "gauge_id", "event_time", "value", "ingested_at", "payload_hash",
+        F.col("raw_payload")["archive_hash"].alias("archive_hash"),
+    )
+
+
+@query(f"""WITH {OBS} SELECT gauge_id, CASE WHEN value IS NULL THEN 'unsupported observation event'
+  ELSE 'no raw payload object' END AS reason, count(*) AS events
+FROM obs WHERE value IS NULL OR value > 200 GROUP BY 1, 2""")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    return v.dead_letters(messages(spark, d)).groupBy(F.get_json_object("value", "$.observation.gauge_id").alias("gauge_id"), "reason").agg(
+        F.count("*").alias("events")
+    )
+
+
+def bulletins(spark: SparkSession, d: str) -> DataFrame:
+    """A bulletin per order: a sequence of its first quantities, a continuation with the others, a
+    crest and two lines that cannot be read. A quantity of 50 stands for a missing value."""
+    item = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_shipdate"))).alias("i")
+    )
+    token = F.transform("i", lambda x: F.when(x["l_quantity"] == 50, "M").otherwise(F.format_string("%.1f", x["l_quantity"])))
+    rows = item.withColumn("tokens", token).withColumn(
+        "day", F.date_format(F.array_min(F.transform("i", lambda x: x["l_shipdate"])), "yyyyMMdd")
+    )
+    station = F.concat(F.lit("G"), F.col("l_orderkey"))
+    head = F.concat(
+        F.lit(".E "), station, F.lit(" "), F.col("day"), F.lit(" C /DC"), F.col("day"), F.lit("0630/DH06/DIH06/HGIFF "),
+        F.array_join(F.slice("tokens", 1, 2), "/"),
+    )
+    more = F.concat(F.lit(".E1 /"), F.array_join(F.slice("tokens", 3, 1000), " / "))
+    crest = F.concat(F.lit(".A "), station, F.lit(" "), F.col("day"), F.lit(" Z /DH1830/HGIFFX "), F.element_at("tokens", 1))
+    text = F.concat_ws(
+        "\n", F.lit("FORECAST BULLETIN"), F.lit(": remarks"), head, F.when(F.size("tokens") > 2, more), crest,
+        F.lit(".B UNSUPPORTED"), F.concat(F.lit(".E "), station, F.lit(" 950101 Z /DH06/DIH06/HGIFF 1.0")),
+    )
+    return rows.select(F.col("l_orderkey").alias("bulletin_id"), text.alias("text"))
+
+
+_LINES = """o AS (SELECT l_orderkey AS bulletin_id, l_quantity, row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_quantity, l_shipdate) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
+  min(l_shipdate) OVER (PARTITION BY l_orderkey) AS day FROM lineitem)"""
+
+
+@query(f"""WITH {_LINES} SELECT bulletin_id, CASE WHEN i < 2 THEN 2 ELSE 3 END AS line, 'G' || bulletin_id AS station,
+  'HGIFF' AS parameter, timezone('UTC', timezone('America/Chicago', day + to_hours(CAST(6 + 6 * i AS INTEGER)))) AS valid_at,
+  CASE WHEN l_quantity = 50 THEN NULL ELSE l_quantity END AS value,
+  timezone('UTC', timezone('America/Chicago', day + INTERVAL 390 MINUTE)) AS created_at, false AS is_crest FROM o
+UNION ALL SELECT bulletin_id, CASE WHEN n > 2 THEN 4 ELSE 3 END, 'G' || bulletin_id, 'HGIFFX',
+  day + INTERVAL 1110 MINUTE, CASE WHEN l_quantity = 50 THEN NULL ELSE l_quantity END, NULL, true FROM o WHERE i = 0""")
+def bulletin_values(spark: SparkSession, d: str) -> DataFrame:
+    ntz = {n: F.col(n).cast("timestamp_ntz") for n in ("valid_at", "created_at")}
+    return b.bulletin_values(bulletins(spark, d)).withColumns(ntz)
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT DISTINCT bulletin_id, n FROM o)
+SELECT bulletin_id, CASE WHEN n > 2 THEN 5 ELSE 4 END AS line, '.B UNSUPPORTED' AS text,
+  'unsupported construct' AS reason FROM k
+UNION ALL SELECT bulletin_id, CASE WHEN n > 2 THEN 6 ELSE 5 END,
+  '.E G' || bulletin_id || ' 950101 Z /DH06/DIH06/HGIFF 1.0',
+  'missing or unreadable date, zone, interval or forecast-stage parameter' FROM k""")
+def bulletin_errors(spark: SparkSession, d: str) -> DataFrame:
+    return b.bulletin_errors(bulletins(spark, d))
+
+
+@query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%y%m%d') AS token, o_orderdate,
+  DATE '1999-06-01' AS anchor FROM orders),
+c AS (SELECT *, CAST(try_strptime('19' || token, '%Y%m%d') AS DATE) AS candidate FROM o)
+SELECT o_orderkey, strftime(CASE WHEN date_diff('day', anchor, candidate) > 180
+  THEN candidate - INTERVAL 100 YEAR ELSE candidate END, '%Y-%m-%d') AS repaired FROM c""")
+def two_digit_years(spark: SparkSession, d: str) -> DataFrame:
+    day = repair_two_digit_year(F.date_format("o_orderdate", "yyMMdd"), F.lit(date(1999, 6, 1)).cast("timestamp"))
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("repaired"))
+
+
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Station metadata of each customer, captured at each order: thresholds by its priority."""
+    stage = F.round(F.col("o_totalprice") / 10000, 2)
+    text = F.format_string(
+        '{"flood":{"categories":{"action":{"stage":%s},"minor":{"stage":%s},"major":{"stage":-9999},"note":"none"}},'
+        '"datums":{"vertical":{"value":["NAVD88","%s"]}}}',
+        stage.cast("string"), (stage + 1).cast("string"), "o_orderpriority",
+    )
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("gauge_id"),
+        F.concat(F.lit("N"), "o_custkey").alias("nwps_id"),
+        F.col("o_orderdate").alias("captured_at"),
+        text.alias("metadata"),
+        "o_orderkey",
+    )
+
+
+_SNAPSHOTS = """m AS (SELECT CAST(o_custkey AS VARCHAR) AS gauge_id, o_orderdate, o_orderkey, o_orderpriority,
+  round(o_totalprice / 10000, 2) AS stage FROM orders),
+latest AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY gauge_id ORDER BY o_orderdate DESC, o_orderkey) = 1)"""
+
+
+def _latest_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    rows = metadata(spark, d)
+    newest = latest_by(rows, ["gauge_id"], F.col("captured_at").desc(), F.col("o_orderkey"))
+    return p.latest_snapshot(p.station_snapshots(newest))
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT gauge_id, 'action' AS threshold_name, stage AS threshold FROM latest
+UNION ALL SELECT gauge_id, 'minor', round(stage + 1, 2) FROM latest""")
+def official_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(p.threshold_rows(_latest_snapshots(spark, d)), "threshold", digits=2)
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT gauge_id, 'N' || gauge_id AS nwps_id, o_orderdate AS captured_at,
+  'NAVD88,' || o_orderpriority AS datum FROM latest""")
+def current_datum(spark: SparkSession, d: str) -> DataFrame:
+    return _latest_snapshots(spark, d).select(
+        "gauge_id", "nwps_id", "captured_at", F.array_join("datum", ",").alias("datum")
+    )
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS gauge_id, o_orderstatus AS body, min(o_orderdate) AS captured_at
+  FROM orders GROUP BY 1, 2)
+SELECT body, captured_at FROM m WHERE body <> 'P'
+QUALIFY row_number() OVER (PARTITION BY body ORDER BY captured_at, gauge_id) = 1""")
+def changed_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots are kept when their content is new; those of status P are stored already."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("gauge_id"), F.col("o_orderstatus").alias("body"),
+        F.col("o_orderdate").alias("captured_at"), F.sha2("o_orderstatus", 256).alias("content_hash"),
+    )
+    return p.changed_snapshots(rows, rows.where(F.col("body") == "P")).select("body", "captured_at")
+
+
+@query("""WITH g AS (SELECT CAST(s_suppkey AS VARCHAR) AS gauge_id, s_suppkey AS position FROM supplier),
+r AS (SELECT *, unnest(range(0, 49)) AS step FROM g)
+SELECT gauge_id, TIMESTAMP '2024-01-31' - to_minutes(CAST(15 * (48 - step) AS INTEGER)) AS event_time,
+  round(CAST(4.0 + position * 1.7 + step * 0.015 AS DOUBLE), 6) AS value FROM r""")
+def demo_readings(spark: SparkSession, d: str) -> DataFrame:
+    gauges = table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("gauge_id"), F.col("s_suppkey").alias("position")
+    )
+    found = demo_observations(gauges, datetime(2024, 1, 31))
+    return rounded(
+        found.select("gauge_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "value"), "value"
+    )
+
+
+def _basins(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(
+        F.lower("s_name").alias("slug"), F.col("s_name").alias("target_name"),
+        F.col("s_suppkey").cast("string").alias("gauge_id"), F.concat(F.lit("N"), "s_suppkey").alias("nwps_id"),
+    )
+
+
+@query("""WITH i AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN lower(s_name) WHEN 'A' THEN CAST(s_suppkey AS VARCHAR)
+    ELSE 'N' || s_suppkey END AS identifier, s_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT identifier, CAST(s_suppkey AS VARCHAR) AS gauge_id FROM i""")
+def basin_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers of all three kinds, resolved in bulk."""
+    sup = table(spark, d, "supplier")
+    asked = table(spark, d, "lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.when(F.col("l_returnflag") == "R", F.lower("s_name"))
+        .when(F.col("l_returnflag") == "A", F.col("s_suppkey").cast("string"))
+        .otherwise(F.concat(F.lit("N"), "s_suppkey")).alias("identifier")
+    ).distinct()
+    return views.basin_for(_basins(spark, d), asked).select("identifier", "gauge_id")
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS target_id, s_name AS target_name, max(l_shipdate) AS reported_at
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+def verification_summary(spark: SparkSession, d: str) -> DataFrame:
+    reports = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("target_id"), F.col("l_shipdate").alias("reported_at")
+    )
+    return views.verification(_basins(spark, d), reports).select("target_id", "target_name", "reported_at")
+
+
+@query("""SELECT event_id AS sequence, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100""")
+def event_log_page(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").select(F.col("event_id").alias("sequence"), "event_type")
+    return views.event_page(log, 500, 100)
+
+
+@query(f"WITH {_QUALIFIED} SELECT target_id, gauge_id, lag_hours FROM qualified WHERE suitable")
+def frozen_upstream_lags(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest's lags: those of suitable gauges."""
+    rows = manifest(_qualified(spark, d), {"events": table(spark, d, "events")}, date(2024, 1, 30))
+    return frozen_lags(rows)
+
+
+@query("SELECT count(*) AS rows, true AS same FROM events")
+def input_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """A table's fingerprint does not depend on the order of its rows."""
+    events = table(spark, d, "events")
+    one = fingerprint(events)
+    other = fingerprint(events.repartition(5, "user_id")).select(F.col("fingerprint").alias("again"), "rows")
+    return one.join(other, "rows").select("rows", (F.col("fingerprint") == F.col("again")).alias("same"))

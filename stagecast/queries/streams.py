@@ -1,0 +1,94 @@
+"""Streaming ingestion and event state, run to the end of what has landed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stagecast.operators.revisions import canonical
+from stagecast.queries.bindings import CANON, OBS, query
+from stagecast.queries.episodes import EVENT_SQL, event_readings
+from stagecast.queries.sources import messages
+from stagecast.session import scratch
+from stagecast.sources.envelopes import decode
+from stagecast.streaming import events as se
+from stagecast.streaming import ingest as si
+
+
+def _land(df: DataFrame, path: str, order: str, deliveries: int = 3, files: int = 3) -> None:
+    """Deliveries one after the other, each of a few files: files are taken in by age."""
+    cuts = [i / deliveries for i in range(1, deliveries)]
+    bounds = df.select(F.percentile_approx(order, cuts, 1000).alias("b")).first().b
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.where(F.col(order) >= low)
+        part = part if high is None else part.where(F.col(order) < high)
+        part.drop(order).repartition(files).write.mode("append").text(path)
+
+
+def _ingested(spark: SparkSession, d: str) -> str:
+    """Land the encoded events in files, a few per batch, and take them in."""
+    landing, root = scratch(spark, "landing"), scratch(spark, "table")
+    rows = messages(spark, d)
+    at = F.get_json_object("value", "$.observation.ingested_at").try_cast("timestamp").try_cast("double")
+    _land(rows.select("value", at.alias("at")), landing, "at")
+    values = si.file_values(spark, landing, files_per_batch=3)
+    si.run_available(values, root, scratch(spark, "checkpoint"))
+    return root
+
+
+@query(f"""WITH {OBS} SELECT gauge_id, event_time, value, payload_hash FROM obs WHERE value <= 200""")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    found = si.revisions_table(spark, _ingested(spark, d))
+    return found.select(
+        "gauge_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "value", "payload_hash"
+    )
+
+
+@query(f"""WITH {OBS} SELECT CASE WHEN value IS NULL THEN 'unsupported observation event'
+  ELSE 'no raw payload object' END AS reason, count(*) AS events
+FROM obs WHERE value IS NULL OR value > 200 GROUP BY 1""")
+def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    dead = si.dead_letter_table(spark, _ingested(spark, d))
+    return dead.groupBy("reason").agg(F.count("*").alias("events"))
+
+
+@query(f"""WITH {OBS} SELECT gauge_id || '-value' AS series_key, max(event_time) AS event_time
+FROM obs WHERE value <= 200 GROUP BY 1""")
+def stream_high_water(spark: SparkSession, d: str) -> DataFrame:
+    root = _ingested(spark, d)
+    last = si.revisions_table(spark, root).agg(F.max("batch_id").alias("b")).first().b or 0
+    return si.high_water_table(spark, root, last).select(
+        "series_key", F.col("event_time").cast("timestamp_ntz").alias("event_time")
+    )
+
+
+@query(f"""WITH o AS (WITH {OBS} SELECT * FROM obs WHERE value <= 200), {CANON.replace("FROM obs", "FROM o")}
+SELECT gauge_id, count(*) AS observations, CAST(0 AS BIGINT) AS differing FROM canon GROUP BY 1""")
+def stream_parity(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical series of the streamed table against that of the batch path."""
+    streamed = canonical(si.revisions_table(spark, _ingested(spark, d)))
+    batch = canonical(decode(messages(spark, d)))
+    keys = ["gauge_id", "event_time"]
+    both = streamed.select(*keys, F.col("payload_hash").alias("a")).join(
+        batch.select(*keys, F.col("payload_hash").alias("b")), keys, "full_outer"
+    )
+    return both.groupBy("gauge_id").agg(
+        F.count("*").alias("observations"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing")
+    )
+
+
+@query(EVENT_SQL)
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions from micro-batches that carry the state on."""
+    landing, root = scratch(spark, "readings"), scratch(spark, "events")
+    rows = event_readings(spark, d).withColumn("at", F.col("at").cast("timestamp"))
+    line = F.to_json(
+        F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    )
+    _land(rows.select(line.alias("value"), "seq"), landing, "seq")
+    readings = se.reading_values(spark, landing, files_per_batch=3)
+    si.run_available(readings, root, scratch(spark, "checkpoint"), se.observe_batch)
+    return se.transition_table(spark, root).select(
+        "gauge_id", "seq", F.col("at").cast("timestamp_ntz").alias("event_time"), "transition"
+    )

@@ -48,7 +48,7 @@ def _tokens(data: Column, header: bool) -> Column:
 def bulletin_lines(bulletins: DataFrame) -> DataFrame:
     """Record lines of ``(bulletin_id, text)`` with their parsed parts; ids are unique."""
     line = F.col("line")
-    parts, body = F.col("parts"), F.col("body")
+    body = F.col("body")
     lines = (
         bulletins.select("bulletin_id", F.posexplode(F.split("text", _LINE_ENDS)).alias("pos", "raw"))
         .withColumn("line", _stripped(F.col("raw")))
@@ -66,7 +66,10 @@ def bulletin_lines(bulletins: DataFrame) -> DataFrame:
         .withColumn("zone", zone_name(F.get("parts", F.lit(3))))
         .withColumn(
             "day",
-            F.when(parts[2].rlike("^[0-9]{8}$") & (F.size(parts) > 3), F.try_to_date(F.get("parts", F.lit(2)), "yyyyMMdd")),
+            F.when(
+                F.get("parts", F.lit(2)).rlike("^[0-9]{8}$"),
+                F.try_to_date(F.get("parts", F.lit(2)), "yyyyMMdd"),
+            ),
         )
     )
     hour = _group(body, r"/DH(\d{2})(\d{2})?", 1).cast("int")

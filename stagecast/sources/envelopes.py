@@ -9,6 +9,7 @@ from stagecast.schemas import ENVELOPE
 
 VERSION, EVENT_TYPE, TOPIC = 1, "observation_revision", "observations"
 _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
+_MOMENTS = ("event_time", "first_seen_at", "ingested_at", "source_modified_at")
 _FIELDS = (
     "source", "time_series_id", "gauge_id", "parameter_code", "event_time", "value", "unit",
     "first_seen_at", "ingested_at", "source_modified_at", "qualifiers", "approved",
@@ -25,10 +26,14 @@ def encode(observations: DataFrame) -> DataFrame:
         if "raw_payload" in observations.columns
         else F.create_map().cast("map<string,string>")
     )
+    fields = [
+        F.col(name).cast("timestamp").alias(name) if name in _MOMENTS else F.col(name)
+        for name in _FIELDS
+    ]
     envelope = F.struct(
         F.lit(VERSION).alias("schema_version"),
         F.lit(EVENT_TYPE).alias("event_type"),
-        F.struct(*_FIELDS, F.col("payload_hash").alias("raw_payload_hash")).alias("observation"),
+        F.struct(*fields, F.col("payload_hash").alias("raw_payload_hash")).alias("observation"),
         raw.alias("raw_payload"),
     )
     return observations.select(
