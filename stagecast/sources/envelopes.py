@@ -42,7 +42,8 @@ def encode(observations: DataFrame) -> DataFrame:
     )
 
 
-def _checked(values: DataFrame) -> DataFrame:
+def checked(values: DataFrame) -> DataFrame:
+    """Events parsed once: ``value``, the envelope ``e`` and ``reason`` where it breaks the contract."""
     e = F.from_json("value", ENVELOPE)
     o = "e.observation."
     required = ("source", "time_series_id", "gauge_id", "parameter_code", "event_time", "unit",
@@ -61,8 +62,17 @@ def _checked(values: DataFrame) -> DataFrame:
 
 def decode(values: DataFrame) -> DataFrame:
     """Revisions of the events that meet the contract."""
+    return accepted(checked(values))
+
+
+def dead_letters(values: DataFrame) -> DataFrame:
+    """Events that do not, with the reason."""
+    return refused(checked(values))
+
+
+def accepted(events: DataFrame) -> DataFrame:
     o = "e.observation."
-    return _checked(values).where(F.col("reason").isNull()).select(
+    return events.where(F.col("reason").isNull()).select(
         *[F.col(o + name).alias(name) for name in _FIELDS if name != "qualifiers" and name != "approved"],
         F.coalesce(o + "qualifiers", F.array().cast("array<string>")).alias("qualifiers"),
         F.col(o + "approved").alias("approved"),
@@ -71,6 +81,5 @@ def decode(values: DataFrame) -> DataFrame:
     )
 
 
-def dead_letters(values: DataFrame) -> DataFrame:
-    """Events that do not, with the reason."""
-    return _checked(values).where(F.col("reason").isNotNull()).select("value", "reason")
+def refused(events: DataFrame) -> DataFrame:
+    return events.where(F.col("reason").isNotNull()).select("value", "reason")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stagecast.operators.revisions import advance_high_water, new_revisions
 from stagecast.schemas import REVISION
-from stagecast.sources.envelopes import TOPIC, dead_letters, decode
+from stagecast.sources.envelopes import TOPIC, accepted, checked, refused
 from stagecast.sources.tables import read_table, with_month
 
 STORED = REVISION + ", event_month string, batch_id bigint"
@@ -61,7 +61,8 @@ def high_water_table(spark: SparkSession, root: str, batch_id: int) -> DataFrame
 def ingest_batch(events: DataFrame, batch_id: int, root: str) -> None:
     """Decode, keep what is new, set aside what breaks the contract, advance the marks."""
     spark = events.sparkSession
-    revisions = with_month(decode(events))
+    parsed = checked(events).persist()  # several outputs from one parse; lost parts are parsed again
+    revisions = with_month(accepted(parsed))
     span = revisions.agg(F.min("event_month").alias("first"), F.max("event_month").alias("last")).first()
     stored = revisions_table(spark, root).where(F.col("batch_id") != batch_id)
     if span.first is not None:
@@ -72,12 +73,13 @@ def ingest_batch(events: DataFrame, batch_id: int, root: str) -> None:
         .partitionBy("parameter_code", "event_month")
         .parquet(f"{root}/revisions/batch_id={batch_id}")
     )
-    dead_letters(events).write.mode("overwrite").parquet(f"{root}/dead/batch_id={batch_id}")
+    refused(parsed).write.mode("overwrite").parquet(f"{root}/dead/batch_id={batch_id}")
     (
         advance_high_water(high_water_table(spark, root, batch_id - 1), revisions)
         .write.mode("overwrite")
         .parquet(f"{root}/high_water/batch_id={batch_id}")
     )
+    parsed.unpersist()
 
 
 def start(
