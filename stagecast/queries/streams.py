@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagecast.operators.revisions import canonical
-from stagecast.queries.bindings import CANON, OBS, query
+from stagecast.queries.bindings import CANON, OBS, observations, query
 from stagecast.queries.episodes import EVENT_SQL, event_readings
 from stagecast.queries.sources import messages
 from stagecast.session import scratch
@@ -15,23 +17,29 @@ from stagecast.streaming import events as se
 from stagecast.streaming import ingest as si
 
 
-def _land(df: DataFrame, path: str, order: str, deliveries: int = 3, files: int = 3) -> None:
-    """Deliveries one after the other, each of a few files: files are taken in by age."""
-    cuts = [i / deliveries for i in range(1, deliveries)]
-    bounds = df.select(F.percentile_approx(order, cuts, 1000).alias("b")).first().b
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:]):
-        part = df if low is None else df.where(F.col(order) >= low)
-        part = part if high is None else part.where(F.col(order) < high)
-        part.drop(order).repartition(files).write.mode("append").text(path)
+DELIVERIES = (None, datetime(2024, 1, 11), datetime(2024, 1, 21), None)
+
+
+def _deliveries(df: DataFrame, time: str) -> list[DataFrame]:
+    """The rows in three parts, one after the other."""
+    at, parts = F.col(time), []
+    for first, after in zip(DELIVERIES, DELIVERIES[1:]):
+        part = df if first is None else df.where(at >= F.lit(first).cast("timestamp_ntz"))
+        parts.append(part if after is None else part.where(at < F.lit(after).cast("timestamp_ntz")))
+    return parts
+
+
+def _land(parts: list[DataFrame], path: str, files: int = 3) -> None:
+    """A few files per delivery; files are taken in by age."""
+    for part in parts:
+        part.repartition(files).write.mode("append").text(path)
 
 
 def _ingested(spark: SparkSession, d: str) -> str:
-    """Land the encoded events in files, a few per batch, and take them in."""
+    """Land the encoded events, a delivery per batch, and take them in."""
     landing, root = scratch(spark, "landing"), scratch(spark, "table")
-    rows = messages(spark, d)
-    at = F.get_json_object("value", "$.observation.ingested_at").try_cast("timestamp").try_cast("double")
-    _land(rows.select("value", at.alias("at")), landing, "at")
+    parts = _deliveries(observations(spark, d), "ingested_at")
+    _land([messages(part).select("value") for part in parts], landing)
     values = si.file_values(spark, landing, files_per_batch=3)
     si.run_available(values, root, scratch(spark, "checkpoint"))
     return root
@@ -68,7 +76,7 @@ SELECT gauge_id, count(*) AS observations, CAST(0 AS BIGINT) AS differing FROM c
 def stream_parity(spark: SparkSession, d: str) -> DataFrame:
     """The canonical series of the streamed table against that of the batch path."""
     streamed = canonical(si.revisions_table(spark, _ingested(spark, d)))
-    batch = canonical(decode(messages(spark, d)))
+    batch = canonical(decode(messages(observations(spark, d))))
     keys = ["gauge_id", "event_time"]
     both = streamed.select(*keys, F.col("payload_hash").alias("a")).join(
         batch.select(*keys, F.col("payload_hash").alias("b")), keys, "full_outer"
@@ -82,11 +90,9 @@ def stream_parity(spark: SparkSession, d: str) -> DataFrame:
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
     """Transitions from micro-batches that carry the state on."""
     landing, root = scratch(spark, "readings"), scratch(spark, "events")
-    rows = event_readings(spark, d).withColumn("at", F.col("at").cast("timestamp"))
-    line = F.to_json(
-        F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    )
-    _land(rows.select(line.alias("value"), "seq"), landing, "seq")
+    parts = _deliveries(event_readings(spark, d), "at")
+    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
+    _land([part.select(F.to_json(F.struct(*part.columns), times).alias("value")) for part in parts], landing)
     readings = se.reading_values(spark, landing, files_per_batch=3)
     si.run_available(readings, root, scratch(spark, "checkpoint"), se.observe_batch)
     return se.transition_table(spark, root).select(

@@ -24,7 +24,7 @@ def _features(payloads: DataFrame) -> DataFrame:
     )
     return (
         payloads.select("gauge_id", "parameter_code", "ingested_at", F.explode(features).alias("feature"))
-        .withColumn("p", parsed["properties"])
+        .withColumn("p", F.explode(F.array(parsed["properties"])))  # a generator, so that each feature is parsed once
         .withColumn("time_text", time)
         .withColumn("event_time", F.col("time_text").try_cast("timestamp"))
         .withColumn("number", strict_double(F.col("p.value")))
@@ -113,7 +113,7 @@ def new_entries(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
 def station_snapshots(metadata: DataFrame) -> DataFrame:
     """Snapshots of ``(gauge_id, nwps_id, captured_at, metadata)``: hash, thresholds, datum."""
     parsed = F.from_json("metadata", SNAPSHOT_METADATA)
-    return metadata.withColumn("m", parsed).select(
+    return metadata.withColumn("m", F.explode(F.array(parsed))).select(
         "gauge_id",
         "nwps_id",
         "captured_at",
