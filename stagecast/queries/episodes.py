@@ -26,6 +26,7 @@ from stagecast.queries.bindings import (
     split_sql,
     table,
 )
+from stagecast.session import materialise
 
 # the episode rule with days for hours: a step over two days is a gap
 RULE = {"gap": 2 * DAY, "quiet_for": 5 * DAY, "merge_within": 15 * DAY, "width": 120 * DAY}
@@ -118,10 +119,14 @@ src AS (SELECT d.series AS gauge_id, threshold_name, idx * {DAY} AS us, value, t
 
 
 def _threshold_episodes(spark: SparkSession, d: str) -> DataFrame:
-    found = daily_samples(spark, d)
+    """Read more than once by every report, so stored."""
+    found = materialise(daily_samples(spark, d), "samples")
     levels = training_thresholds(found, DAILY_SPLITS[0][2])
-    return e.flood_episodes(
-        found.join(levels, "gauge_id"), keys=["gauge_id", "threshold_name"], **RULE
+    return materialise(
+        e.flood_episodes(
+            found.join(levels, "gauge_id"), keys=["gauge_id", "threshold_name"], **RULE
+        ),
+        "episodes",
     )
 
 
@@ -144,23 +149,22 @@ def episodes_by_threshold(spark: SparkSession, d: str) -> DataFrame:
 _CLUSTERS = f"{_BY_THRESHOLD}, {cluster_sql('threshold_name')}"
 
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return e.storm_clusters(
-        _threshold_episodes(spark, d), ["threshold_name"], margin=MARGIN, width=90 * DAY
-    )
+def _clusters(episodes: DataFrame) -> DataFrame:
+    return e.storm_clusters(episodes, ["threshold_name"], margin=MARGIN, width=90 * DAY)
 
 
 @query(f"""WITH {_CLUSTERS}
 SELECT threshold_name, started_at, ended_at, gauges, episode_count FROM clusters""")
 def storm_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d).withColumn("gauges", F.array_join("gauge_ids", ",")).drop("gauge_ids")
+    return _clusters(_threshold_episodes(spark, d)).withColumn("gauges", F.array_join("gauge_ids", ",")).drop("gauge_ids")
 
 
 @query(f"""WITH {_EPISODES}, {cluster_sql()}
 SELECT started_at, ended_at, gauge_id, count(*) AS episode_count
 FROM c3 JOIN clusters USING (cluster) GROUP BY 1, 2, 3""")
 def storm_cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    return e.storm_cluster_members(_episodes(spark, d), margin=MARGIN, width=90 * DAY)
+    found = materialise(_episodes(spark, d), "episodes")
+    return e.storm_cluster_members(found, margin=MARGIN, width=90 * DAY)
 
 
 _MIDDLE = "CAST(make_timestamp((epoch_us(started_at) + epoch_us(last_above_at)) // 2) AS DATE)"
@@ -174,16 +178,17 @@ episode_counts AS (SELECT t.series AS gauge_id, t.threshold_name, n.split, coale
     AND c.split = n.split)"""
 
 
-def _counted(spark: SparkSession, d: str) -> DataFrame:
-    levels = training_thresholds(daily_samples(spark, d), DAILY_SPLITS[0][2])
+def _counted(spark: SparkSession, d: str, episodes: DataFrame) -> DataFrame:
+    names = F.explode(F.array(F.lit("training_p95_high_water"), F.lit("training_p99_high_water")))
+    gauges = daily_samples(spark, d).select("gauge_id").distinct().withColumn("threshold_name", names)
     return e.episodes_by_split(
-        _threshold_episodes(spark, d), levels, DAILY_CUTOFF, ["gauge_id", "threshold_name"], DAILY_SPLITS
+        episodes, gauges, DAILY_CUTOFF, ["gauge_id", "threshold_name"], DAILY_SPLITS
     )
 
 
 @query(f"WITH {_BY_THRESHOLD}, {_COUNTED} SELECT gauge_id, threshold_name, split, episodes FROM episode_counts")
 def episodes_by_split(spark: SparkSession, d: str) -> DataFrame:
-    return _counted(spark, d)
+    return _counted(spark, d, _threshold_episodes(spark, d))
 
 
 def _containing_sql() -> str:
@@ -201,13 +206,13 @@ cluster_counts AS (SELECT threshold_name, {_containing_sql()} AS split, count(*)
   FROM clusters GROUP BY 1, 2)"""
 
 
-def _cluster_counts(spark: SparkSession, d: str) -> DataFrame:
-    return e.clusters_by_split(_clusters(spark, d), DAILY_CUTOFF, ["threshold_name"], DAILY_SPLITS)
+def _cluster_counts(episodes: DataFrame) -> DataFrame:
+    return e.clusters_by_split(_clusters(episodes), DAILY_CUTOFF, ["threshold_name"], DAILY_SPLITS)
 
 
 @query(f"WITH {_CLUSTERS}, {_CLUSTER_COUNTS} SELECT * FROM cluster_counts")
 def clusters_by_split(spark: SparkSession, d: str) -> DataFrame:
-    return _cluster_counts(spark, d)
+    return _cluster_counts(_threshold_episodes(spark, d))
 
 
 _GATE = f"""{_CLUSTERS}, {_COUNTED}, {_CLUSTER_COUNTS},
@@ -227,8 +232,9 @@ SELECT threshold_name, gauge_id, enough_episodes, pooled_gate_passed,
   coalesce(pooled_gate_passed, false) AND enough_episodes AS eligible
 FROM own LEFT JOIN pooled USING (threshold_name)""")
 def eligibility_gate(spark: SparkSession, d: str) -> DataFrame:
-    pooled = e.pooled_gate(_cluster_counts(spark, d), ["threshold_name"])
-    return e.target_gate(_counted(spark, d), pooled, ["threshold_name"])
+    found = _threshold_episodes(spark, d)
+    pooled = e.pooled_gate(_cluster_counts(found), ["threshold_name"])
+    return e.target_gate(_counted(spark, d, found), pooled, ["threshold_name"])
 
 
 @query(f"""WITH {_GATE}, g AS (SELECT threshold_name,
@@ -307,7 +313,15 @@ def window_labels_by_horizon(spark: SparkSession, d: str) -> DataFrame:
     return window_labels(samples(spark, d), label_issues(spark, d), interval=4 * HOUR, width=5 * DAY)
 
 
-@query()
+_AUDIT = f"""{_BY_THRESHOLD},
+{cluster_sql('threshold_name')}, {_COUNTED}, {_CLUSTER_COUNTS}, {_GATE.split(_CLUSTER_COUNTS)[1].lstrip(", ")}"""
+
+
+@query(f"""WITH {_AUDIT}, u AS (SELECT gauge_id, threshold_name, count(*) AS episodes,
+  count(*) FILTER (uncertain_end) AS uncertain_episodes FROM episodes GROUP BY 1, 2)
+SELECT threshold_name, gauge_id, enough_episodes, pooled_gate_passed,
+  coalesce(pooled_gate_passed, false) AND enough_episodes AS eligible, episodes, uncertain_episodes
+FROM own LEFT JOIN pooled USING (threshold_name) LEFT JOIN u USING (gauge_id, threshold_name)""")
 def quality_audit_gates(spark: SparkSession, d: str) -> DataFrame:
     """The whole quality audit over daily gauges, ending in its gate."""
     rows = _as_revisions(spark, d)
@@ -320,7 +334,13 @@ def quality_audit_gates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {_EPISODES}, c AS (SELECT gauge_id, count(*) AS samples, make_timestamp(min(us)) AS first_observation,
+  make_timestamp(max(us)) AS last_observation FROM src GROUP BY 1),
+k AS (SELECT gauge_id, {split_sql(_MIDDLE, DAILY_SPLITS, DAILY_CUTOFF)} AS split, count(*) AS episodes
+  FROM episodes GROUP BY 1, 2)
+SELECT c.*, CAST(2557 AS BIGINT) AS expected_samples, round(samples / 2557.0, 6) AS coverage_fraction,
+  samples / 2557.0 >= 0.9 AS complete, n.split, coalesce(k.episodes, 0) AS episodes
+FROM c CROSS JOIN {_SPLIT_NAMES} LEFT JOIN k ON k.gauge_id = c.gauge_id AND k.split = n.split""")
 def stage_audit_coverage(spark: SparkSession, d: str) -> DataFrame:
     """The stage audit over daily gauges: coverage and episode counts."""
     rows = _as_revisions(spark, d)
@@ -328,7 +348,7 @@ def stage_audit_coverage(spark: SparkSession, d: str) -> DataFrame:
     report = stage_audit(
         rows, gauges, DAILY_CUTOFF, DAILY_START, DAILY_SPLITS, source="lineitem", per_day=1, **RULE
     )
-    return report["coverage"].join(report["episodes_by_split"], "gauge_id")
+    return rounded(report["coverage"].join(report["episodes_by_split"], "gauge_id"), "coverage_fraction")
 
 
 def _as_revisions(spark: SparkSession, d: str) -> DataFrame:

@@ -51,6 +51,11 @@ def daily_examples(spark: SparkSession, d: str) -> DataFrame:
     return with_split(found, day_of(F.col("idx")), DAILY_CUTOFF, DAILY_SPLITS)
 
 
+def stored_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The feature set as models read it: from a table, since each fit and score reads it again."""
+    return materialise(daily_examples(spark, d), "examples")
+
+
 def _split(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name)
 
@@ -250,8 +255,7 @@ def ridge_report(spark: SparkSession, d: str) -> DataFrame:
     return train_ridge(examples, x.upstream_names(_LAGS))["report"]
 
 
-def _scored(spark: SparkSession, d: str, split: str) -> DataFrame:
-    examples = daily_examples(spark, d)
+def _scored(examples: DataFrame, split: str) -> DataFrame:
     model = m.fit_ridge(_split(examples, "training"), FEATURES)
     return m.predict(_split(examples, split), model, FEATURES)
 
@@ -266,7 +270,7 @@ def persistence_mae(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_FIT} SELECT target_id, h AS horizon, count(*) AS examples, round(avg(abs(p - y)), 6) AS mae
 FROM scored WHERE split = 'validation' GROUP BY 1, 2""")
 def ridge_mae(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(m.long_mae(m.horizon_mae(_scored(spark, d, "validation"))), "mae")
+    return rounded(m.long_mae(m.horizon_mae(_scored(stored_examples(spark, d), "validation"))), "mae")
 
 
 _LEVELS = """levels AS (SELECT target_id, h, quantile_cont(y, 0.95) AS level FROM exl
@@ -280,8 +284,9 @@ def _high(prediction: str) -> str:
 @query(f"""WITH {_FIT}, {_LEVELS} SELECT target_id, round({_high('p')}, 6) AS high_stage_mae
 FROM scored JOIN levels USING (target_id, h) WHERE split = 'validation' GROUP BY 1""")
 def high_stage_mae(spark: SparkSession, d: str) -> DataFrame:
-    levels = m.label_thresholds(_split(daily_examples(spark, d), "training"))
-    return rounded(m.high_stage_mae(_scored(spark, d, "validation"), levels), "high_stage_mae")
+    examples = stored_examples(spark, d)
+    levels = m.label_thresholds(_split(examples, "training"))
+    return rounded(m.high_stage_mae(_scored(examples, "validation"), levels), "high_stage_mae")
 
 
 _Q_LIST = ", ".join(f"{{'probability': CAST({q} AS DOUBLE), 'residual': quantile_cont(y - p, {q})}}" for q in QUANTILES)
@@ -291,7 +296,7 @@ _Q_LIST = ", ".join(f"{{'probability': CAST({q} AS DOUBLE), 'residual': quantile
   FROM scored WHERE split = 'calibration' GROUP BY target_id, h)
 SELECT target_id, horizon, probability, round(residual, 6) AS residual FROM q""")
 def residual_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(m.residual_quantiles(_scored(spark, d, "calibration")), "residual")
+    return rounded(m.residual_quantiles(_scored(stored_examples(spark, d), "calibration")), "residual")
 
 
 _METRICS = f"""{_FIT}, {_LEVELS},
@@ -312,10 +317,10 @@ def _metric_rows(scored: DataFrame, levels: DataFrame) -> DataFrame:
 FROM changes JOIN high h USING (target_id)""")
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
     """Ridge as a challenger of persistence."""
-    examples = daily_examples(spark, d)
+    examples = stored_examples(spark, d)
     levels = m.label_thresholds(_split(examples, "training"))
     base = _metric_rows(m.persistence(_split(examples, "validation"), "target_stage_ft"), levels)
-    ridge = _metric_rows(_scored(spark, d, "validation"), levels).withColumn("model", F.lit("ridge"))
+    ridge = _metric_rows(_scored(examples, "validation"), levels).withColumn("model", F.lit("ridge"))
     return m.compare(base, ridge).select("target_id", "model", "promotion_allowed")
 
 
@@ -323,7 +328,7 @@ def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
   WHERE split = 'validation' GROUP BY 1, 2)
 SELECT target_id, round(avg(e), 6) AS headline_mae FROM mae WHERE h IN (1, 6, 24) GROUP BY 1""")
 def headline_score(spark: SparkSession, d: str) -> DataFrame:
-    found = m.headline_score(m.horizon_mae(_scored(spark, d, "validation")), HEADLINE_HORIZONS)
+    found = m.headline_score(m.horizon_mae(_scored(stored_examples(spark, d), "validation")), HEADLINE_HORIZONS)
     return rounded(found.select("target_id", "headline_mae"), "headline_mae")
 
 
@@ -333,7 +338,7 @@ SELECT split, target_id, seed AS selected_seed, round(score, 6) AS score FROM s
 QUALIFY row_number() OVER (PARTITION BY split, target_id ORDER BY score, seed) = 1""")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     """Lowest score per target and split; the horizon plays the part of a seed."""
-    examples = daily_examples(spark, d)
+    examples = stored_examples(spark, d)
     model = m.fit_ridge(_split(examples, "training"), FEATURES)
     mae = m.horizon_mae(m.predict(examples, model, FEATURES), keys=("target_id", "split"))
     scores = m.long_mae(mae).where(F.col("split").isNotNull()).select(
@@ -345,10 +350,10 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
 _PINBALL_Q = ", ".join(f"CAST({q} AS DOUBLE)" for q in QUANTILES)
 
 
-def _interval_rows(spark: SparkSession, d: str) -> DataFrame:
+def _interval_rows(examples: DataFrame) -> DataFrame:
     """Validation quantiles of the ridge: its centre plus the calibrated residual."""
-    offsets = m.residual_quantiles(_scored(spark, d, "calibration"))
-    scored = _scored(spark, d, "validation")
+    offsets = m.residual_quantiles(_scored(examples, "calibration"))
+    scored = _scored(examples, "validation")
     long = scored.select(
         "target_id",
         "idx",
@@ -363,7 +368,7 @@ def _interval_rows(spark: SparkSession, d: str) -> DataFrame:
     )
     return long.join(offsets, ["target_id", "horizon"]).select(
         "target_id", "idx", "horizon", F.col("probability").alias("quantile"),
-        (F.col("p") + F.col("residual")).alias("prediction"), "actual",
+        F.col("p").alias("center"), (F.col("p") + F.col("residual")).alias("prediction"), "actual",
     )
 
 
@@ -373,7 +378,7 @@ e AS (SELECT target_id, probability AS k, y - (p + residual) AS err FROM scored
   WHERE split = 'validation')
 SELECT target_id, round(avg(greatest(k * err, (k - 1) * err)), 6) AS pinball_loss FROM e GROUP BY 1""")
 def pinball_loss(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(m.pinball(_interval_rows(spark, d)), "pinball_loss")
+    return rounded(m.pinball(_interval_rows(stored_examples(spark, d))), "pinball_loss")
 
 
 @query(f"""WITH {_FIT}, q AS (SELECT target_id, h, unnest([{_Q_LIST}], recursive := true)
@@ -382,14 +387,9 @@ SELECT target_id, h AS horizon, idx, round(min(p - residual), 6) AS lowest, roun
   true AS ordered FROM scored JOIN q USING (target_id, h) WHERE split = 'validation' GROUP BY 1, 2, 3""")
 def decrossed_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Mirrored residuals arrive in falling order and are sorted per row and horizon."""
-    mirrored = _interval_rows(spark, d).join(
-        _scored(spark, d, "validation").select(
-            "target_id", "idx", F.inline(F.array(*[
-                F.struct(F.lit(h).alias("horizon"), F.col(f"p_{h}").alias("p")) for h in HORIZONS
-            ]))
-        ),
-        ["target_id", "idx", "horizon"],
-    ).withColumn("value", 2 * F.col("p") - F.col("prediction"))
+    mirrored = _interval_rows(stored_examples(spark, d)).withColumn(
+        "value", 2 * F.col("center") - F.col("prediction")
+    )
     rows = mirrored.groupBy("target_id", "horizon", "idx").agg(F.collect_list("value").alias("v"))
     return rows.withColumn("v", decross(F.col("v"))).select(
         "target_id", "horizon", "idx",
@@ -424,22 +424,23 @@ def tree_challenger(spark: SparkSession, d: str) -> DataFrame:
 FLOOD = 60.0
 
 
-def forecast_issues(spark: SparkSession, d: str) -> DataFrame:
+def forecast_issues(readings: DataFrame) -> DataFrame:
     """Issue times two hours and five minutes into every hour with a reading, so that ages run
     from fresh to suppressed."""
     hour = F.date_trunc("hour", "event_time").cast("timestamp_ntz")
-    return samples(spark, d).select(
+    return readings.select(
         "gauge_id", (hour + F.expr("interval 125 minutes")).alias("issued_at")
     ).distinct()
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    return f.issue_state(samples(spark, d), forecast_issues(spark, d), width=3 * DAY)
+    stored = materialise(samples(spark, d).select("gauge_id", "event_time", "value", "payload_hash"), "samples")
+    return f.issue_state(stored, forecast_issues(stored), width=3 * DAY)
 
 
 def _thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).select(
-        F.col("gauge_id").alias("target_id"), F.lit(FLOOD).alias("flood_stage_ft")
+    return table(spark, d, "events").select(
+        F.col("event_type").alias("target_id"), F.lit(FLOOD).alias("flood_stage_ft")
     ).distinct()
 
 
@@ -573,8 +574,9 @@ def quantile_order_check(spark: SparkSession, d: str) -> DataFrame:
 
 def hourly_models(spark: SparkSession, d: str) -> DataFrame:
     """Calibrated target-only ridge models of the hourly event gauges."""
-    examples = with_split(
-        x.horizon_examples(hourly(spark, d)), day_of(F.col("idx"), HOUR), HOURLY_CUTOFF, HOURLY_SPLITS
+    found = x.horizon_examples(hourly(spark, d))
+    examples = materialise(
+        with_split(found, day_of(F.col("idx"), HOUR), HOURLY_CUTOFF, HOURLY_SPLITS), "hourly-examples"
     )
     model = m.fit_ridge(_split(examples, "training"), FEATURES)
     scored = m.predict(_split(examples, "calibration"), model, FEATURES)

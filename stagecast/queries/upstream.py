@@ -103,15 +103,25 @@ def upstream_enough(spark: SparkSession, d: str) -> DataFrame:
     return u.enough_suitable(_qualified(spark, d))
 
 
-@query()
+_TRAINING = _SWEEP.replace(
+    "FROM canon WHERE value", "FROM canon WHERE event_time < TIMESTAMP '2024-01-21' AND value"
+)
+
+
+@query(f"""WITH {_TRAINING},
+cover AS (SELECT gauge_id, count(*) / 2880.0 AS coverage FROM canon WHERE value IS NOT NULL GROUP BY 1)
+SELECT l.target_id, l.gauge_id, CAST(lag_hours AS BIGINT) AS lag_hours, round(correlation, 6) AS correlation,
+  paired_hours, round(coverage, 6) AS coverage, coalesce(coverage >= 0.45, false) AND lag_hours IS NOT NULL AS suitable
+FROM links l LEFT JOIN selected USING (target_id, gauge_id) LEFT JOIN cover USING (gauge_id)""")
 def upstream_analysis_report(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage and training-only lags in one plan."""
+    """Coverage over all readings, lags from training readings only."""
     rows = observations(spark, d)
     report = upstream_analysis(
         rows, links(spark, d), None, date(2024, 1, 1), date(2024, 1, 30), date(2024, 1, 20), "events",
         "00065", "00065", 72, MINIMUM_PAIRS, 0.45,
     )
-    return report["qualified"]
+    found = report["qualified"].withColumn("lag_hours", F.col("lag_hours").cast("bigint"))
+    return rounded(found, "correlation", "coverage")
 
 
 # a nation is a target gauge's basin: its suppliers are the connected sites, the first of them the
