@@ -204,7 +204,10 @@ def storm_clusters(
     margin: int = 72 * HOUR,
     width: int = 30 * DAY,
 ) -> DataFrame:
-    """One row per cluster; its gauges sorted, its episodes counted."""
+    """One row per cluster; its gauges sorted, its episodes counted.
+
+    The array holds each gauge once. ``storm_cluster_members`` gives the same as rows.
+    """
     members = storm_cluster_members(episodes, keys, margin, width)
     return members.groupBy(*keys, "started_at", "ended_at").agg(
         F.array_sort(F.collect_set("gauge_id")).alias("gauge_ids"),
@@ -251,7 +254,11 @@ def clusters_by_split(
     return clusters.groupBy(*keys, where.alias("split")).agg(F.count("*").alias("clusters"))
 
 
-def pooled_gate(cluster_counts: DataFrame, keys: Sequence[str] = (), required=REQUIRED_CLUSTERS) -> DataFrame:
+def pooled_gate(
+    cluster_counts: DataFrame,
+    keys: Sequence[str] = ("threshold_name",),
+    required=REQUIRED_CLUSTERS,
+) -> DataFrame:
     """Whether the pooled clusters reach the required number in every named split."""
     seen = [
         F.coalesce(F.sum(F.when(F.col("split") == name, F.col("clusters"))), F.lit(0)) >= least
@@ -266,7 +273,7 @@ def pooled_gate(cluster_counts: DataFrame, keys: Sequence[str] = (), required=RE
 def target_gate(
     episode_counts: DataFrame,
     pooled: DataFrame,
-    keys: Sequence[str] = (),
+    keys: Sequence[str] = ("threshold_name",),
     required=REQUIRED_EPISODES,
 ) -> DataFrame:
     """Per gauge: eligible when the pooled gate passed and it has enough episodes of its own."""
@@ -276,16 +283,13 @@ def target_gate(
             F.coalesce(F.sum(F.when(F.col("split") == name, F.col("episodes"))), F.lit(0)) >= least
         )
     per_gauge = episode_counts.groupBy(*keys, "gauge_id").agg(enough.alias("enough_episodes"))
-    joined = (
-        per_gauge.join(pooled, list(keys), "left") if keys else per_gauge.crossJoin(pooled)
-    )
-    return joined.withColumn(
+    return per_gauge.join(pooled, list(keys), "left").withColumn(
         "eligible",
         F.coalesce(F.col("pooled_gate_passed"), F.lit(False)) & F.col("enough_episodes"),
     )
 
 
-def overall_gate(gated: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def overall_gate(gated: DataFrame, keys: Sequence[str] = ("threshold_name",)) -> DataFrame:
     """Eligible as a whole only when every gauge is; and the status text of the audit."""
     return gated.groupBy(*keys).agg(
         F.bool_and("eligible").alias("eligible"),

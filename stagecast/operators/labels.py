@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecast.constants import DAY, HORIZONS, HOUR, MINUTE
@@ -34,12 +34,14 @@ def window_labels(
     )
     w = in_block(["gauge_id"], "us")
     ahead = {h: w.rangeBetween(1, h * HOUR) for h in horizons}
+    # counts as differences of running counts, which Spark keeps up row by row
+    upto = {h: F.count("value").over(w.rangeBetween(Window.unboundedPreceding, h * HOUR)) for h in (0, *horizons)}
     found = (
         with_blocks(obs.unionByName(asked), "us", width, after=max(horizons) * HOUR)
         .where(F.col("home") | ~F.col("issue"))
         .withColumns(
             {f"max_{h}": F.max("value").over(frame) for h, frame in ahead.items()}
-            | {f"n_{h}": F.count("value").over(frame) for h, frame in ahead.items()}
+            | {f"n_{h}": upto[h] - upto[0] for h in horizons}
         )
         .where("issue")
     )

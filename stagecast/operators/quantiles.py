@@ -27,9 +27,9 @@ def _locate(counts: DataFrame, keys: Sequence[str], bucket: str, wanted: DataFra
     spans = counts.withColumn("through", F.sum("n").over(running)).withColumn(
         "upto", F.col("through") - F.col("n")
     )
-    found = wanted.join(spans, list(keys)) if keys else wanted.crossJoin(spans)
     return (
-        found.where((F.col("rank") >= F.col("upto")) & (F.col("rank") < F.col("through")))
+        wanted.join(spans, list(keys))
+        .where((F.col("rank") >= F.col("upto")) & (F.col("rank") < F.col("through")))
         .withColumn("rank", F.col("rank") - F.col("upto"))
         .drop("n", "through", "upto")
     )

@@ -85,7 +85,7 @@ def gap_summary(
     """
     keys = list(keys)
     rows = with_blocks(
-        samples.select(*keys, micros(F.col("event_time")).alias("us")).distinct(), "us", width
+        samples.select(*keys, micros(F.col("event_time")).alias("us")), "us", width
     )
     gap = F.col("gap")
     counts = [

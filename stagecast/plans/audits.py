@@ -113,12 +113,15 @@ def stage_audit(
         ),
         "samples",
     )
+    name = F.lit("flood_stage").alias("threshold_name")
     found = materialise(
-        e.flood_episodes(samples, "flood_stage_ft", **episode_rule), "episodes"
+        e.flood_episodes(samples, "flood_stage_ft", **episode_rule).select("*", name), "episodes"
+    )
+    clusters = e.storm_clusters(found, ["threshold_name"])
+    by_split = e.clusters_by_split(clusters, cutoff, ["threshold_name"], splits)
+    counted = e.episodes_by_split(
+        found, gauges.select("*", name), cutoff, ["gauge_id", "threshold_name"], splits
     )
-    clusters = e.storm_clusters(found)
-    by_split = e.clusters_by_split(clusters, cutoff, (), splits)
-    counted = e.episodes_by_split(found, gauges, cutoff, splits=splits)
     gate = e.target_gate(counted, e.pooled_gate(by_split))
     cover = c.overall_coverage(samples, start, cutoff, per_day=per_day)
     return {

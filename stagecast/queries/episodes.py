@@ -348,7 +348,9 @@ def stage_audit_coverage(spark: SparkSession, d: str) -> DataFrame:
     report = stage_audit(
         rows, gauges, DAILY_CUTOFF, DAILY_START, DAILY_SPLITS, source="lineitem", per_day=1, **RULE
     )
-    return rounded(report["coverage"].join(report["episodes_by_split"], "gauge_id"), "coverage_fraction")
+    return rounded(
+        report["coverage"].join(report["episodes_by_split"].drop("threshold_name"), "gauge_id"), "coverage_fraction"
+    )
 
 
 def _as_revisions(spark: SparkSession, d: str) -> DataFrame:

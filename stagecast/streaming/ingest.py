@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stagecast.operators.revisions import advance_high_water, new_revisions
 from stagecast.schemas import REVISION
-from stagecast.sources.envelopes import TOPIC, accepted, checked, refused
-from stagecast.sources.tables import read_table, with_month
+from stagecast.sources.envelopes import TOPIC, accepted, checked, encode, refused
+from stagecast.sources.tables import append_revisions, read_table, with_month
 
 STORED = REVISION + ", event_month string, batch_id bigint"
 MARKS = "source string, series_key string, event_time timestamp"
@@ -82,6 +82,23 @@ def ingest_batch(events: DataFrame, batch_id: int, root: str) -> None:
     parsed.unpersist()
 
 
+def ingest(observations: DataFrame, mode: str, root: str, landing: str) -> None:
+    """The one configured path for live readings: straight into the table, or onto the stream.
+
+    ``direct`` appends revisions under a root of its own. ``streaming`` leaves encoded events in
+    the landing folder for ``file_values``; a broker takes the same rows with
+    ``encode(...).write.format("kafka")``.
+    """
+    if mode == "direct":
+        path = f"{root}/revisions"
+        schema = REVISION + ", event_month string"
+        append_revisions(observations, read_table(observations.sparkSession, path, schema), path)
+    elif mode == "streaming":
+        encode(observations).select("value").write.mode("append").text(landing)
+    else:
+        raise ValueError(f"unknown ingestion mode {mode}")
+
+
 def start(
     values: DataFrame,
     root: str,

@@ -116,13 +116,15 @@ def test_clusters_over_a_boundary_belong_to_no_split(spark):
 
 
 def test_gates(spark):
-    counts = spark.createDataFrame([("training", 30), ("validation", 10), ("calibration", 10), (None, 4)], "split string, clusters bigint")
+    counts = spark.createDataFrame(
+        [("training", 30), ("validation", 10), ("calibration", 10), (None, 4)], "split string, clusters bigint"
+    ).withColumn("threshold_name", F.lit("minor"))
     assert e.pooled_gate(counts).first().pooled_gate_passed is True
     assert e.pooled_gate(counts.where("clusters <> 30")).first().pooled_gate_passed is False
     own = spark.createDataFrame(
         [("a", "training", 3), ("a", "calibration", 3), ("b", "training", 3), ("b", "calibration", 2)],
         "gauge_id string, split string, episodes bigint",
-    )
+    ).withColumn("threshold_name", F.lit("minor"))
     gated = e.target_gate(own, e.pooled_gate(counts))
     assert {r.gauge_id: r.eligible for r in gated.collect()} == {"a": True, "b": False}
     assert e.overall_gate(gated).first().eligible is False

@@ -227,3 +227,17 @@ def test_event_state_is_carried_between_batches(spark, tmp_path):
     batch(2, (4, "d", 11.0), (5, "e", 11.0), (6, "f", 13.0))
     got = sorted((r.seq, r.transition) for r in se.transition_table(spark, root).collect())
     assert got == [(0, "observed_flooding"), (4, "resolved"), (6, "observed_flooding")]
+
+
+def test_both_ingestion_modes_lead_to_the_same_table(spark, tmp_path):
+    rows = spark.createDataFrame([revision(), revision(payload="b"), revision("02089000", payload="c")], REVISION)
+    landing = str(tmp_path / "landing")
+    si.ingest(rows, "direct", str(tmp_path / "direct"), landing)
+    si.ingest(rows, "streaming", str(tmp_path / "stream"), landing)
+    si.run_available(si.file_values(spark, landing), str(tmp_path / "stream"), str(tmp_path / "checkpoint"))
+    keys = ["gauge_id", "event_time", "payload_hash", "value"]
+    direct = t.read_table(spark, str(tmp_path / "direct" / "revisions"), REVISION).select(keys)
+    streamed = si.revisions_table(spark, str(tmp_path / "stream")).select(keys)
+    assert sorted(direct.collect()) == sorted(streamed.collect()) and direct.count() == 3
+    with pytest.raises(ValueError):
+        si.ingest(rows, "both", str(tmp_path), landing)
