@@ -60,6 +60,7 @@ def _replayed(state: DataFrame) -> DataFrame:
 def observe_batch(readings: DataFrame, batch_id: int, root: str) -> None:
     """Transitions and new state of one micro-batch; ``seq`` is not negative."""
     spark = readings.sparkSession
+    readings = readings.persist()  # read once for the transitions and the state
     state = state_table(spark, root, batch_id - 1)
     both = _replayed(state).unionByName(readings)
     (
@@ -77,3 +78,4 @@ def observe_batch(readings: DataFrame, batch_id: int, root: str) -> None:
         .write.mode("overwrite")
         .parquet(f"{root}/state/batch_id={batch_id}")
     )
+    readings.unpersist()
