@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from stagecast.llm import mixing
+from stagecast.llm import mixing, simhash
 from stagecast.llm.common import REGISTRY
 
-__all__ = ["REGISTRY", "mixing"]
+__all__ = ["REGISTRY", "mixing", "simhash"]
