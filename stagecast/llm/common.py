@@ -36,8 +36,11 @@ def row_key(ident: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(ident).alias("rid"), F.xxhash64(F.col(text)).alias("rhash")]
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    return left["rid"].eqNullSafe(right["rid"]) & (left["rhash"] == right["rhash"])
+def keyed_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on (rid, rhash), null ids included; the right side's key is dropped."""
+    right = right.withColumnsRenamed({"rid": "other_rid", "rhash": "other_rhash"})
+    same = F.col("rid").eqNullSafe(F.col("other_rid")) & (F.col("rhash") == F.col("other_rhash"))
+    return left.join(right, same, how).drop("other_rid", "other_rhash")
 
 
 def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

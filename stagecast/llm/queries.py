@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from stagecast.llm import bpe, mixing, simhash
+from stagecast.llm import bpe, mixing, secrets, simhash
 from stagecast.llm.common import REGISTRY
 
-__all__ = ["REGISTRY", "bpe", "mixing", "simhash"]
+__all__ = ["REGISTRY", "bpe", "mixing", "secrets", "simhash"]
