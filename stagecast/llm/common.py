@@ -32,8 +32,8 @@ def whole_text(column: str = "text") -> Column:
 
 
 def row_key(ident: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns (rid, rhash) that tell rows apart by id and content; equal rows share a key."""
-    return [F.col(ident).alias("rid"), F.xxhash64(F.col(text)).alias("rhash")]
+    """Columns (rid, rhash) that tell rows apart by id and text; equal rows share a key."""
+    return [F.col(ident).alias("rid"), F.xxhash64(whole_text(text)).alias("rhash")]
 
 
 def keyed_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

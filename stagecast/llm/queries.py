@@ -1,6 +1,9 @@
 """All queries of this package."""
 
-from stagecast.llm import bpe, mixing, secrets, simhash
+import corpus_pipeline
+from stagecast.llm import bpe, mixing, quality, secrets, simhash
 from stagecast.llm.common import REGISTRY
 
-__all__ = ["REGISTRY", "bpe", "mixing", "secrets", "simhash"]
+REGISTRY["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
+
+__all__ = ["REGISTRY", "bpe", "mixing", "quality", "secrets", "simhash"]

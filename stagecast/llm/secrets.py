@@ -152,8 +152,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(rid, rhash, strong, spans) of every row: the base spans and all spans, by start and kind.
 
-    Null and empty texts have no spans; repeated rows each get theirs; ``rhash`` is null where
-    the text is. Texts are read once; what they gave is kept as a table in the shared folder.
+    Null and empty texts have no spans; repeated rows each get theirs. Texts are read once; what they gave is kept as a table in the shared folder.
     """
     found = materialise(candidates(docs), "candidates")
     rows = keyed_join(found, linked(found, scope), "left").select(
