@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import query, table, text_slices, whole_text
+from stagecast.llm.common import cuts, query, small_batches, table, text_slices, whole_text
 from stagecast.llm.pretokens import Encoder, gather, pattern_classes
 
 #: Bytes of text worked on at once; a longer document is a piece of its own.
@@ -129,7 +129,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_offsets: bool =
     each token covers. The ranks at ``path`` are read on the driver. Null texts count as
     empty and give no ids; repeated rows stay; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     tokens = read_ranks(path)
     encoder = shared_encoder(spark, tokenizer_json(tokens), pattern_classes())
     sizes = spark.sparkContext.broadcast(_token_table(tokens)[1])
@@ -159,22 +159,23 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     A character split between tokens is whole again once their bytes stand side by side;
     cast ``decoded`` to string for the text. An id outside the vocabulary is an error.
     """
-    starts_lengths_pool = rows.sparkSession.sparkContext.broadcast(_token_table(read_ranks(path)))
+    starts_lengths_pool = small_batches(rows.sparkSession).sparkContext.broadcast(_token_table(read_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, lengths, pool = starts_lengths_pool.value
         for batch in batches:
-            column = batch.column(ids)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.array(column.value_lengths().fill_null(0), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(lengths[flat])])
-            bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-            data = gather(flat, starts, lengths, pool)
-            whole = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(column), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
-            )
-            whole = pa.compute.if_else(column.is_null(), None, whole.cast(pa.binary()))
-            yield batch.append_column("decoded", whole)
+            counts = np.array(batch.column(ids).value_lengths().fill_null(0), dtype=np.int64)
+            for a, b in cuts(counts, SLICE // 4):
+                rows = batch.slice(a, b - a)
+                flat = rows.column(ids).flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(lengths[flat])])
+                bounds = ends[np.concatenate([[0], np.cumsum(counts[a:b])])]
+                data = gather(flat, starts, lengths, pool)
+                whole = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), b - a, [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+                )
+                whole = pa.compute.if_else(rows.column(ids).is_null(), None, whole.cast(pa.binary()))
+                yield rows.append_column("decoded", whole)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, decoded binary")

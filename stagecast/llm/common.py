@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keep the Arrow batches of the session small: rows here hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return spark
+
+
 def whole_text(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import cuts, mix64, query, table, whole_text
+from stagecast.llm.common import cuts, mix64, query, small_batches, table, whole_text
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_347_823_043, 1_690_451_171)
@@ -231,7 +231,7 @@ def edits(docs: DataFrame) -> DataFrame:
     to the block before it, so the texts cross one shuffle and no window runs over all rows.
     Null texts are empty; a lone row follows itself; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = spark.sparkContext.broadcast(_bounds(docs.select("doc_id"), BLOCKS * n))
 

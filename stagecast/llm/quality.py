@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import query, table, text_slices, whole_text
+from stagecast.llm.common import query, small_batches, table, text_slices, whole_text
 
 HALF, WIDTH, FILTERS, HIDDEN = 128, 4, 16, 24
 PAD = 256
@@ -210,7 +210,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     The score is the probability of good quality. Null and empty texts get the score of an
     empty text; repeated rows get equal scores, as nothing but the text enters.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import keyed_join, query, row_key, table, whole_text
+from stagecast.llm.common import keyed_join, query, row_key, small_batches, table, whole_text
 from stagecast.session import materialise
 
 #: Characters within which complementary parts belong together.
@@ -105,6 +105,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(docs: DataFrame) -> DataFrame:
     """(rid, rhash, strong, weak) of every row of documents (doc_id, text), with arrays of spans."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), whole_text().alias("text")).select(*row_key(), "text")
     return rows.mapInArrow(_scan, f"rid {kind}, rhash long, strong array<{SPAN}>, weak array<{SPAN}>")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import query, row_key, table, whole_text
+from stagecast.llm.common import query, row_key, small_batches, table, whole_text
 from stagecast.llm.graph import components
 from stagecast.session import materialise
 
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty; empty texts have fingerprint 0; repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(*row_key(), whole_text().alias("text"))
     return rows.mapInArrow(_fingerprints, f"rid {kind}, rhash long, fp long")
