@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stagecast.llm.blocks import in_blocks
 from stagecast.llm.common import cuts, mix64, query, small_batches, table, whole_text
 
 PRIMES = (2**31 - 1, 2**31 - 19)
@@ -28,8 +29,6 @@ SPAN, BINS = 8, 128
 EMPTY = 0xFFFF
 #: Characters worked on at once; a longer document is a piece of its own.
 SLICE = 1 << 19
-#: Blocks of consecutive ids per shuffle partition, and ids sampled per block to find them.
-BLOCKS, SAMPLED = 4, 32
 
 
 class Prefixes:
@@ -211,52 +210,20 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bounds(ids: DataFrame, blocks: int) -> np.ndarray:
-    """Ids that begin a block, ascending: of a sample of SAMPLED a block, and the largest id."""
-    n, top = ids.agg(F.count("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    share = min(1.0, SAMPLED * blocks / n)
-    some = ids.filter("doc_id is not null").sample(share, seed=11) if share < 1 else ids.filter("doc_id is not null")
-    some = np.sort(some.toPandas()["doc_id"].to_numpy())
-    return np.unique(np.append(some[:: max(1, len(some) // blocks)], top))
-
-
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit with the next document's beginning.
 
     The next document is the one that follows in descending order of doc_id (a whole number;
-    null last, equal ids by text hash); the first follows the last. Ids are cut into blocks
-    at sampled ids, BLOCKS for each shuffle partition, and the first row of a block is copied
-    to the block before it, so the texts cross one shuffle and no window runs over all rows.
+    null last, equal ids by text hash); the first follows the last. The first row of a block
+    of ids is copied to the block before it, so the texts cross one shuffle and no window
+    runs over all rows.
     Null texts are empty; a lone row follows itself; an empty table gives an empty table.
     """
-    spark = small_batches(docs.sparkSession)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = spark.sparkContext.broadcast(_bounds(docs.select("doc_id"), BLOCKS * n))
-
-    @F.pandas_udf("array<struct<block:int,copy:boolean>>")
-    def blocks(ids):
-        asc = bounds.value
-        last = max(len(asc) - 1, 0)
-        known = ids.notna().to_numpy()
-        value = ids.where(known, 0).to_numpy(dtype=np.int64)
-        place = np.searchsorted(asc, value, side="left")
-        own = np.where(known, len(asc) - place - 1, last)
-        opens = known & (place < len(asc))
-        opens[opens] = asc[place[opens]] == value[opens]
-        before = np.where(own == 0, last, own - 1)
-        import pandas as pd
-
-        return pd.Series(
-            [[(o, False), (p, True)] if c else [(o, False)] for o, c, p in zip(own.tolist(), opens, before.tolist())]
-        )
-
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", whole_text().alias("text"))
-    rows = rows.withColumn("at", F.explode(blocks(F.col("doc_id").cast("long"))))
-    rows = rows.select("at.*", "doc_id", "text", F.xxhash64("text").alias("rhash"))
-    rows = rows.repartition(n, "block").sortWithinPartitions("block", "copy", F.col("doc_id").desc_nulls_last(), "rhash")
+    rows = in_blocks(rows, "doc_id", descending=True, heads=True)
+    rows = rows.sortWithinPartitions("block", "copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return rows.select("block", "copy", "doc_id", "text").mapInArrow(_stream, f"doc_id {kind}, {EDITS}")
 
 

@@ -32,21 +32,19 @@ def pattern_classes() -> np.ndarray:
 def library_classes(tokenizer) -> np.ndarray:
     """The class of each code point, asked of a tokenizer's own byte-level pre-tokenizer.
 
-    A letter joins a letter before it, a number a number, and any other printing character
-    a full stop; what joins none of them is white space.
+    All code points in order are cut into stretches of one class (a space belongs to the
+    stretch after it). A stretch is of letters if its end joins a letter before it, and so
+    on; what joins nothing is white space.
     """
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str
     valid = np.r_[0:0xD800, 0xE000:TOP].astype(np.uint32)
+    spans = [span for _, span in pieces(valid.tobytes().decode("utf-32-le"))]
     table = np.full(TOP, SPACE, dtype=np.uint8)
-    for kind, mark in ((LETTER, "a"), (NUMBER, "1"), (OTHER, ".")):
-        for at in range(0, len(valid), 1 << 16):
-            some = valid[at : at + (1 << 16)]
-            probe = np.empty((len(some), 3), dtype=np.uint32)
-            probe[:, 0], probe[:, 1], probe[:, 2] = ord(mark), some, ord("\n")
-            text = probe.tobytes().decode("utf-32-le")
-            starts = {a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text)}
-            joined = [3 * i + 1 not in starts for i in range(len(some))]
-            table[some[joined]] = kind
-    table[ord("'")] = OTHER
+    for start, stop in spans:
+        for kind, mark in ((LETTER, "a"), (NUMBER, "1"), (OTHER, ".")):
+            if len(pieces(mark + chr(valid[stop - 1]))) == 1:
+                table[valid[start:stop]] = kind
+    table[32] = SPACE
     return table
 
 
