@@ -1,9 +1,9 @@
 """All queries of this package."""
 
 import corpus_pipeline
-from stagecast.llm import bpe, embeddings, fingerprints, mixing, quality, secrets, simhash, tokenfiles
+from stagecast.llm import bpe, embeddings, fingerprints, mixing, quality, secrets, simhash, substrings, tokenfiles
 from stagecast.llm.common import REGISTRY
 
 REGISTRY["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
 
-__all__ = ["REGISTRY", "bpe", "embeddings", "fingerprints", "mixing", "quality", "secrets", "simhash", "tokenfiles"]
+__all__ = ["REGISTRY", "bpe", "embeddings", "fingerprints", "mixing", "quality", "secrets", "simhash", "substrings", "tokenfiles"]
