@@ -107,8 +107,21 @@ class Encoder:
 
     def rows(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array and the rows' boundaries in it."""
+        starts, spans, edges = self.pieces(raw, bounds)
+        ids = gather(spans, self.starts, self.lengths, self.ids)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[spans])])
+        return ids, ends[np.searchsorted(starts, edges)]
+
+    def counts(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the pre-tokens of all rows begin, their numbers of ids, the rows' bounds; in characters."""
+        starts, spans, edges = self.pieces(raw, bounds)
+        return starts, self.lengths[spans], edges
+
+    def pieces(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and numbers of all rows' pre-tokens, and the rows' bounds in characters."""
         if not len(raw):
-            return np.zeros(0, dtype=np.int32), np.zeros(len(bounds), dtype=np.int64)
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(len(bounds), dtype=np.int64)
         text = raw.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         if len(points) == len(raw):
@@ -121,10 +134,7 @@ class Encoder:
         stops = np.append(starts[1:], len(points))
         hashes = mix64(span_sums(mix64(points + np.uint64(1)), starts, stops, self.powers))
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        spans = self._numbers(distinct, text, starts[at], stops[at])[back]
-        ids = gather(spans, self.starts, self.lengths, self.ids)
-        ends = np.concatenate([[0], np.cumsum(self.lengths[spans])])
-        return ids, ends[np.searchsorted(starts, edges)]
+        return starts, self._numbers(distinct, text, starts[at], stops[at])[back], edges
 
     def _numbers(self, hashes, text, starts, stops) -> np.ndarray:
         if len(self.known) > KEPT:
