@@ -40,9 +40,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     found = materialise(simhash.near_copies(docs), "near-copies")
     heads = found.filter(F.col("rid").eqNullSafe(F.col("component_id")))
-    # null ids form their own set of groups, told apart by fingerprint
-    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp"))]
-    first = Window.partitionBy(*group).orderBy("fp", "rhash")
+    first = Window.partitionBy("component").orderBy("fp", "rhash")
     heads = heads.withColumn("place", F.row_number().over(first)).filter("place = 1").select("rid", "rhash")
     kept = keyed_join(_whole(docs), materialise(heads, "kept"))
     # repeated rows share a key: one of them is enough

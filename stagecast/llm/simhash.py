@@ -195,9 +195,10 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) from (rid, fp): the smallest id reachable over links, per fingerprint.
+    """(fp, component, component_id) from (rid, fp): the smallest fingerprint and id reachable over links.
 
-    Ids that are null count only where a component has no other.
+    Ids that are null count only where a component has no other. As ids may repeat, it is
+    ``component`` that tells groups apart.
     """
     smallest = rows.groupBy("fp").agg(F.min("rid").alias("rid"))
     smallest = materialise(smallest, "fingerprints")
@@ -205,11 +206,11 @@ def groups(rows: DataFrame) -> DataFrame:
     named = smallest.join(linked, smallest["fp"] == linked["node"], "left")
     named = named.select("fp", "rid", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("rid").alias("component_id"))
-    return materialise(named.join(ids, "component").select("fp", "component_id"), "groups")
+    return materialise(named.join(ids, "component").select("fp", "component", "component_id"), "groups")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(rid, rhash, fp, component_id) of every row of documents; see ``fingerprints``, ``groups``."""
+    """(rid, rhash, fp, component, component_id) of every row; see ``fingerprints``, ``groups``."""
     rows = materialise(fingerprints(docs), "simhash")
     return rows.join(groups(rows), "fp")
 
