@@ -38,9 +38,9 @@ def issue_state(readings: DataFrame, issues: DataFrame, width: int = 10 * DAY) -
 
     The newest reading at or before the issue, the reading about an hour before that one (45 to
     75 minutes, nearest to 60, the earlier on ties), and the first value and the count of the
-    last six hours. Readings and issues share a window; six hours of overlap between blocks cover
-    every frame that can still lead to a forecast, and the newest reading of earlier blocks is
-    carried over for the age of a stale gauge.
+    last six hours. Readings and issues share a window. Blocks overlap by what a frame looks back;
+    the newest reading of earlier blocks is carried over together with its prior value, which is
+    worked out in its own block, so the answer does not depend on the blocks.
     """
     obs = readings.where(F.col("value").isNotNull()).select(
         "gauge_id",
@@ -51,7 +51,7 @@ def issue_state(readings: DataFrame, issues: DataFrame, width: int = 10 * DAY) -
     asked = issues.select("gauge_id", micros(F.col("issued_at")).alias("us")).distinct().select(
         "gauge_id", "us", F.lit(None).cast(obs.schema["o"].dataType).alias("o"), F.lit(True).alias("issue")
     )
-    rows = with_blocks(obs.unionByName(asked), "us", width, before=RECENT).where(
+    rows = with_blocks(obs.unionByName(asked), "us", width, before=max(RECENT, PRIOR_FAR)).where(
         F.col("home") | ~F.col("issue")
     )
     w = in_block(["gauge_id"], "us")
@@ -71,9 +71,12 @@ def issue_state(readings: DataFrame, issues: DataFrame, width: int = 10 * DAY) -
     known = (
         rows.withColumns({"farther": farther, "nearer": nearer})
         .withColumn(
-            "seen", F.when(F.col("o").isNotNull(), F.struct("o.*", prior.alias("prior_value")))
+            "seen",
+            F.when(F.col("o").isNotNull() & F.col("home"), F.struct("o.*", prior.alias("prior_value"))),
         )
-        .withColumns(
+    )
+    asked_at = (
+        known.withColumns(
             {
                 "latest": F.last("seen", ignorenulls=True).over(upto),
                 "recent_first": F.first("o.value", ignorenulls=True).over(recent),
@@ -84,17 +87,19 @@ def issue_state(readings: DataFrame, issues: DataFrame, width: int = 10 * DAY) -
         .select("gauge_id", "block", "us", "latest", "recent_first", "recent_count")
     )
     earlier = before_block(
-        rows.where("home").groupBy("gauge_id", "block").agg(F.max("o").alias("carried")),
+        known.groupBy("gauge_id", "block").agg(F.max("seen").alias("carried")),
         ["gauge_id"],
         lasts=["carried"],
     )
-    return known.join(earlier, ["gauge_id", "block"], "left").select(
+    return asked_at.join(earlier, ["gauge_id", "block"], "left").select(
         F.col("gauge_id").alias("target_id"),
         F.timestamp_micros("us").alias("issued_at"),
         F.timestamp_micros(F.coalesce("latest.us", "carried.us")).alias("newest_observation_at"),
         F.coalesce("latest.value", "carried.value").alias("observed_value"),
         F.coalesce("latest.payload_hash", "carried.payload_hash").alias("observed_hash"),
-        F.col("latest.prior_value").alias("prior_value"),
+        F.when(F.col("latest").isNull(), F.col("carried.prior_value"))
+        .otherwise(F.col("latest.prior_value"))
+        .alias("prior_value"),
         "recent_first",
         "recent_count",
         ((F.col("us") - F.coalesce("latest.us", "carried.us")) / F.lit(float(MINUTE))).alias(
@@ -192,18 +197,12 @@ def issuable(state: DataFrame, needs_prior: bool = False) -> DataFrame:
 
 
 def refusals(state: DataFrame, needs_prior: bool = False) -> DataFrame:
-    """Rows that get no forecast, and why."""
-    reason = F.when(
-        F.col("newest_observation_at").isNull(), "at least one causal observation is required"
-    ).when(
-        F.col("freshness") == "suppressed",
-        F.format_string("newest observation is %.0f minutes old", "observation_age_minutes"),
+    """Rows that get no forecast, and why, as a code; the age of the newest reading stands by it."""
+    reason = F.when(F.col("newest_observation_at").isNull(), "no reading").when(
+        F.col("freshness") == "suppressed", "too old"
     )
     if needs_prior:
-        reason = reason.when(
-            F.col("prior_value").isNull(),
-            "an observation approximately one hour earlier is required",
-        )
+        reason = reason.when(F.col("prior_value").isNull(), "no earlier reading")
     return (
         state.withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
@@ -361,9 +360,13 @@ def crossing_rows(forecasts: DataFrame) -> DataFrame:
     return forecasts.select("id", "target_id", "issued_at", F.inline("threshold_crossings"))
 
 
-def ordered_only(forecasts: DataFrame, part: str = "stage") -> DataFrame:
-    """Forecasts whose quantiles do not cross at any horizon."""
-    return forecasts.where(F.forall(part, lambda p: quantiles_ordered(p["quantiles"])))
+def ordered_only(
+    forecasts: DataFrame, parts: Sequence[str] = ("stage", "maximum_stage", "discharge")
+) -> DataFrame:
+    """Forecasts whose quantiles do not cross at any horizon, in any part."""
+    for part in parts:
+        forecasts = forecasts.where(F.forall(part, lambda p: quantiles_ordered(p["quantiles"])))
+    return forecasts
 
 
 def crossing_quantiles(forecasts: DataFrame, part: str = "stage") -> DataFrame:

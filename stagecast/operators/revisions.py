@@ -13,6 +13,10 @@ REVISION_KEY = (*IDENTITY, "payload_hash")
 BY_TIME = ("gauge_id", "parameter_code", "event_time")
 
 
+def _column(time: datetime | Column) -> Column:
+    return time if isinstance(time, Column) else F.lit(time)
+
+
 def scan(
     observations: DataFrame,
     gauges: Sequence[str] | None = None,
@@ -21,8 +25,16 @@ def scan(
     start: datetime | Column | None = None,
     before: datetime | Column | None = None,
 ) -> DataFrame:
-    """Filtered read; plain predicates, so partitions and row groups are pruned."""
+    """Filtered read; plain predicates, so partitions and row groups are pruned.
+
+    Stored tables are partitioned by ``event_month``; bounds on the event time bound it as well.
+    """
     df = observations
+    if "event_month" in df.columns:
+        if start is not None:
+            df = df.where(F.col("event_month") >= F.date_format(_column(start), "yyyy-MM"))
+        if before is not None:
+            df = df.where(F.col("event_month") <= F.date_format(_column(before), "yyyy-MM"))
     if gauges is not None:
         df = df.where(F.col("gauge_id").isin(*gauges))
     if parameter is not None:

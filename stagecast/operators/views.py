@@ -31,6 +31,7 @@ def event_page(log: DataFrame, after: int, limit: int = 100) -> DataFrame:
 
 
 def verification(basins: DataFrame, reports: DataFrame) -> DataFrame:
-    """Latest report of every basin that has one."""
-    newest = latest_by(reports, ["target_id"], F.col("reported_at").desc())
+    """Latest report of every basin that has one; of several at one time the smallest by its values."""
+    values = sorted(set(reports.columns) - {"target_id", "reported_at"})
+    newest = latest_by(reports, ["target_id"], F.col("reported_at").desc(), *map(F.col, values))
     return basins.select(F.col("gauge_id").alias("target_id"), "target_name").join(newest, "target_id")

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.constants import HORIZONS, HOUR, LOOKBACK_HOURS
+from stagecast.constants import HORIZONS, HOUR, LOOKBACK_HOURS, STAGE
 from stagecast.functions.columns import micros, step_index
 from stagecast.operators import forecast as f
 from stagecast.operators.features import live_histories
@@ -26,10 +26,14 @@ def shadow_cycle(
     hours: int = 3,
     horizons: Sequence[int] = HORIZONS,
     mode: str = "direct",
+    source: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Ridge forecasts of all basins ``(target_id, flood_stage_ft)`` at one issue time."""
+    """Ridge forecasts of all basins ``(target_id, flood_stage_ft)`` at one issue time.
+
+    Only stage readings of the last ``hours`` up to the issue count, of one source if given.
+    """
     at = F.lit(issued_at)
-    recent = canonical(scan(revisions, start=at - F.make_dt_interval(hours=F.lit(hours))))
+    recent = canonical(_until(revisions, at, hours, source))
     issues = basins.select(F.col("target_id").alias("gauge_id"), at.alias("issued_at"))
     state = f.issue_state(recent, issues)
     issued = f.ridge_forecasts(state, models, basins, horizons, mode=mode)
@@ -40,11 +44,25 @@ def shadow_cycle(
     }
 
 
+def _until(revisions: DataFrame, at, hours: int, source: str | None) -> DataFrame:
+    """Stage revisions of the hours up to and at a time."""
+    first = at - F.make_dt_interval(hours=F.lit(hours))
+    return scan(revisions, parameter=STAGE, source=source, start=first, before=at + F.expr("interval 1 microsecond"))
+
+
 def challenger_inputs(
-    revisions: DataFrame, targets: DataFrame, issued_at: datetime, lookback: int = LOOKBACK_HOURS
+    revisions: DataFrame,
+    targets: DataFrame,
+    issued_at: datetime,
+    lookback: int = LOOKBACK_HOURS,
+    source: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Live histories of all targets ``(target_id)`` at one issue time, and the rejected ones."""
-    rows = canonical(revisions).join(
+    """Live histories of all targets ``(target_id)`` at one issue time, and the rejected ones.
+
+    Histories are hourly means of stage readings; a missing hour rejects a target. ``reason`` is a
+    code, ``first_missing_at`` the start of the first hour without a reading.
+    """
+    rows = canonical(_until(revisions, F.lit(issued_at), lookback + 1, source)).join(
         targets.select(F.col("target_id").alias("gauge_id")), "gauge_id", "left_semi"
     )
     issues = targets.select(
@@ -55,10 +73,7 @@ def challenger_inputs(
         "histories": found.where(F.col("history").isNotNull()),
         "failures": found.where(F.col("history").isNull()).select(
             F.col("series").alias("target_id"),
-            F.format_string(
-                "incomplete %d-hour history; first missing hour is %s",
-                F.lit(lookback),
-                F.date_format(F.timestamp_micros(F.col("first_missing_idx") * HOUR), "yyyy-MM-dd'T'HH:mm:ss"),
-            ).alias("reason"),
+            F.lit("incomplete history").alias("reason"),
+            F.timestamp_micros(F.col("first_missing_idx") * HOUR).alias("first_missing_at"),
         ),
     }

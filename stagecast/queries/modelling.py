@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagecast.constants import DAY, HEADLINE_HORIZONS, HORIZONS, HOUR, PERSISTENCE_OFFSETS, QUANTILES
@@ -84,36 +84,45 @@ def persistence_hourly(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.long_mae(m.horizon_mae(scored)), "mae")
 
 
-_LAGS = (("RO", 5), ("NF", 2), ("AF", 9))
+#: A series' upstream gauges are the ones that follow it in order, with these lags.
+_LAGS = ((1, 5), (2, 2), (3, 9))
+_UP_NAMES = [f"upstream_{i}" for i in range(len(_LAGS))]
 
 
 def _lags(spark: SparkSession, d: str) -> DataFrame:
-    """Three upstream series of AO, the lag by how they are flagged."""
-    series = daily(spark, d).select(F.col("series").alias("gauge_id")).distinct()
-    lag = F.coalesce(*[F.when(F.col("gauge_id") == g, lag) for g, lag in _LAGS])
-    return series.withColumn("lag_hours", lag).where(F.col("lag_hours").isNotNull()).select(
-        F.lit("AO").alias("target_id"), "gauge_id", "lag_hours"
+    """Three upstream series of every target, ``(target_id, gauge_id, lag_hours)``."""
+    names = daily(spark, d).select("series").distinct()  # a handful of names
+    place = (F.row_number().over(Window.partitionBy().orderBy("series")) - 1).alias("n")
+    ranked = names.select("series", place, F.count("*").over(Window.partitionBy()).alias("total"))
+    steps = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(lag).alias("lag_hours")) for step, lag in _LAGS])
+    asked = ranked.select(F.col("series").alias("target_id"), "n", "total", F.inline(steps)).select(
+        "target_id", "lag_hours", ((F.col("n") + F.col("step")) % F.col("total")).alias("n")
     )
+    return asked.join(ranked.select("n", F.col("series").alias("gauge_id")), "n").drop("n")
 
 
 def upstream_daily(spark: SparkSession, d: str) -> DataFrame:
-    targets = daily_examples(spark, d).where(F.col("target_id") == "AO")
-    found = x.add_upstream(targets, daily(spark, d), _lags(spark, d))
-    return x.name_upstream(found, x.upstream_names(_LAGS))
+    """Examples of all targets with the values of their upstream gauges, in the order of the gauges."""
+    found = x.add_upstream(daily_examples(spark, d), daily(spark, d), _lags(spark, d))
+    return x.name_upstream(found, _UP_NAMES)
 
 
-_UP = " ".join(
-    f"JOIN daily u{lag} ON u{lag}.series = '{g}' AND u{lag}.idx = ex.idx - {lag}" for g, lag in _LAGS
-)
-_UP_COLUMNS = ", ".join(f"round(u{lag}.value, 6) AS upstream_{g}_cfs_lag_{lag}h" for g, lag in _LAGS)
+_UP = f"""nm AS (SELECT series, row_number() OVER (ORDER BY series) - 1 AS n, count(*) OVER () AS total
+  FROM (SELECT DISTINCT series FROM daily)),
+lg AS (SELECT a.series AS up_target, b.series AS gauge_id, k.lag FROM nm a
+  JOIN (VALUES {", ".join(f"({s}, {lag})" for s, lag in _LAGS)}) k(step, lag) ON true
+  JOIN nm b ON b.n = (a.n + k.step) % a.total),
+up AS (SELECT lg.up_target, u.idx + lg.lag AS up_idx, list(u.value ORDER BY u.series) AS v
+  FROM lg JOIN daily u ON u.series = lg.gauge_id GROUP BY 1, 2 HAVING count(*) = {len(_LAGS)})"""
+_UP_COLUMNS = ", ".join(f"round(v[{i + 1}], 6) AS {name}" for i, name in enumerate(_UP_NAMES))
 
 
-@query(f"""WITH {_EX} SELECT target_id, ex.idx, round(x1, 6) AS target_stage_ft,
+@query(f"""WITH {_EX}, {_UP} SELECT target_id, ex.idx, round(x1, 6) AS target_stage_ft,
   round(x2, 6) AS target_change_1h_ft, {_WIDE_LABELS}, split, {_UP_COLUMNS}
-FROM ex {_UP} WHERE target_id = 'AO'""")
+FROM ex JOIN up ON up_target = target_id AND up_idx = ex.idx""")
 def upstream_examples(spark: SparkSession, d: str) -> DataFrame:
     found = upstream_daily(spark, d)
-    return rounded(found, *FEATURES, *LABELS, *x.upstream_names(_LAGS))
+    return rounded(found, *FEATURES, *LABELS, *_UP_NAMES)
 
 
 def sequences(spark: SparkSession, d: str, lookback: int = 168) -> DataFrame:
@@ -197,21 +206,22 @@ def normalised_sequences(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {OBS}, {CANON}, {HOURLY_SQL},
+@query(f"""WITH {POOLED_OBS}, {CANON}, {HOURLY_SQL},
 issues AS (SELECT DISTINCT series, idx + 1 AS issued_idx FROM hourly),
-steps AS (SELECT series, issued_idx, unnest(range(issued_idx - 12, issued_idx)) AS idx FROM issues),
+steps AS (SELECT series, issued_idx, unnest(range(issued_idx - 168, issued_idx)) AS idx FROM issues),
 found AS (SELECT s.series, s.issued_idx, s.idx, h.value FROM steps s
   LEFT JOIN hourly h ON h.series = s.series AND h.idx = s.idx)
 SELECT series, issued_idx, issued_idx - 1 AS input_ends_idx,
-  CASE WHEN count(value) = 12 THEN round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 3) END AS total,
+  CASE WHEN count(value) = 168 THEN array_to_string(list(round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) ORDER BY idx), ',') END AS history,
   min(idx) FILTER (value IS NULL) AS first_missing_idx
 FROM found GROUP BY 1, 2""")
 def live_histories(spark: SparkSession, d: str) -> DataFrame:
-    series = hourly(spark, d)
+    series = hourly(spark, d, "ALL")
     issues = series.select("series", (F.col("idx") + 1).alias("issued_idx"))
-    found = x.live_histories(series, issues, 12)
-    total = F.aggregate("history", F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return found.withColumn("total", F.round(total, 3)).drop("history")
+    found = x.live_histories(series, issues, 168)
+    shown = F.transform("history", lambda v: F.round(v.cast("double"), 3).cast("string"))
+    return found.withColumn("history", F.when(F.col("history").isNotNull(), F.array_join(shown, ",")))
+
 
 
 @query(f"""WITH {_FIT} SELECT target_id, h AS horizon, n AS training_examples, round(m1, 6) AS mean_1,
@@ -244,15 +254,15 @@ def ridge_target_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ridge_with_upstream(spark: SparkSession, d: str) -> DataFrame:
-    """Both variants on one target, the choice by the gate, and the calibrated model."""
+    """Both variants of every target, the choice by the gate, and the calibrated model."""
     examples = materialise(upstream_daily(spark, d), "examples")
-    return train_ridge(examples, x.upstream_names(_LAGS))["models"]
+    return train_ridge(examples, _UP_NAMES)["models"]
 
 
 @query()
 def ridge_report(spark: SparkSession, d: str) -> DataFrame:
     examples = materialise(upstream_daily(spark, d), "examples")
-    return train_ridge(examples, x.upstream_names(_LAGS))["report"]
+    return train_ridge(examples, _UP_NAMES)["report"]
 
 
 def _scored(examples: DataFrame, split: str) -> DataFrame:
@@ -474,9 +484,9 @@ def issue_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_STATE} SELECT target_id, issued_at, CASE
-  WHEN event_time IS NULL THEN 'at least one causal observation is required'
-  WHEN freshness = 'suppressed' THEN 'newest observation is ' || CAST(CAST(round_even(age, 0) AS BIGINT) AS VARCHAR) || ' minutes old'
-  ELSE 'an observation approximately one hour earlier is required' END AS reason
+  WHEN event_time IS NULL THEN 'no reading'
+  WHEN freshness = 'suppressed' THEN 'too old'
+  ELSE 'no earlier reading' END AS reason
 FROM state WHERE event_time IS NULL OR freshness = 'suppressed' OR prior_value IS NULL""")
 def forecast_refusals(spark: SparkSession, d: str) -> DataFrame:
     found = f.refusals(_state(spark, d), needs_prior=True)

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from stagecast.constants import MINUTE
 from stagecast.functions.columns import floor_time, iso_utc, repair_two_digit_year
 from stagecast.operators import views
-from stagecast.operators.revisions import latest_by
 from stagecast.queries.bindings import CANON, OBS, observations, query, rounded, samples, table
 from stagecast.queries.upstream import _QUALIFIED, _qualified
 from stagecast.sources import bulletins as b
 from stagecast.sources import envelopes as v
 from stagecast.sources import payloads as p
-from stagecast.sources.demo import demo_observations
 from stagecast.sources.tables import fingerprint, frozen_lags, manifest
 
 
@@ -56,6 +54,20 @@ def payload_observations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT event_type AS gauge_id, CASE WHEN value < 20 THEN 'unreadable value' ELSE 'unreadable time' END AS reason,
+  count(*) AS features FROM events WHERE value < 20 OR value >= 250 GROUP BY 1, 2""")
+def payload_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Features whose value (under 20) or time (from 250 on) is written as words."""
+    e = table(spark, d, "events")
+    time = F.when(F.col("value") >= 250, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    value = F.when(F.col("value") < 20, "n/a").otherwise(F.col("value").cast("string"))
+    feature = F.struct(F.struct(value.alias("value"), time.alias("time")).alias("properties"))
+    rows = e.groupBy(F.col("event_type").alias("gauge_id"), floor_time(F.col("ts"), MINUTE).alias("ingested_at")).agg(
+        F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("payload")
+    ).withColumn("parameter_code", F.lit("00065"))
+    return p.payload_errors(rows).groupBy("gauge_id", "reason").agg(F.count("*").alias("features"))
+
+
 def _archive(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(
         F.lit("usgs").alias("source"),
@@ -77,12 +89,25 @@ def payload_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return p.catalogue_entries(_archive(spark, d)).drop("source")
 
 
-@query(f"""WITH {_ARCHIVE} SELECT content_hash, resource FROM entries
-WHERE content_hash NOT IN (SELECT content_hash FROM a WHERE retrieved_at < TIMESTAMP '2024-01-02')""")
+def _comments(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that come late and repeat now and then: an order's price in hundreds, by day."""
+    return table(spark, d, "orders").select(
+        F.lit("usgs").alias("source"),
+        F.concat(F.lit("prices/"), "o_orderpriority").alias("resource"),
+        F.col("o_orderdate").alias("retrieved_at"),
+        F.concat_ws("/", "o_orderpriority", F.floor(F.col("o_totalprice") / 100).cast("string")).alias("payload"),
+    )
+
+
+@query("""WITH a AS (SELECT sha256(o_orderpriority || '/' || CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS VARCHAR))
+    AS content_hash, 'prices/' || o_orderpriority AS resource, o_orderdate AS retrieved_at FROM orders)
+SELECT content_hash, any_value(resource) AS resource, min(retrieved_at) AS retrieved_at FROM a
+GROUP BY content_hash HAVING min(retrieved_at) >= TIMESTAMP '1998-01-01'""")
 def payload_new(spark: SparkSession, d: str) -> DataFrame:
-    rows = _archive(spark, d)
-    stored = p.catalogue_entries(rows.where(F.col("retrieved_at") < F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz")))
-    return p.new_entries(p.catalogue_entries(rows), stored).select("content_hash", "resource")
+    """Contents that the archive of the years before 1998 doesn't hold."""
+    rows = _comments(spark, d)
+    stored = p.catalogue_entries(rows.where(F.col("retrieved_at") < F.lit(datetime(1998, 1, 1)).cast("timestamp_ntz")))
+    return p.new_entries(p.catalogue_entries(rows), stored).select("content_hash", "resource", "retrieved_at")
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -133,7 +158,7 @@ def bulletins(spark: SparkSession, d: str) -> DataFrame:
         F.lit(".E "), station, F.lit(" "), F.col("day"), F.lit(" C /DC"), F.col("day"), F.lit("0630/DH06/DIH06/HGIFF "),
         F.array_join(F.slice("tokens", 1, 2), "/"),
     )
-    more = F.concat(F.lit(".E1 /"), F.array_join(F.slice("tokens", 3, 1000), " / "))
+    more = F.concat(F.lit(".E1 /"), F.array_join(F.slice("tokens", F.lit(3), F.size("tokens")), " / "))
     crest = F.concat(F.lit(".A "), station, F.lit(" "), F.col("day"), F.lit(" Z /DH1830/HGIFFX "), F.element_at("tokens", 1))
     text = F.concat_ws(
         "\n", F.lit("FORECAST BULLETIN"), F.lit(": remarks"), head, F.when(F.size("tokens") > 2, more), crest,
@@ -197,13 +222,13 @@ def metadata(spark: SparkSession, d: str) -> DataFrame:
 
 _SNAPSHOTS = """m AS (SELECT CAST(o_custkey AS VARCHAR) AS gauge_id, o_orderdate, o_orderkey, o_orderpriority,
   round(o_totalprice / 10000, 2) AS stage FROM orders),
-latest AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY gauge_id ORDER BY o_orderdate DESC, o_orderkey) = 1)"""
+latest AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY gauge_id ORDER BY o_orderdate DESC,
+  sha256('{"flood":{"categories":{"action":{"stage":' || stage || '},"minor":{"stage":' || (stage + 1) ||
+    '},"major":{"stage":-9999},"note":"none"}},"datums":{"vertical":{"value":["NAVD88","' || o_orderpriority || '"]}}}')) = 1)"""
 
 
 def _latest_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    rows = metadata(spark, d)
-    newest = latest_by(rows, ["gauge_id"], F.col("captured_at").desc(), F.col("o_orderkey"))
-    return p.latest_snapshot(p.station_snapshots(newest))
+    return p.latest_snapshot(p.station_snapshots(metadata(spark, d).drop("o_orderkey")))
 
 
 @query(f"""WITH {_SNAPSHOTS} SELECT gauge_id, 'action' AS threshold_name, stage AS threshold FROM latest
@@ -233,20 +258,6 @@ def changed_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return p.changed_snapshots(rows, rows.where(F.col("body") == "P")).select("body", "captured_at")
 
 
-@query("""WITH g AS (SELECT CAST(s_suppkey AS VARCHAR) AS gauge_id, s_suppkey AS position FROM supplier),
-r AS (SELECT *, unnest(range(0, 49)) AS step FROM g)
-SELECT gauge_id, TIMESTAMP '2024-01-31' - to_minutes(CAST(15 * (48 - step) AS INTEGER)) AS event_time,
-  round(CAST(4.0 + position * 1.7 + step * 0.015 AS DOUBLE), 6) AS value FROM r""")
-def demo_readings(spark: SparkSession, d: str) -> DataFrame:
-    gauges = table(spark, d, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("gauge_id"), F.col("s_suppkey").alias("position")
-    )
-    found = demo_observations(gauges, datetime(2024, 1, 31))
-    return rounded(
-        found.select("gauge_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "value"), "value"
-    )
-
-
 def _basins(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(
         F.lower("s_name").alias("slug"), F.col("s_name").alias("target_name"),
@@ -268,13 +279,15 @@ def basin_lookup(spark: SparkSession, d: str) -> DataFrame:
     return views.basin_for(_basins(spark, d), asked).select("identifier", "gauge_id")
 
 
-@query("""SELECT CAST(l_suppkey AS VARCHAR) AS target_id, s_name AS target_name, max(l_shipdate) AS reported_at
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS target_id, s_name AS target_name, l_shipdate AS reported_at,
+  l_extendedprice AS mae, l_quantity AS examples FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_quantity, l_extendedprice) = 1""")
 def verification_summary(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("target_id"), F.col("l_shipdate").alias("reported_at")
+        F.col("l_suppkey").cast("string").alias("target_id"), F.col("l_shipdate").alias("reported_at"),
+        F.col("l_extendedprice").alias("mae"), F.col("l_quantity").alias("examples"),
     )
-    return views.verification(_basins(spark, d), reports).select("target_id", "target_name", "reported_at")
+    return views.verification(_basins(spark, d), reports)
 
 
 @query("""SELECT event_id AS sequence, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100""")
@@ -290,10 +303,23 @@ def frozen_upstream_lags(spark: SparkSession, d: str) -> DataFrame:
     return frozen_lags(rows)
 
 
-@query("SELECT count(*) AS rows, true AS same FROM events")
+@query("""SELECT event_type, count(*) AS rows, true AS same, true AS one_value_more, true AS one_row_less
+FROM events GROUP BY 1""")
 def input_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A table's fingerprint does not depend on the order of its rows."""
-    events = table(spark, d, "events")
-    one = fingerprint(events)
-    other = fingerprint(events.repartition(5, "user_id")).select(F.col("fingerprint").alias("again"), "rows")
-    return one.join(other, "rows").select("rows", (F.col("fingerprint") == F.col("again")).alias("same"))
+    """A table's fingerprint does not depend on the order of its rows, but on every row and value."""
+    events, found = table(spark, d, "events"), None
+    for kind in [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]:
+        mine = events.where(F.col("event_type") == kind)
+        last = mine.agg(F.max("event_id")).first()[0]
+        value = F.when(F.col("event_id") == last, F.col("value") + 1).otherwise(F.col("value"))
+        one = fingerprint(mine).withColumn("event_type", F.lit(kind))
+        for name, other in (
+            ("same", mine.repartition(5, "user_id")),
+            ("one_value_more", mine.withColumn("value", value)),
+            ("one_row_less", mine.where(F.col("event_id") != last)),
+        ):
+            again = fingerprint(other).select(F.lit(kind).alias("event_type"), F.col("fingerprint").alias("again"))
+            equal = F.col("fingerprint") == F.col("again")
+            one = one.join(again, "event_type").withColumn(name, equal if name == "same" else ~equal).drop("again")
+        found = one if found is None else found.unionByName(one)
+    return found.drop("fingerprint")

@@ -64,9 +64,7 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {OBS} SELECT gauge_id || '-value' AS series_key, max(event_time) AS event_time
 FROM obs WHERE value <= 200 GROUP BY 1""")
 def stream_high_water(spark: SparkSession, d: str) -> DataFrame:
-    root = _ingested(spark, d)
-    last = si.revisions_table(spark, root).agg(F.max("batch_id").alias("b")).first().b or 0
-    return si.high_water_table(spark, root, last).select(
+    return si.high_water_table(spark, _ingested(spark, d)).select(
         "series_key", F.col("event_time").cast("timestamp_ntz").alias("event_time")
     )
 
@@ -86,15 +84,62 @@ def stream_parity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {OBS} SELECT gauge_id, event_time, value, payload_hash FROM obs""")
+def direct_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The same deliveries stored without a stream, the second one twice."""
+    root = scratch(spark, "direct")
+    first, second, third = _direct(spark, d)
+    for batch_id, part in enumerate((first, second, second, third)):
+        si.ingest(part, "direct", root, batch_id=batch_id)
+    found = si.revisions_table(spark, root)
+    return found.select(
+        "gauge_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "value", "payload_hash"
+    )
+
+
+@query(f"""WITH {OBS} SELECT gauge_id || '-value' AS series_key, max(event_time) AS event_time FROM obs GROUP BY 1""")
+def direct_high_water(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch(spark, "direct")
+    for part in _direct(spark, d):
+        si.ingest(part, "direct", root)
+    return si.high_water_table(spark, root).select(
+        "series_key", F.col("event_time").cast("timestamp_ntz").alias("event_time")
+    )
+
+
+def _direct(spark: SparkSession, d: str) -> list[DataFrame]:
+    rows = observations(spark, d).withColumn("raw_payload", F.create_map(F.lit("archive_hash"), F.col("payload_hash")))
+    return _deliveries(rows, "ingested_at")
+
+
+def _observed(spark: SparkSession, d: str, order: tuple[int, ...]) -> tuple[str, DataFrame]:
+    """Take the deliveries of event readings in, in an order; the root and all readings."""
+    landing, root = scratch(spark, "readings"), scratch(spark, "events")
+    readings = event_readings(spark, d)
+    parts = _deliveries(readings, "at")
+    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
+    _land([parts[i].select(F.to_json(F.struct(*readings.columns), times).alias("value")) for i in order], landing)
+    values = se.reading_values(spark, landing, files_per_batch=3)
+    si.run_available(values, root, scratch(spark, "checkpoint"), se.observe_batch)
+    return root, readings
+
+
 @query(EVENT_SQL)
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
     """Transitions from micro-batches that carry the state on."""
-    landing, root = scratch(spark, "readings"), scratch(spark, "events")
-    parts = _deliveries(event_readings(spark, d), "at")
-    times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
-    _land([part.select(F.to_json(F.struct(*part.columns), times).alias("value")) for part in parts], landing)
-    readings = se.reading_values(spark, landing, files_per_batch=3)
-    si.run_available(readings, root, scratch(spark, "checkpoint"), se.observe_batch)
+    root, _ = _observed(spark, d, (0, 1, 2))
     return se.transition_table(spark, root).select(
         "gauge_id", "seq", F.col("at").cast("timestamp_ntz").alias("event_time"), "transition"
     )
+
+
+@query(EVENT_SQL)
+def stream_events_late(spark: SparkSession, d: str) -> DataFrame:
+    """The same transitions though the middle delivery comes last."""
+    root, readings = _observed(spark, d, (0, 2, 1))
+    whole = readings.withColumn("at", F.col("at").cast("timestamp")).select(
+        *[f.name for f in spark.createDataFrame([], se.READING).schema]
+    )
+    return se.corrected(spark, root, whole).select(
+        "gauge_id", "seq", F.col("at").cast("timestamp_ntz").alias("event_time"), "transition"
+    )

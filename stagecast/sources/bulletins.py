@@ -23,9 +23,16 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _group(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
+def _field(pieces: Column, code: str) -> Column:
+    """What follows a two- or three-letter code in the first of the slash-separated pieces with it."""
+    piece = F.get(F.filter(pieces, lambda p: p.startswith(code)), F.lit(0))
+    return F.substring(piece, len(code) + 1, 64)
+
+
+def _digits(text: Column, start: int, size: int) -> Column:
+    """A run of digits at a fixed place, or null."""
+    part = F.substring(text, start, size)
+    return F.when((F.length(part) == size) & (F.translate(part, "0123456789", "") == ""), part)
 
 
 def _tokens(data: Column, header: bool) -> Column:
@@ -61,7 +68,8 @@ def bulletin_lines(bulletins: DataFrame) -> DataFrame:
             .otherwise("other"),
         )
         .withColumn("parts", F.split("line", r"\s+"))
-        .withColumn("body", F.array_join(F.slice("parts", 5, 10_000_000), " "))
+        .withColumn("body", F.array_join(F.slice("parts", F.lit(5), F.size("parts")), " "))
+        .withColumn("pieces", F.split("body", "/"))
         .withColumn("station", F.get("parts", F.lit(1)))
         .withColumn("zone", zone_name(F.get("parts", F.lit(3))))
         .withColumn(
@@ -72,22 +80,30 @@ def bulletin_lines(bulletins: DataFrame) -> DataFrame:
             ),
         )
     )
-    hour = _group(body, r"/DH(\d{2})(\d{2})?", 1).cast("int")
-    minute = F.coalesce(_group(body, r"/DH(\d{2})(\d{2})?", 2).cast("int"), F.lit(0))
-    created = F.concat(_group(body, r"/DC(\d{8})(\d{4})", 1), _group(body, r"/DC(\d{8})(\d{4})", 2))
-    first_parameter = F.get(
-        F.filter(F.split(body, r"[/\s]+"), lambda p: p.startswith("HGIFF")), F.lit(0)
+    # a field is a slash, a code of two or three letters and its value; the first piece has no slash
+    fields = F.slice("pieces", F.lit(2), F.size("pieces"))
+    observed, creation = _field(fields, "DH"), _field(fields, "DC")
+    hour = _digits(observed, 1, 2).cast("int")
+    minute = F.coalesce(_digits(observed, 3, 2).cast("int"), F.lit(0))
+    created = F.concat(_digits(creation, 1, 8), _digits(creation, 9, 4))
+    interval = F.split(_field(fields, "DIH"), r"\s+")[0]
+    words = F.filter(F.split(body, r"[/\s]+"), lambda p: p.startswith("HGIFF"))
+    first_parameter = F.get(words, F.lit(0))
+    # a crest's parameter code is a word of its own, followed by its value
+    coded = F.filter(
+        F.transform(fields, lambda p: F.split(p, r"\s+")),
+        lambda w: w[0].isin("HGIFF", "HGIFFX", "HGIFFZZ") & (F.coalesce(F.get(w, F.lit(1)), F.lit("")) != ""),
     )
-    crest = r"/(HGIFF(?:ZZ|X)?)\s+([^/\s]+)"
+    crest = F.get(coded, F.lit(0))
     is_crest = F.col("kind") == "crest"
     lines = (
         lines.withColumn("hour", F.when(is_crest, F.coalesce(hour, F.lit(0))).otherwise(hour))
         .withColumn("minute", minute)
         .withColumn("created_text", created)
         .withColumn("created", F.try_to_timestamp("created_text", F.lit("yyyyMMddHHmm")))
-        .withColumn("step", F.regexp_extract(body, r"/DIH0?(\d+)", 1).try_cast("int"))
-        .withColumn("parameter", F.when(is_crest, _group(body, crest, 1)).otherwise(first_parameter))
-        .withColumn("crest_token", _group(body, crest, 2))
+        .withColumn("step", F.when(F.translate(interval, "0123456789", "") == "", interval.try_cast("int")))
+        .withColumn("parameter", F.when(is_crest, crest[0]).otherwise(first_parameter))
+        .withColumn("crest_token", F.get(crest, F.lit(1)))
         .withColumn("data_from", F.instr(body, F.concat(F.lit("/"), F.col("parameter"))))
         .withColumn(
             "base",

@@ -38,10 +38,12 @@ def _fields(ddl: str) -> str:
 def payload_observations(payloads: DataFrame, source: str = "usgs") -> DataFrame:
     """Readings of continuous-values payloads ``(gauge_id, parameter_code, ingested_at, payload)``.
 
-    Features without a time are left out; sentinels become null; ids and units fall back as the
-    source leaves them out.
+    Features without a time, and those whose value is no number, are left out (``payload_errors``
+    has the latter): an unreadable value must not withdraw an earlier reading. Sentinels and
+    values that are not given become null; ids and units fall back as the source leaves them out.
     """
-    rows = _features(payloads).where(F.col("event_time").isNotNull())
+    readable = F.col("p.value").isNull() | F.col("number").isNotNull()
+    rows = _features(payloads).where(F.col("event_time").isNotNull() & readable)
     unit = F.when(F.col("parameter_code") == STAGE, "ft").otherwise("ft3/s")
     return rows.select(
         F.lit(source).alias("source"),

@@ -10,40 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagecast.constants import SPLITS
-from stagecast.operators.revisions import latest_by, new_revisions
+from stagecast.operators.revisions import latest_by
 
 
 class FrozenInputChanged(ValueError):
     pass
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table, or no rows while its folder does not exist."""
+class MissingTable(ValueError):
+    pass
+
+
+def read_table(spark: SparkSession, path: str, schema: str, required: bool = False) -> DataFrame:
+    """A table, or no rows while its folder does not exist; a required one has to be there."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        if required:
+            raise MissingTable(f"no table at {path}") from error
         return spark.createDataFrame([], schema)
 
 
-def with_month(revisions: DataFrame) -> DataFrame:
-    return revisions.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
-
+def read_parts(spark: SparkSession, path: str, parts: Sequence[str], schema: str) -> DataFrame:
+    """Some partitions of a table, named by their folders; no others are listed."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    there = [f"{path}/{p}" for p in parts if store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{p}"))]
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*there)
 
-def append_revisions(incoming: DataFrame, stored: DataFrame, path: str) -> None:
-    """Append what is new, laid out so that a read of a parameter and months prunes the rest.
 
-    ``stored`` is the table read before the call.
-    """
-    (
-        with_month(new_revisions(incoming, stored))
-        .repartition("parameter_code", "event_month", F.pmod(F.xxhash64("gauge_id", "event_time"), F.lit(64)))
-        .sortWithinPartitions("parameter_code", "event_month", "gauge_id", "event_time")
-        .write.mode("append")
-        .partitionBy("parameter_code", "event_month")
-        .parquet(path)
-    )
+def with_month(revisions: DataFrame) -> DataFrame:
+    return revisions.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
 
 
 def merge_forecasts(stored: DataFrame, issued: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Structured Streaming ingestion of observation events.
+"""Ingestion of observation events, as a stream or directly.
 
-Batch and stream share ``ingest_batch``. Delivery is at least once: every micro-batch writes
-folders named after its batch id, so a replay overwrites its own output, and the anti-join looks
-at the other batches only. Late data and corrections are new revisions and kept; the canonical
-series is a query over the table.
+Both ways end in ``store_batch``. Delivery is at least once: revisions lie in folders by
+parameter, month and batch, marks and dead letters by batch; a replay overwrites the folders of
+its own batch, and the anti-join looks at the other batches only. A batch lists and reads just the
+months it holds itself. Late data and corrections are new revisions and kept; the canonical series
+is a query over the table.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stagecast.operators.revisions import advance_high_water, new_revisions
+from stagecast.operators.revisions import high_water, new_revisions
 from stagecast.schemas import REVISION
 from stagecast.sources.envelopes import TOPIC, accepted, checked, encode, refused
-from stagecast.sources.tables import append_revisions, read_table, with_month
+from stagecast.sources.tables import read_parts, read_table, with_month
 
 STORED = REVISION + ", event_month string, batch_id bigint"
-MARKS = "source string, series_key string, event_time timestamp"
+MARKS = "source string, series_key string, event_time timestamp, batch_id bigint"
 DEAD = "value string, reason string"
 
 
@@ -53,46 +54,61 @@ def dead_letter_table(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/dead", DEAD)
 
 
-def high_water_table(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    """Marks as they stood after a batch; none before the first."""
-    return read_table(spark, f"{root}/high_water/batch_id={batch_id}", MARKS)
+def high_water_table(spark: SparkSession, root: str) -> DataFrame:
+    """The newest event time of each series; every batch stores the marks of its own revisions."""
+    marks = read_table(spark, f"{root}/high_water", MARKS)
+    return marks.groupBy("source", "series_key").agg(F.max("event_time").alias("event_time"))
 
 
-def ingest_batch(events: DataFrame, batch_id: int, root: str) -> None:
-    """Decode, keep what is new, set aside what breaks the contract, advance the marks."""
-    spark = events.sparkSession
-    parsed = checked(events).persist()  # several outputs from one parse; lost parts are parsed again
-    revisions = with_month(accepted(parsed))
-    span = revisions.agg(F.min("event_month").alias("first"), F.max("event_month").alias("last")).first()
-    stored = revisions_table(spark, root).where(F.col("batch_id") != batch_id)
-    if span.first is not None:
-        stored = stored.where(F.col("event_month").between(span.first, span.last))
+def store_batch(revisions: DataFrame, batch_id: int, root: str) -> None:
+    """Keep the revisions that are new and the marks of all of them.
+
+    ``revisions`` is read several times. Files are laid out so that a read of a parameter, months
+    and gauges prunes the rest; a month with most of the rows is spread by gauge and time.
+    """
+    spark = revisions.sparkSession
+    revisions = with_month(revisions)
+    held = revisions.select("parameter_code", "event_month").distinct().collect()  # a row per month
+    months = [f"parameter_code={r.parameter_code}/event_month={r.event_month}" for r in held]
+    stored = read_parts(spark, f"{root}/revisions", months, STORED).where(F.col("batch_id") != batch_id)
+    spread = F.pmod(F.xxhash64("gauge_id", "event_time"), F.lit(64))
     (
         new_revisions(revisions, stored)
+        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        .repartition("parameter_code", "event_month", spread)
+        .sortWithinPartitions("parameter_code", "event_month", "gauge_id", "event_time")
         .write.mode("overwrite")
-        .partitionBy("parameter_code", "event_month")
-        .parquet(f"{root}/revisions/batch_id={batch_id}")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("parameter_code", "event_month", "batch_id")
+        .parquet(f"{root}/revisions")
     )
+    high_water(revisions).write.mode("overwrite").parquet(f"{root}/high_water/batch_id={batch_id}")
+
+
+def ingest_batch(events: DataFrame, batch_id: int, root: str) -> None:
+    """Decode, keep what is new with its marks, set aside what breaks the contract."""
+    parsed = checked(events).persist()  # several outputs from one parse; lost parts are parsed again
+    store_batch(accepted(parsed), batch_id, root)
     refused(parsed).write.mode("overwrite").parquet(f"{root}/dead/batch_id={batch_id}")
-    (
-        advance_high_water(high_water_table(spark, root, batch_id - 1), revisions)
-        .write.mode("overwrite")
-        .parquet(f"{root}/high_water/batch_id={batch_id}")
-    )
     parsed.unpersist()
 
 
-def ingest(observations: DataFrame, mode: str, root: str, landing: str) -> None:
+def ingest(
+    observations: DataFrame, mode: str, root: str, landing: str | None = None, batch_id: int | None = None
+) -> None:
     """The one configured path for live readings: straight into the table, or onto the stream.
 
-    ``direct`` appends revisions under a root of its own. ``streaming`` leaves encoded events in
-    the landing folder for ``file_values``; a broker takes the same rows with
-    ``encode(...).write.format("kafka")``.
+    ``direct`` stores a batch of its own, by default the one after the last with marks.
+    ``streaming`` leaves encoded events in the landing folder for ``file_values``; a broker takes
+    the same rows with ``encode(...).write.format("kafka")``.
     """
     if mode == "direct":
-        path = f"{root}/revisions"
-        schema = REVISION + ", event_month string"
-        append_revisions(observations, read_table(observations.sparkSession, path, schema), path)
+        if batch_id is None:
+            marks = read_table(observations.sparkSession, f"{root}/high_water", MARKS)
+            last = marks.agg(F.max("batch_id").alias("b")).first().b
+            batch_id = 0 if last is None else last + 1
+        fields = observations.sparkSession.createDataFrame([], REVISION).schema
+        store_batch(observations.select(*[F.col(f.name).cast(f.dataType) for f in fields]), batch_id, root)
     elif mode == "streaming":
         encode(observations).select("value").write.mode("append").text(landing)
     else:

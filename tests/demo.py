@@ -1,19 +1,14 @@
-"""Labelled synthetic readings, and the basin dimension."""
+"""Labelled synthetic readings for tests."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.constants import BASINS, STAGE
+from stagecast.constants import STAGE
 from stagecast.functions.columns import content_hash, iso_utc
-from stagecast.schemas import BASIN
-
-
-def basins(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(b) for b in BASINS], BASIN)
 
 
 def demo_observations(gauges: DataFrame, now: datetime, steps: int = 49) -> DataFrame:

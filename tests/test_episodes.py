@@ -1,4 +1,4 @@
-"""Episodes, clusters, events and labels, against plain restatements of the rules."""
+"""Episodes, clusters, events and labels, against their definitions."""
 
 import random
 from datetime import date, datetime, timedelta
@@ -14,34 +14,35 @@ START = datetime(2024, 1, 1)
 GAP, QUIET, MERGE = timedelta(minutes=30), timedelta(hours=3), timedelta(hours=9)
 
 
-def brute_episodes(rows, threshold):
-    """Scan of one series: list of [start, last above, maximum, uncertain]."""
-    done, now, quiet_from, before = [], None, None, None
-    for at, value in rows:
-        jump = before is not None and at - before > GAP
-        before = at
-        if value is not None and value >= threshold:
-            quiet_from = None
-            if now is None:
-                now = [at, at, value, False]
-            else:
-                now = [now[0], at, max(now[2], value), now[3] or jump]
-            continue
-        if now is None:
-            continue
-        if value is None or jump:
-            now[3], quiet_from = True, None
-        elif quiet_from is None:
-            quiet_from = at
-        elif at - quiet_from >= QUIET:
-            if done and now[0] - done[-1][1] < MERGE:
-                last = done.pop()
-                now = [last[0], now[1], max(last[2], now[2]), last[3] or now[3]]
-            done.append(now)
-            now = quiet_from = None
-    if now is not None:
-        done.append([now[0], now[1], now[2], True])
-    return [tuple(x) for x in done]
+def defined_episodes(rows, threshold):
+    """Episodes from their definition, by looking back from every reading.
+
+    A reading closes if calm readings lead up to it for QUIET: below the threshold, known, and
+    no gap before any of them. Readings above with no closing one between them are an episode.
+    """
+    n = len(rows)
+    gap = [i > 0 and rows[i][0] - rows[i - 1][0] > GAP for i in range(n)]
+    above = [v is not None and v >= threshold for _, v in rows]
+    calm = [v is not None and v < threshold and not g for (_, v), g in zip(rows, gap)]
+    closing = [
+        i for i in range(n)
+        if any(all(calm[j : i + 1]) and rows[i][0] - rows[j][0] >= QUIET for j in range(max(0, i - 40), i))
+    ]
+    members = {}
+    for i in filter(above.__getitem__, range(n)):
+        members.setdefault(sum(c < i for c in closing), []).append(i)
+    closed, found = [], []
+    for ids in members.values():
+        end = min((c for c in closing if c > ids[-1]), default=None)
+        odd = any(gap[k] or rows[k][1] is None for k in range(ids[0] + 1, n if end is None else end))
+        one = (rows[ids[0]][0], rows[ids[-1]][0], max(rows[i][1] for i in ids), odd or end is None)
+        (found if end is None else closed).append(one)
+    # closed episodes nearer than MERGE are one
+    starts = [k for k in range(len(closed)) if k == 0 or closed[k][0] - closed[k - 1][1] >= MERGE]
+    for k, stop in zip(starts, [*starts[1:], len(closed)]):
+        part = closed[k:stop]
+        found.append((part[0][0], part[-1][1], max(x[2] for x in part), any(x[3] for x in part)))
+    return found
 
 
 def random_series(rng):
@@ -53,14 +54,14 @@ def random_series(rng):
     return rows
 
 
-def test_episodes_equal_a_plain_scan(spark):
+def test_episodes_follow_their_definition(spark):
     rng = random.Random(11)
     data = {f"g{i}": random_series(rng) for i in range(120)}
     rows = spark.createDataFrame(
         [(g, at, v) for g, series in data.items() for at, v in series],
         "gauge_id string, event_time timestamp_ntz, value double",
     )
-    expected = {(g, *x) for g, series in data.items() for x in brute_episodes(series, 1.0)}
+    expected = {(g, *x) for g, series in data.items() for x in defined_episodes(series, 1.0)}
     assert len(expected) > 150
     for width in (2 * HOUR, DAY, 100 * DAY):
         got = e.flood_episodes(
@@ -83,27 +84,32 @@ def test_storms_merge_across_gauges(spark):
     assert (got[0].started_at, got[0].ended_at) == (datetime(2024, 1, 7), datetime(2024, 1, 19))
 
 
-def test_storms_equal_a_plain_merge(spark):
+def test_storms_are_connected_components(spark):
     rng = random.Random(3)
     rows = []
     for i in range(400):
         start = START + timedelta(hours=rng.randrange(0, 24 * 900))
         rows.append((f"g{i % 7}", start, start + timedelta(hours=rng.randrange(0, 200))))
-    margin, merged = timedelta(hours=72), []
-    for gauge, start, last in sorted(rows, key=lambda x: x[1]):
-        a, b = start - margin, last + margin
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-            merged[-1][2].add(gauge)
-            merged[-1][3] += 1
-        else:
-            merged.append([a, b, {gauge}, 1])
+    margin = timedelta(hours=72)
+    spans = [(start - margin, last + margin) for _, start, last in rows]
+    # connected components of the spans that touch, by spreading the smallest number
+    part = list(range(len(rows)))
+    touching = [
+        (i, j) for i in range(len(rows)) for j in range(i)
+        if max(spans[i][0], spans[j][0]) <= min(spans[i][1], spans[j][1])
+    ]
+    while any(part[i] != part[j] for i, j in touching):
+        for i, j in touching:
+            part[i] = part[j] = min(part[i], part[j])
+    wanted = set()
+    for p in set(part):
+        mine = [i for i in range(len(rows)) if part[i] == p]
+        gauges = tuple(sorted({rows[i][0] for i in mine}))
+        wanted.add((min(spans[i][0] for i in mine), max(spans[i][1] for i in mine), gauges, len(mine)))
     df = spark.createDataFrame(rows, EPISODE)
     for width in (5 * DAY, 90 * DAY):
         got = e.storm_clusters(df, width=width).collect()
-        assert {(r.started_at, r.ended_at, tuple(r.gauge_ids), r.episode_count) for r in got} == {
-            (a, b, tuple(sorted(g)), n) for a, b, g, n in merged
-        }
+        assert {(r.started_at, r.ended_at, tuple(r.gauge_ids), r.episode_count) for r in got} == wanted
 
 
 def test_clusters_over_a_boundary_belong_to_no_split(spark):
@@ -133,22 +139,24 @@ def test_gates(spark):
 READING = "gauge_id string, seq bigint, at timestamp_ntz, batch_id string, stage double, threshold double, stale boolean"
 
 
-def brute_events(rows):
-    out, is_open, below = [], False, set()
-    for gauge, seq, at, batch, stage, threshold, stale in rows:
-        if stale:
-            out.append((seq, "unknown_stale"))
-        elif stage >= threshold:
-            below = set()
-            if not is_open:
-                is_open = True
-                out.append((seq, "observed_flooding"))
-        else:
-            below.add(batch)
-            if is_open and len(below) >= 3:
-                is_open = False
-                out.append((seq, "resolved"))
-    return out, is_open
+def defined_events(rows):
+    """Transitions and the last state, from the batches below since the last crossing.
+
+    An event is open at a reading if there was a crossing and fewer than three batches have
+    been below since.
+    """
+    live = [r for r in rows if not r[-1]]
+
+    def open_at(k):
+        crossings = [i for i in range(k + 1) if live[i][4] >= live[i][5]]
+        return bool(crossings) and len({live[i][3] for i in range(crossings[-1] + 1, k + 1)}) < 3
+
+    states = [open_at(k) for k in range(len(live))]
+    out = [(r[1], "unknown_stale") for r in rows if r[-1]]
+    for k, (was, now) in enumerate(zip([False, *states], states)):
+        if was != now:
+            out.append((live[k][1], "observed_flooding" if now else "resolved"))
+    return out, bool(states) and states[-1]
 
 
 def test_three_distinct_batches_close(spark):
@@ -162,7 +170,7 @@ def test_three_distinct_batches_close(spark):
     assert event_state(spark.createDataFrame(rows[:4], READING)).first().open is True
 
 
-def test_events_equal_a_plain_scan(spark):
+def test_events_follow_their_definition(spark):
     rng = random.Random(8)
     rows, expected, states = [], set(), {}
     for g in range(60):
@@ -171,7 +179,7 @@ def test_events_equal_a_plain_scan(spark):
             for i in range(rng.randrange(1, 120))
         ]
         rows += mine
-        out, is_open = brute_events(mine)
+        out, is_open = defined_events(mine)
         expected |= {(f"g{g}", *x) for x in out}
         if not all(r[-1] for r in mine):
             states[f"g{g}"] = is_open

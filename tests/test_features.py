@@ -72,7 +72,8 @@ def test_live_history_uses_elapsed_hours_only(spark):
 def test_live_history_rejects_a_gap(spark):
     got = live(spark, (0, 1, 3))
     assert got["histories"].count() == 0
-    assert "first missing hour is 2026-01-02T10:00:00" in got["failures"].first().reason
+    failure = got["failures"].first()
+    assert failure.reason == "incomplete history" and str(failure.first_missing_at).startswith("2026-01-02 10:00:00")
 
 
 def test_scales_and_normalisation(spark):

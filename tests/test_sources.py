@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from stagecast.operators import upstream as u
 from stagecast.operators import views
 from stagecast.operators.coverage import IncompleteArchiveError, require_complete
+from stagecast.operators.revisions import scan
 from stagecast.schemas import REVISION
 from stagecast.sources import bulletins as b
 from stagecast.sources import envelopes as v
 from stagecast.sources import payloads as p
 from stagecast.sources import tables as t
-from stagecast.sources.demo import basins
+from stagecast.sources.basins import basins
 from stagecast.streaming import events as se
 from stagecast.streaming import ingest as si
 
@@ -58,7 +59,7 @@ def test_payload_features(spark):
     rows = spark.createDataFrame([("g", "00065", AT, json.dumps({"features": features}))], "gauge_id string, parameter_code string, ingested_at timestamp, payload string")
     got = p.payload_observations(rows).orderBy("event_time", "value").collect()
     assert [(r.time_series_id, r.value, r.unit, r.approved, r.qualifiers) for r in got] == [
-        ("g", None, "ft", False, []), ("a", 4.5, "ft", True, ["ICE"]), ("USGS-1", None, "m", False, []), ("g", None, "ft", False, []),
+        ("g", None, "ft", False, []), ("a", 4.5, "ft", True, ["ICE"]), ("USGS-1", None, "m", False, []),
     ]
     assert got[0].event_time == got[1].event_time == datetime(2024, 1, 1)
     assert [r.reason for r in p.payload_errors(rows).collect()] == ["unreadable value"]
@@ -188,13 +189,32 @@ def test_manifest_is_written_once_and_notices_drift(spark, tmp_path):
         t.require_unchanged(stored, "report", lags.withColumn("lag_hours", F.lit(1)))
 
 
-def test_appended_revisions_are_idempotent(spark, tmp_path):
-    path = str(tmp_path / "revisions")
-    schema = REVISION + ", event_month string"
+def test_direct_batches_store_a_revision_once(spark, tmp_path):
     rows = spark.createDataFrame([revision(), revision(payload="b"), revision()], REVISION)
     for _ in range(2):
-        t.append_revisions(rows, t.read_table(spark, path, schema), path)
-    assert t.read_table(spark, path, schema).count() == 2
+        si.ingest(rows, "direct", str(tmp_path))
+    assert si.revisions_table(spark, str(tmp_path)).count() == 2
+    assert [tuple(r) for r in si.high_water_table(spark, str(tmp_path)).select("series_key", "event_time").collect()] == [("series-05464500", AT)]
+
+
+def test_a_batch_reads_only_its_months(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(si, "read_parts", lambda s, path, parts, schema: asked.append(sorted(parts)) or t.read_parts(s, path, parts, schema))
+    for batch, at in enumerate((datetime(2020, 5, 1), datetime(2026, 1, 1))):
+        si.ingest(spark.createDataFrame([revision(at=at)], REVISION), "direct", str(tmp_path), batch_id=batch)
+    si.ingest(spark.createDataFrame([revision(at=datetime(2020, 5, 1)), revision(at=datetime(2026, 1, 1))], REVISION), "direct", str(tmp_path), batch_id=2)
+    assert asked == [["parameter_code=00065/event_month=2020-05"], ["parameter_code=00065/event_month=2026-01"], ["parameter_code=00065/event_month=2020-05", "parameter_code=00065/event_month=2026-01"]]
+    assert si.revisions_table(spark, str(tmp_path)).count() == 2
+
+
+def test_reads_prune_months(spark, tmp_path):
+    rows = [revision(at=datetime(2024, m, 1), payload=str(m)) for m in range(1, 13)]
+    si.ingest(spark.createDataFrame(rows, REVISION), "direct", str(tmp_path))
+    found = scan(si.revisions_table(spark, str(tmp_path)), start=datetime(2024, 3, 1), before=datetime(2024, 5, 1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "event_month" in filters and "2024-03" in filters and "2024-05" in filters
+    assert found.count() == 2
 
 
 def test_basin_by_any_identifier(spark):
@@ -211,7 +231,7 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
         si.ingest_batch(events, batch, root)
     table = si.revisions_table(spark, root)
     assert sorted(r.payload_hash for r in table.collect()) == ["abc", "b", "c"]
-    assert si.high_water_table(spark, root, 1).count() == 2
+    assert si.high_water_table(spark, root).count() == 2
 
 
 def test_event_state_is_carried_between_batches(spark, tmp_path):
@@ -229,6 +249,25 @@ def test_event_state_is_carried_between_batches(spark, tmp_path):
     assert got == [(0, "observed_flooding"), (4, "resolved"), (6, "observed_flooding")]
 
 
+def test_late_readings_are_set_aside_and_worked_in(spark, tmp_path):
+    root = str(tmp_path)
+    make = lambda *r: spark.createDataFrame([("g", seq, AT, b, stage, 12.0, False) for seq, b, stage in r], se.READING)
+    first, second, late = [(-3, "a", 13.0), (-1, "b", 11.0)], [(5, "c", 11.0)], [(2, "x", 13.0), (6, "d", 11.0)]
+    for n, part in enumerate((first, second, late)):
+        se.observe_batch(make(*part), n, root)
+    assert [r.seq for r in se.late_table(spark, root).collect()] == [2]
+    assert sorted(r.seq for r in se.transition_table(spark, root).collect()) == [-3, 6]
+    whole = make(*first, *second, *late)
+    assert sorted((r.seq, r.transition) for r in se.corrected(spark, root, whole).collect()) == [(-3, "observed_flooding")]
+    state = se.corrected_state(spark, root, 2, whole).first()
+    assert state.open and state.below_batches == ["c", "d"] and state.last_seq == 6
+
+
+def test_a_lost_state_is_an_error(spark, tmp_path):
+    with pytest.raises(t.MissingTable):
+        se.observe_batch(spark.createDataFrame([("g", 1, AT, "a", 13.0, 12.0, False)], se.READING), 3, str(tmp_path))
+
+
 def test_both_ingestion_modes_lead_to_the_same_table(spark, tmp_path):
     rows = spark.createDataFrame([revision(), revision(payload="b"), revision("02089000", payload="c")], REVISION)
     landing = str(tmp_path / "landing")
@@ -236,7 +275,7 @@ def test_both_ingestion_modes_lead_to_the_same_table(spark, tmp_path):
     si.ingest(rows, "streaming", str(tmp_path / "stream"), landing)
     si.run_available(si.file_values(spark, landing), str(tmp_path / "stream"), str(tmp_path / "checkpoint"))
     keys = ["gauge_id", "event_time", "payload_hash", "value"]
-    direct = t.read_table(spark, str(tmp_path / "direct" / "revisions"), REVISION).select(keys)
+    direct = si.revisions_table(spark, str(tmp_path / "direct")).select(keys)
     streamed = si.revisions_table(spark, str(tmp_path / "stream")).select(keys)
     assert sorted(direct.collect()) == sorted(streamed.collect()) and direct.count() == 3
     with pytest.raises(ValueError):
