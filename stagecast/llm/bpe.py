@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import cuts, query, small_batches, table, text_slices, whole_text
+from stagecast.llm.common import cuts, lists, query, small_batches, table, text_slices, whole_text
 from stagecast.llm.pretokens import Encoder, gather, pattern_classes
 
 #: Bytes of text worked on at once; a longer document is a piece of its own.
@@ -115,12 +115,6 @@ def _token_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
 
-def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(values)).cast(
-        pa.list_(pa.from_numpy_dtype(values.dtype))
-    )
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", with_offsets: bool = False) -> DataFrame:
     """Documents with their text's token ids in place of all they have but their columns.
 

@@ -80,6 +80,12 @@ def text_slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[tuple[p
         yield rows, raw[bounds[start] : bounds[stop]], bounds[start : stop + 1] - bounds[start]
 
 
+def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A list column of stretches of ``values``."""
+    whole = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(values))
+    return whole.cast(pa.list_(pa.from_numpy_dtype(values.dtype)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed mixing of 64-bit values (multiply and xor-shift), one to one."""
     x = x ^ (x >> np.uint64(32))

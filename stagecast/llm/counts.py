@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.bpe import SLICE, lists, read_ranks, shared_encoder, tokenizer_json, vocabulary
-from stagecast.llm.common import query, small_batches, table, text_slices, whole_text
+from stagecast.llm.bpe import SLICE, read_ranks, shared_encoder, tokenizer_json, vocabulary
+from stagecast.llm.common import lists, query, small_batches, table, text_slices, whole_text
 from stagecast.llm.pretokens import Encoder, pattern_classes
 
 LEAF = 32

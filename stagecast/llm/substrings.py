@@ -2,9 +2,14 @@
 
 Every window names an anchor: the run of ANCHOR words inside it whose hash is smallest, the
 first of equals. Equal windows have equal anchors in the same place, so only windows whose
-anchors repeat need a closer look. The consecutive windows of one anchor are a segment, one
-row in the shuffles below. A segment that occurs twice as a whole is repeated window by
-window; the windows of other segments with a repeated anchor are counted one by one.
+anchors repeat need a closer look. The consecutive windows of one anchor are a segment. A
+segment that occurs twice as a whole is repeated window by window. The others go, with one
+copy of what they may share, to reference shards: all segments of an anchor meet in one shard,
+a suffix automaton is built over a shard's words, and the segments are streamed through it for
+matching statistics; what matches over WINDOW words in two places is repeated.
+
+A broadcast of the shards to all documents would grow with the corpus in size and in passes;
+since an anchor names the one shard that can hold a match, segments are dealt to it instead.
 """
 
 from __future__ import annotations
@@ -16,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stagecast.llm.automaton import Automaton
 from stagecast.llm.common import (
     Powers,
+    cuts,
+    lists,
     mix64,
     query,
     row_key,
@@ -32,6 +40,9 @@ from stagecast.session import materialise
 
 WINDOW, ANCHOR = 35, 12
 SLICE = 1 << 20
+#: Words of a reference shard, and distinct segments of an anchor up to which they share one;
+#: windows of more crowded anchors are counted by hash.
+SHARD, CROWDED = 20_000, 500
 #: How a segment is dealt with: repeated as a whole, window by window, or as a whole while its
 #: anchor has other segments that are looked at window by window.
 WHOLE, SINGLE, BOTH = 0, 1, 2
@@ -102,35 +113,93 @@ def _scan(window: int, full: bool):
     return run
 
 
-def _single(window: int):
-    """Hashes of the windows to be counted one by one."""
+def _apart(window: int):
+    """What has to be looked at beyond whole segments: segments with their words, or windows.
+
+    Segments of crowded anchors give a row for each window, with its hash, others one row with
+    their words' hashes. Of equal segments of kind BOTH in a row one is enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, bounds in text_slices(batch, "text", SLICE):
                 words, edges = word_hashes(raw, bounds)
-                out = []
-                for i, hits in enumerate(rows.column("hits").to_pylist()):
-                    for hit in hits:
-                        if hit["kind"] != WHOLE:
-                            out.append((i, hit["anchor"], hit["first"], hit["n"], hit["kind"] == SINGLE))
-                if not out:
+                hits = [(i, h) for i, hs in enumerate(rows.column("hits").to_pylist()) for h in hs if h["kind"] != WHOLE]
+                if not hits:
                     continue
-                row, anchor, first, n, single = (np.array(x) for x in zip(*out))
-                start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at = start + np.repeat(edges[row], n)
-                hashes = mix64(span_sums(words, at, at + window, WORDS))
-                owner = pa.array(np.repeat(row, n))
-                yield pa.record_batch(
-                    {
-                        "rid": rows.column("rid").take(owner),
-                        "rhash": rows.column("rhash").take(owner),
-                        "anchor": pa.array(np.repeat(anchor, n), pa.int64()),
-                        "hash": pa.array(hashes.view(np.int64)),
-                        "start": pa.array(start.astype(np.int32)),
-                        "single": pa.array(np.repeat(single, n)),
-                    }
+                row = np.array([i for i, _ in hits])
+                anchor, first, n, kind, crowded = (
+                    np.array([h[k] for _, h in hits]) for k in ("anchor", "first", "n", "kind", "crowded")
                 )
+                at = first + edges[row]
+                segment = span_sums(words, at, at + n + window - 1, WORDS).view(np.int64)
+                same = np.where(kind == BOTH, 0, np.arange(1, len(row) + 1))
+                _, once = np.unique(np.stack([row, anchor, segment, n, same]), axis=1, return_index=True)
+                row, anchor, first, n, kind, crowded, at = (x[once] for x in (row, anchor, first, n, kind, crowded, at))
+                size = np.where(crowded, n, 1)
+                part = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                row, anchor, first, at, n, kind, crowded = (
+                    np.repeat(x, size) for x in (row, anchor, first, at, n, kind, crowded)
+                )
+                at, first = at + part, first + part
+                length = np.where(crowded, 0, n + window - 1)
+                ends = np.concatenate([[0], np.cumsum(length)])
+                flat = words[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])].view(np.int64)
+                hashes = mix64(span_sums(words, at, at + window, WORDS)).view(np.int64)
+                owner = pa.array(row)
+                found = {
+                    "rid": rows.column("rid").take(owner),
+                    "rhash": rows.column("rhash").take(owner),
+                    "anchor": pa.array(anchor, pa.int64()),
+                    "first": pa.array(first.astype(np.int32)),
+                    "single": pa.array(kind == SINGLE),
+                    "hash": pa.array(hashes, mask=~crowded),
+                    "words": lists(flat, ends),
+                }
+                found = pa.record_batch(found)
+                for start, stop in cuts(length + 1, SLICE):
+                    yield found.slice(start, stop - start)
+
+    return run
+
+
+def _shards(window: int):
+    """Windows of single segments that another place holds: (rid, rhash, start).
+
+    Rows come sorted by anchor; whole anchors are gathered to a shard of some SHARD words.
+    """
+
+    def looked(part: list) -> tuple[list, list, list]:
+        automaton = Automaton(words for *_, words in part)
+        owners, starts = [], []
+        for rid, rhash, first, single, words in part:
+            if single:
+                ends = automaton.repeated_ends(words, window)
+                owners += [(rid, rhash)] * len(ends)
+                starts += [first + end - window for end in ends]
+        return [r for r, _ in owners], [h for _, h in owners], starts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, part, size, last = None, [], 0, None
+
+        def done():
+            rid, rhash, starts = looked(part)
+            return pa.record_batch(
+                {"rid": pa.array(rid, kind), "rhash": pa.array(rhash, pa.int64()), "start": pa.array(starts, pa.int32())}
+            )
+
+        for batch in batches:
+            kind = batch.schema.field("rid").type
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "rid", "rhash", "first", "single", "words"))
+            for anchor, *row in zip(*columns):
+                if anchor != last and size >= SHARD:
+                    yield done()
+                    part, size = [], 0
+                last = anchor
+                part.append(row)
+                size += len(row[-1])
+        if part:
+            yield done()
 
     return run
 
@@ -173,10 +242,10 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     are runs of anything but space and the controls 9 to 13; texts of fewer than ``window``
     words, empty and null ones lose nothing. Of repeated rows every one loses its windows.
 
-    Texts are read for counting and for placing the segments, then dealt out once by row key
-    to be looked at with the segments found in them. Anchors, segments and windows of which
-    there are very many meet only in sums that combine before the shuffle and on the many
-    side of joins against one row per key.
+    Texts are read for counting and for placing the segments, then dealt out by row key to be
+    looked at with the segments found in them. Anchors, segments and windows of which there are
+    very many meet only in sums that combine before the shuffle and on the many side of joins
+    against one row per key; a shard holds CROWDED segments of an anchor at most.
     """
     spark = small_batches(docs.sparkSession)
     whole = docs.select(F.struct("*").alias("row"), *row_key(), whole_text().alias("text"))
@@ -187,11 +256,13 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counted = counted.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min("rk").alias("head"))
     counted = materialise(counted, "segments")
     anchors = counted.groupBy("anchor").agg(
-        F.sum("n").alias("total"), F.max(F.col("n") == 1).alias("singles")
+        F.sum("n").alias("total"),
+        F.max(F.col("n") == 1).alias("singles"),
+        (F.count("*") > CROWDED).alias("crowded"),
     )
     anchors = materialise(anchors.filter("total > 1"), "anchors")
     how = F.when(F.col("n") == 1, SINGLE).when(F.col("singles"), BOTH).otherwise(WHOLE)
-    repeated = counted.join(anchors, "anchor").select("anchor", "segment", how.alias("kind"), "head")
+    repeated = counted.join(anchors, "anchor").select("anchor", "segment", how.alias("kind"), "head", "crowded")
     repeated = materialise(repeated, "repeated")
 
     placed = plain.mapInArrow(
@@ -200,7 +271,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hits = placed.join(repeated, ["anchor", "segment"])
     kind_here = F.when((F.col("kind") == BOTH) & (F.col("rk") != F.col("head")), WHOLE).otherwise(F.col("kind"))
     hits = hits.withColumn("kind", kind_here).groupBy("rid", "rhash").agg(
-        F.collect_list(F.struct("anchor", "first", "n", "kind")).alias("hits")
+        F.collect_list(F.struct("anchor", "first", "n", "kind", "crowded")).alias("hits")
     )
     hits = materialise(hits, "hits").withColumnsRenamed({"rid": "hid", "rhash": "hhash"})
 
@@ -208,14 +279,18 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = whole.repartition(n, "rhash")
     here = (F.col("rhash") == F.col("hhash")) & F.col("rid").eqNullSafe(F.col("hid"))
     looked = dealt.join(hits, here).filter(F.exists("hits", lambda h: h["kind"] != WHOLE))
-    windows = looked.select("rid", "rhash", "text", "hits").mapInArrow(
-        _single(window), f"rid {kind}, rhash long, anchor long, hash long, start int, single boolean"
+    apart = looked.select("rid", "rhash", "text", "hits").mapInArrow(
+        _apart(window),
+        f"rid {kind}, rhash long, anchor long, first int, single boolean, hash long, words array<long>",
     )
-    windows = materialise(windows, "windows")
+    apart = materialise(apart, "apart")
+    shards = apart.filter("hash is null").repartition(n, "anchor").sortWithinPartitions("anchor")
+    shards = shards.mapInArrow(_shards(window), f"rid {kind}, rhash long, start int")
+    windows = apart.filter("hash is not null").select("rid", "rhash", "anchor", "hash", "single", F.col("first").alias("start"))
     again = windows.groupBy("anchor", "hash").agg(F.count("*").alias("times")).filter("times > 1")
     again = materialise(again, "windows-again")
-    starts = windows.filter("single").join(again, ["anchor", "hash"])
-    starts = starts.groupBy(F.col("rid").alias("sid"), F.col("rhash").alias("shash")).agg(
+    windows = windows.filter("single").join(again, ["anchor", "hash"]).select("rid", "rhash", "start")
+    starts = shards.unionByName(windows).groupBy(F.col("rid").alias("sid"), F.col("rhash").alias("shash")).agg(
         F.collect_list("start").alias("starts")
     )
     there = (F.col("rhash") == F.col("shash")) & F.col("rid").eqNullSafe(F.col("sid"))

@@ -6,6 +6,7 @@ import numpy as np
 from data import documents, empty, rows, words
 
 from stagecast.llm import substrings
+from stagecast.llm.automaton import Automaton
 
 
 def slow(texts, window):
@@ -76,3 +77,24 @@ def test_first_smallest():
     for width in range(1, 9):
         want = [i + int(np.argmin(values[i : i + width])) for i in range(len(values) - width + 1)]
         assert substrings.first_smallest(values, width).tolist() == want
+
+
+def test_crowded_anchors_are_counted_by_window(spark, monkeypatch):
+    rng = random.Random(13)
+    passage = words(rng, 38)
+    texts = [f"{words(rng, 20)} {passage} {words(rng, 20)}" for _ in range(30)] + [f"{words(rng, 30)} {passage}"] * 2
+    for crowded, shard in ((3, 100), (500, 100), (500, 20000)):
+        monkeypatch.setattr(substrings, "CROWDED", crowded)
+        monkeypatch.setattr(substrings, "SHARD", shard)
+        check(spark, texts)
+
+
+def test_automaton_counts_places():
+    rng = random.Random(1)
+    for _ in range(400):
+        parts = [[rng.randrange(rng.choice((2, 3, 4))) for _ in range(rng.randrange(0, 14))] for _ in range(rng.randrange(1, 6))]
+        automaton, least = Automaton(parts), rng.randrange(1, 5)
+        seen = Counter(tuple(p[i : i + least]) for p in parts for i in range(len(p) - least + 1))
+        for p in [*parts, [rng.randrange(5) for _ in range(9)]]:
+            want = [i + least for i in range(len(p) - least + 1) if seen[tuple(p[i : i + least])] >= 2]
+            assert automaton.repeated_ends(p, least) == want
