@@ -95,7 +95,8 @@ def exact_quantiles(
     )
     subs = values.groupBy(*keys, "bin", "sub").agg(F.sum("n").alias("n"))
     in_sub = _locate(subs, [*keys, "bin"], "sub", in_bin.drop("lo", "hi"))
-    picked = _locate(values, [*keys, "bin", "sub"], "v", in_sub)
+    held = in_sub.select(*keys, "bin", "sub").distinct()  # only values of these sub-bins are put in order
+    picked = _locate(values.join(held, [*keys, "bin", "sub"], "left_semi"), [*keys, "bin", "sub"], "v", in_sub)
     fraction = F.col("exact") - F.floor("exact")
     return (
         picked.groupBy(*keys, "probability", "group_size")

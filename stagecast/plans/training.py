@@ -17,6 +17,9 @@ from stagecast.operators.features import TARGET_FEATURES
 from stagecast.session import materialise
 
 
+FITTING = ("training", "validation", "calibration")
+
+
 def with_split(examples: DataFrame, issue_day, cutoff: date, splits=SPLITS) -> DataFrame:
     """Add ``split`` by issue day; training has no lower bound."""
     return examples.withColumn("split", split_of(issue_day, cutoff, splits, open_start=True))
@@ -26,6 +29,24 @@ def _of(examples: DataFrame, split: str) -> DataFrame:
     return examples.where(F.col("split") == split)
 
 
+class EmptySplit(ValueError):
+    pass
+
+
+def split_counts(examples: DataFrame) -> DataFrame:
+    """Examples of each target by split, a column each."""
+    return examples.groupBy("target_id").agg(
+        *[F.count_if(F.col("split") == name).alias(f"{name}_examples") for name in FITTING]
+    )
+
+
+def require_splits(counts: DataFrame) -> None:
+    """Refuse targets that lack a split."""
+    lacking = counts.where(F.least(*[f"{name}_examples" for name in FITTING]) == 0).limit(20).collect()
+    if lacking:
+        raise EmptySplit("a split is empty for " + ", ".join(sorted(r.target_id for r in lacking)))
+
+
 def _metrics(scored: DataFrame, thresholds: DataFrame, horizons, name: str) -> DataFrame:
     return m.horizon_mae(scored, horizons).join(
         m.high_stage_mae(scored, thresholds, horizons), "target_id", "left"
@@ -42,8 +63,11 @@ def train_ridge(
     """Fit both variants, choose by the promotion gate, calibrate the choice.
 
     Examples carry ``target_id, split``, the features and ``y_<h>``; they are read several times,
-    so pass a stored table. Returns ``models`` and ``report``.
+    so pass a stored table. A target without examples in one of the splits is refused. Returns
+    ``models`` and ``report``, both with the examples of each split.
     """
+    sizes = materialise(split_counts(examples), "split-counts")
+    require_splits(sizes)
     train, validation, calibration = (
         _of(examples, s) for s in ("training", "validation", "calibration")
     )
@@ -89,32 +113,37 @@ def train_ridge(
             ),
             horizons,
         )
-        counts = calibration.groupBy("target_id").agg(F.count("*").alias("calibration_examples"))
         document = (
             selected.join(offsets, "target_id")
-            .join(counts, "target_id")
+            .drop(*sizes.columns[1:])
+            .join(sizes, "target_id")
             .withColumn("model_type", F.lit(RIDGE_MODEL))
             .withColumn("feature_columns", F.array(*map(F.lit, cols)))
         )
         documents = document if documents is None else documents.unionByName(document)
-    return {"models": documents, "report": report.join(chosen, "target_id", "left")}
+    return {"models": documents, "report": report.join(chosen, "target_id", "left").join(sizes, "target_id")}
 
 
 def train_trees(
     sequences: DataFrame,
     horizons: Sequence[int] = HORIZONS,
     quantiles: Sequence[float] = QUANTILES,
-    trees: int = 20,
-    depth: int = 5,
+    trees: int = 1000,
+    depth: int = 6,
     step: float = 0.1,
     seed: int = 20260917,
 ) -> dict[str, DataFrame]:
-    """Boosted-tree challengers on the change from the latest value, one model per horizon.
-
-    Sequences carry ``target_id, split, history`` and ``y_<h>``. Each model is fitted over the
-    rows of all targets with the validation split for early stopping; histories enter relative to
-    their last value. Returns scored rows, the report and residual quantiles.
+    """Boosted-tree challengers on the change from the latest value, one model per target and horizon.
+
+    Sequences carry ``target_id, split, history`` and ``y_<h>``; they are read several times, so
+    pass a stored table. Each model is fitted to its target's rows, with the validation split for
+    early stopping, in as many rounds as that takes up to ``trees``; histories enter relative to
+    their last value. Returns scored rows, the report with the examples of each split and the
+    rounds used, and residual quantiles. Targets are fitted one after another, each over the
+    cluster.
     """
+    sizes = split_counts(sequences)
+    require_splits(sizes)
     last = F.element_at("history", -1).cast("double")
     rows = (
         sequences.where(F.col("split").isin("training", "validation", "calibration"))
@@ -125,22 +154,32 @@ def train_trees(
         )
         .withColumn("held", F.col("split") == "validation")
     )
-    fit_on = rows.where(F.col("split").isin("training", "validation"))
-    scored = rows
-    for h in horizons:
-        fitted = GBTRegressor(
-            featuresCol="features", labelCol="change", predictionCol=f"d_{h}",
-            validationIndicatorCol="held", maxIter=trees, maxDepth=depth, stepSize=step,
-            subsamplingRate=0.8, minInstancesPerNode=5, seed=seed, cacheNodeIds=False,
-        ).fit(fit_on.withColumn("change", F.col(f"y_{h}").cast("double") - F.col("current")))
-        scored = fitted.transform(scored).withColumn(f"p_{h}", F.col("current") + F.col(f"d_{h}"))
-    scored = scored.select(
-        *[c for c in sequences.columns if c != "history"], "current", *[f"p_{h}" for h in horizons]
+    kept = [c for c in sequences.columns if c != "history"]
+    names = [r.target_id for r in sizes.select("target_id").orderBy("target_id").collect()]
+    scored, rounds = None, []
+    for name in names:
+        mine = rows.where(F.col("target_id") == name)
+        for h in horizons:
+            label = F.col(f"y_{h}").cast("double") - F.col("current")
+            fitted = GBTRegressor(
+                featuresCol="features", labelCol="change", predictionCol=f"d_{h}",
+                validationIndicatorCol="held", maxIter=trees, maxDepth=depth, stepSize=step,
+                subsamplingRate=0.8, minInstancesPerNode=5, seed=seed, cacheNodeIds=False,
+            ).fit(mine.where(F.col("split") != "calibration").withColumn("change", label))
+            rounds.append((name, h, fitted.getNumTrees))
+            mine = fitted.transform(mine).withColumn(f"p_{h}", F.col("current") + F.col(f"d_{h}"))
+        mine = mine.select(*kept, "current", *[f"p_{h}" for h in horizons])
+        scored = mine if scored is None else scored.unionByName(mine)
+    used = sequences.sparkSession.createDataFrame(rounds, "target_id string, horizon int, rounds int")
+    used = used.groupBy("target_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "rounds")))).alias("rounds")
     )
     thresholds = m.label_thresholds(_of(sequences, "training"), 0.95, horizons)
     return {
         "scored": scored,
-        "report": _metrics(_of(scored, "validation"), thresholds, horizons, "boosted_trees"),
+        "report": _metrics(_of(scored, "validation"), thresholds, horizons, "boosted_trees")
+        .join(sizes, "target_id")
+        .join(used, "target_id"),
         "residuals": m.residual_quantiles(_of(scored, "calibration"), horizons, quantiles),
     }
 

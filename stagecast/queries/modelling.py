@@ -39,8 +39,9 @@ from stagecast.queries.bindings import (
     split_sql,
     table,
 )
-from stagecast.session import materialise
-from stagecast.sources.tables import challenger_records, merge_forecasts
+from stagecast.plans.features import build_feature_set
+from stagecast.session import materialise, scratch
+from stagecast.sources.tables import challenger_records, manifest, merge_forecasts
 
 LABELS = x.label_names()
 FEATURES = list(x.TARGET_FEATURES)
@@ -125,6 +126,25 @@ def upstream_examples(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, *FEATURES, *LABELS, *_UP_NAMES)
 
 
+@query(f"""WITH {_EX}, {_UP} SELECT target_id, ex.idx, round(x1, 6) AS target_stage_ft, split,
+  list_transform(v, lambda u: round(u, 6)) AS upstream,
+  (SELECT list(gauge_id || '@' || lag ORDER BY gauge_id) FROM lg WHERE lg.up_target = target_id) AS upstream_gauges
+FROM ex JOIN up ON up_target = target_id AND up_idx = ex.idx
+WHERE make_timestamp(ex.idx * {DAY}) < DATE '{DAILY_CUTOFF}' + INTERVAL 1 DAY""")
+def feature_set(spark: SparkSession, d: str) -> DataFrame:
+    """Frozen lags, the drift check, and examples written by target and read back."""
+    series, report = daily(spark, d), _lags(spark, d).withColumn("suitable", F.lit(True))
+    frozen = materialise(manifest(report, {"daily": series}, DAILY_CUTOFF, DAILY_SPLITS), "manifest")
+    found = build_feature_set(
+        frozen, {"daily": series}, series, series, day_of(F.col("idx")), DAILY_CUTOFF,
+        scratch(spark, "features"), DAILY_SPLITS, width=512,
+    )
+    return rounded(found, "target_stage_ft").select(
+        "target_id", "idx", "target_stage_ft", "split", "upstream_gauges",
+        F.transform("upstream", lambda u: F.round(u, 6)).alias("upstream"),
+    )
+
+
 def sequences(spark: SparkSession, d: str, lookback: int = 168) -> DataFrame:
     found = x.sequence_examples(daily(spark, d, pooled=True), lookback, width=1024)
     return with_split(found, day_of(F.col("issued_idx")), DAILY_CUTOFF, DAILY_SPLITS)
@@ -424,9 +444,9 @@ def paired_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_challenger(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on daily histories of 24 steps."""
-    rows = materialise(sequences(spark, d, 24), "sequences")
-    return train_trees(rows, trees=5, depth=3)["report"]
+    """Boosted trees on daily histories, rounds until the validation error stops falling."""
+    rows = materialise(sequences(spark, d), "sequences")
+    return train_trees(rows)["report"]
 
 
 # --- forecasts ---------------------------------------------------------------

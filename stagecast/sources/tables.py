@@ -124,6 +124,13 @@ def require_unchanged(manifest_rows: DataFrame, name: str, df: DataFrame) -> Non
         raise FrozenInputChanged(f"input {name} changed after the manifest was frozen")
 
 
+def require_cutoff(manifest_rows: DataFrame, cutoff: date) -> None:
+    """Refuse work up to another day than the frozen one."""
+    frozen = manifest_rows.where(F.col("section") == "archive_cutoff").select("detail").first()
+    if frozen is None or frozen.detail != cutoff.isoformat():
+        raise FrozenInputChanged(f"the manifest is not frozen at {cutoff.isoformat()}")
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
     """Feature sets and reports: Parquet by target or report key."""
     df.write.mode(mode).partitionBy(*by).parquet(path)

@@ -4,10 +4,10 @@ import pytest
 from demo import demo_observations
 from pyspark.sql import functions as F
 
-from stagecast.constants import DAY, HORIZONS, HOUR, QUANTILES
+from stagecast.constants import DAY, DISCHARGE, HORIZONS, HOUR, QUANTILES
 from stagecast.operators import forecast as f
 from stagecast.operators import views
-from stagecast.plans.shadow import shadow_cycle
+from stagecast.plans.shadow import challenger_inputs, shadow_cycle
 from stagecast.sources.basins import basins
 from stagecast.sources.tables import merge_forecasts
 
@@ -120,3 +120,17 @@ def test_shadow_cycle_over_demo_readings(spark):
     assert rows.count() == 3 * 49 and cycle["refused"].count() == 0
     stored = shadow_cycle(rows, model(spark), limits(spark), cycle["forecasts"], ISSUED)
     assert stored["forecasts"].count() == 1
+
+
+def test_discharge_and_other_times_change_nothing(spark):
+    gauges = basins(spark).select("gauge_id").withColumn("position", F.lit(0))
+    rows = demo_observations(gauges, ISSUED, steps=49)
+    flows = rows.withColumn("parameter_code", F.lit(DISCHARGE)).withColumn("value", F.lit(950.0))
+    later = rows.withColumn("event_time", F.col("event_time") + F.expr("interval 2 days")).withColumn("value", F.lit(77.0))
+    targets = gauges.select(F.col("gauge_id").alias("target_id"))
+    for more in (flows, later):
+        both = rows.unionByName(more)
+        one, two = (shadow_cycle(r, model(spark), limits(spark), None, ISSUED)["forecasts"] for r in (rows, both))
+        assert one.select("id", "stage").collect() == two.select("id", "stage").collect()
+        one, two = (challenger_inputs(r, targets, ISSUED, lookback=12)["histories"] for r in (rows, both))
+        assert one.count() == 3 and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
