@@ -27,6 +27,8 @@ THRESHOLD = 0.93
 TABLES, BITS, SEED = 24, 11, 5
 #: Classes compared with one another at once; larger buckets are compared tile by tile.
 TILE = 1024
+#: Rows of a bucket up to which it is compared together with others.
+SMALL = 32
 
 
 @lru_cache(maxsize=8)
@@ -41,7 +43,9 @@ def signatures(vectors: np.ndarray) -> np.ndarray:
     return (signs @ (1 << np.arange(BITS))).astype(np.int32)
 
 
-def _vectors(column: pa.Array, size: int) -> np.ndarray:
+def _vectors(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
@@ -70,60 +74,83 @@ def classes(rows: DataFrame) -> DataFrame:
     return found.withColumn("size", F.size("vector"))
 
 
-def compared(rows: pa.Table) -> pa.Table:
-    """(rep, low, links) of the classes of one bucket or tile; each pair is counted in one place.
+KEY = ("label", "size", "tab", "bucket", "tile")
+
+
+def _pairs(vectors: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell at THRESHOLD or above; ``cell`` numbers are sorted.
 
-    ``low`` is the smallest class reached inside the tile, ``links`` the vectors linked there.
+    Small cells are compared all at once, row against the row d places on; large ones one by
+    one with a matrix product.
     """
-    size = rows.column("size")[0].as_py()
-    vectors = _vectors(rows.column("vector").combine_chunks(), size)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
-    near = np.triu((vectors @ vectors.T) / np.outer(norms, norms) >= THRESHOLD, 1)
-    a, b = np.nonzero(near)
+    heads = np.nonzero(np.diff(cell, prepend=-1))[0]
+    sizes = np.diff(np.append(heads, len(cell)))
+    left, right = [], []
+    for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        part, norm = vectors[head : head + size], norms[head : head + size]
+        i, j = np.nonzero(np.triu((part @ part.T) / np.outer(norm, norm) >= THRESHOLD, 1))
+        left.append(i + head)
+        right.append(j + head)
+    at, lag = np.nonzero(np.repeat(sizes, sizes) <= SMALL)[0], 1
+    while len(at):
+        at = at[at + lag < len(cell)]
+        at = at[cell[at] == cell[at + lag]]
+        cosine = np.einsum("ij,ij->i", vectors[at], vectors[at + lag]) / (norms[at] * norms[at + lag])
+        near = at[cosine >= THRESHOLD]
+        left.append(near)
+        right.append(near + lag)
+        lag += 1
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left + none), np.concatenate(right + none)
+
+
+def compared(rows: pa.Table) -> pa.RecordBatch:
+    """(rep, low, links) of the classes of whole buckets or tiles, of vectors of one size.
+
+    ``low`` is the smallest class reached inside the tile, ``links`` the vectors linked there; a
+    pair counts in the first table in which it meets, and in one tile of a bucket.
+    """
+    change = np.zeros(rows.num_rows, dtype=bool)
+    for name in KEY:
+        values = rows.column(name).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    a, b = _pairs(_vectors(rows.column("vector"), rows.column("size")[0].as_py()), np.cumsum(change))
     rep, members = rows.column("rep").to_numpy(), rows.column("members").to_numpy()
-    links = np.zeros(len(rep), dtype=np.int64)
-    at = rows.column("tab")[0].as_py()
     buckets = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
-    chunk, tile = rows.column("chunk").to_numpy(), rows.column("tile")[0].as_py()
-    first = ~np.any(buckets[a, :at] == buckets[b, :at], axis=1)
-    if tile >> 20 != tile & ((1 << 20) - 1):  # pairs inside a chunk belong to the chunk's own tile
-        first &= chunk[a] != chunk[b]
+    tab, chunk, tile = (rows.column(c).to_numpy() for c in ("tab", "chunk", "tile"))
+    earlier = np.arange(TABLES) < tab[a][:, None]
+    first = ~np.any((buckets[a] == buckets[b]) & earlier, axis=1)
+    # pairs inside a chunk belong to the chunk's own tile
+    first &= (tile[a] >> 20 == tile[a] & ((1 << 20) - 1)) | (chunk[a] != chunk[b])
+    links = np.zeros(len(rep), dtype=np.int64)
     np.add.at(links, a[first], members[b[first]])
     np.add.at(links, b[first], members[a[first]])
     low = smallest_linked(len(rep), a, b)
     keep = (links > 0) | (low != np.arange(len(rep)))
-    return pa.table({"rep": rep[keep], "low": rep[low[keep]], "links": links[keep]})
-
-
-KEY = ("label", "size", "tab", "bucket", "tile")
+    return pa.record_batch({"rep": rep[keep], "low": rep[low[keep]], "links": links[keep]})
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by KEY; a tile has few rows, so a bucket is held whole."""
+    """Rows come sorted by KEY; those of the last bucket wait for the next batch."""
     rest = None
     for batch in batches:
         part = pa.Table.from_batches([batch])
-        rest = part if rest is None else pa.concat_tables([rest, part])
-        *done, rest = list(_split(rest))
-        for rows in done:
-            yield from _result(rows)
-    if rest is not None and rest.num_rows:
-        yield from _result(rest)
-
-
-def _split(rows: pa.Table) -> Iterator[pa.Table]:
-    change = np.zeros(rows.num_rows, dtype=bool)
-    for name in KEY:
-        values = rows.column(name).to_numpy()
-        change[1:] |= values[1:] != values[:-1]
-    edges = [0, *np.nonzero(change)[0].tolist(), rows.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        yield rows.slice(a, b - a)
-
-
-def _result(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    if rows.num_rows > 1:
-        yield from compared(rows).to_batches()
+        rest = (part if rest is None else pa.concat_tables([rest, part])).combine_chunks()
+        last = np.ones(rest.num_rows, dtype=bool)
+        for name in KEY:
+            values = rest.column(name).to_numpy()
+            last &= values == values[-1]
+        yield from _by_size(rest.slice(0, int(np.argmax(last))))
+        rest = rest.slice(int(np.argmax(last)))
+    if rest is not None:
+        yield from _by_size(rest)
+
+
+def _by_size(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    sizes = rows.column("size").to_numpy()
+    for size in np.unique(sizes):
+        yield compared(rows.filter(pa.array(sizes == size)).combine_chunks())
 
 
 def links(found: DataFrame) -> DataFrame:

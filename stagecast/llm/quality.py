@@ -28,6 +28,10 @@ PAD = 256
 MOST_PER_CLASS, MOST_CHARS, MOST_CHUNKS = 1200, 16384, 24
 EPOCHS, BATCH, RATE = 11, 64, 0.01
 THRESHOLD = 0.7
+#: How much more it counts to lose a good text than to keep a poor one when the cut is set.
+KEEP = 4.0
+#: Shares of the good texts learned from in part, and of all texts that set the cut.
+SHORT, CUT_ON = 0.5, 0.25
 SLICE = 1 << 19
 
 
@@ -131,9 +135,10 @@ class Network:
 def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
     """A network fitted to texts and labels (1 good, 0 poor); Adam over a fixed number of epochs.
 
-    The classes weigh the same. ``shift`` is set afterwards so that THRESHOLD falls where the
-    training texts are divided with the fewest errors, poor and good ones counted alike. With
-    labels of one class only the network is left as drawn and leans to that class.
+    The classes weigh the same. Part of a good text is as good, so SHORT of them are learned from
+    once more as a few words. A share CUT_ON of the texts is left out of the fit and sets
+    ``shift``, so that THRESHOLD falls where they are divided with the least error, a good text
+    below counting KEEP times. With labels of one class only the network leans to that class.
     """
     net, draw = Network(seed), np.random.default_rng(seed)
     offset = np.log(THRESHOLD / (1 - THRESHOLD))
@@ -141,22 +146,35 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
         net.p["w2"][:] = 0
         net.shift = offset + (2.0 if len(good) == 0 or good[0] else -2.0)
         return net
-    share = good.mean()
-    weights = np.where(good == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    known = [(t, int(y), k) for k, (t, y) in enumerate(zip(texts, good))]
+    for text, y, k in known[: len(texts)]:
+        if y and draw.random() < SHORT:
+            words = text.split()
+            at = int(draw.integers(0, max(1, len(words))))
+            known.append((b" ".join(words[at : at + int(draw.integers(1, 30))]), 1, k))
     pieces = []
-    for text in texts:  # a run of half-chunks from a random place of each text
+    for text, _, _ in known:  # a run of half-chunks from a random place of each text
         most = MOST_CHUNKS * HALF
         at = int(draw.integers(0, max(1, len(text) - most + 1)))
         raw = np.frombuffer(text[at : at + most], dtype=np.uint8)
         pieces.append(half_chunks(raw, np.array([0, len(raw)]))[0])
+    labels = np.array([y for _, y, _ in known])
+    share = labels.mean()
+    weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    apart = draw.random(len(texts))[[k for _, _, k in known]] < CUT_ON
+    if len(set(labels[apart].tolist())) < 2:
+        apart[:] = True  # too few texts to leave some out
+        fit = np.arange(len(known))
+    else:
+        fit = np.nonzero(~apart)[0]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    step, steps = 0, EPOCHS * -(-len(texts) // BATCH)
+    step, steps = 0, EPOCHS * -(-len(fit) // BATCH)
     for _ in range(EPOCHS):
-        order = draw.permutation(len(texts))
+        order = draw.permutation(fit)
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
             ends = np.concatenate([[0], np.cumsum([len(pieces[k]) for k in some])])
-            g = net.gradient(np.concatenate([pieces[k] for k in some]), ends, good[some], weights[some])
+            g = net.gradient(np.concatenate([pieces[k] for k in some]), ends, labels[some], weights[some])
             step += 1
             rate = RATE * (1 - step / steps) + 1e-4
             for k, v in net.p.items():
@@ -164,21 +182,25 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-    parts = [(i, min(i + 200, len(pieces))) for i in range(0, len(pieces), 200)]
-    logit = np.concatenate([net.forward(np.concatenate(pieces[a:b]), ends[a : b + 1] - ends[a]) for a, b in parts])
-    net.shift = float(offset - _cut(logit.astype(np.float64), good, weights))
+    logit = []
+    for i in np.nonzero(apart)[0]:
+        logit.append(net.forward(pieces[i], np.array([0, len(pieces[i])]))[0])
+    net.shift = float(offset - _cut(np.array(logit, dtype=np.float64), labels[apart], weights[apart]))
     return net
 
 
 def _cut(logit: np.ndarray, good: np.ndarray, weights: np.ndarray) -> float:
-    """The logit that divides good from poor with the least weighted error; the middle of ties."""
+    """The logit that divides good from poor with the least weighted error.
+
+    Of equally good cuts it takes one nearer to the poor texts, in the ratio of KEEP to 1.
+    """
     order = np.argsort(logit)
-    x, w = logit[order], weights[order] * np.where(good[order] == 1, 1, -1)
+    x, w = logit[order], weights[order] * np.where(good[order] == 1, KEEP, -1)
     error = np.concatenate([[0], np.cumsum(w)])  # good ones below the cut, less poor ones
-    edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
+    edges = (x[0] - 1, x[-1] + 1)
     best = np.nonzero(error <= error.min() + 1e-9)[0]
-    return float(edges[best[len(best) // 2]])
+    low, high = (x[best[0] - 1] if best[0] else edges[0]), (x[best[-1]] if best[-1] < len(x) else edges[-1])
+    return float(low + (high - low) / (1 + KEEP))
 
 
 def held_out(ident):
