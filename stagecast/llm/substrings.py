@@ -299,7 +299,22 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_kept(window), f"row {row}, kept string, n_words long, n_removed long")
 
 
-@query()
+DEDUP_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win
+  WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query(DEDUP_SQL)
 def op7_substring_dedup(spark, sf_dir):
     """Words that every document of ``documents`` loses to repeated windows, and what is left."""
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
