@@ -52,13 +52,13 @@ def test_sequences(spark, width):
     assert gap.history == [3.0, 4.0, 5.0, 6.0]
 
 
-OBS = """source string, time_series_id string, gauge_id string, event_time timestamp, value double,
-    ingested_at timestamp, payload_hash string"""
+OBS = """source string, time_series_id string, gauge_id string, parameter_code string, event_time timestamp,
+    value double, ingested_at timestamp, payload_hash string"""
 
 
 def live(spark, hours):
     start = datetime(2026, 1, 2, 8)
-    rows = [("t", "s", "g", start + timedelta(hours=h), float(h), start, str(h)) for h in hours]
+    rows = [("t", "s", "g", "00065", start + timedelta(hours=h), float(h), start, str(h)) for h in hours]
     targets = spark.createDataFrame([("g",)], "target_id string")
     return challenger_inputs(spark.createDataFrame(rows, OBS), targets, datetime(2026, 1, 2, 12, 30), 4)
 
