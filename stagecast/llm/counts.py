@@ -78,15 +78,11 @@ def leaves_of(starts: np.ndarray, tokens: np.ndarray, chars: int) -> np.ndarray:
     return np.stack([np.diff(np.append(starts[heads], chars)), np.add.reduceat(tokens, heads)], axis=1)
 
 
-def _counted(encoder: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    return encoder.counts(raw, np.array([0, len(raw)]))[:2]
+def edit(tree: Tree, text: str, start: int, stop: int, new: str):
+    """Replace text[start:stop] by ``new``; places outside the text mean its end.
 
-
-def edit(encoder: Encoder, tree: Tree, text: str, start: int, stop: int, new: str) -> tuple[Tree, str, int]:
-    """Replace text[start:stop] by ``new``: the new tree and text, and the characters encoded anew.
-
-    Places outside the text mean its end.
+    A generator: it yields regions to be cut and encoded, is sent the starts of their pre-tokens
+    and their numbers of tokens, and returns the new tree and text and the characters encoded.
     """
     start = min(max(start, 0), len(text))
     stop = min(max(stop, start), len(text))
@@ -101,7 +97,7 @@ def edit(encoder: Encoder, tree: Tree, text: str, start: int, stop: int, new: st
         # some characters of the next leaf show whether a pre-token ends with this one
         extra = min(len(text), end + AHEAD + 1) - end
         region = after[begin : end + shift + extra]
-        starts, tokens = _counted(encoder, region)
+        starts, tokens = yield region
         work += len(region)
         cut = end + shift - begin
         at = int(np.searchsorted(starts, cut))
@@ -116,6 +112,37 @@ def edit(encoder: Encoder, tree: Tree, text: str, start: int, stop: int, new: st
     return tree.put(first, last, leaves_of(starts[:at], tokens[:at], cut)), after, work
 
 
+def _edits(tree: Tree, text: str, edits: list):
+    """All edits of one document, as one generator like ``edit``."""
+    work = 0
+    for e in edits:
+        tree, text, more = yield from edit(tree, text, e["start"], e["stop"], e["new"] or "")
+        work += more
+    return tree, text, work
+
+
+def run_all(encoder: Encoder, jobs: list) -> list:
+    """Run generators like ``edit`` side by side, so that the regions asked for are encoded together."""
+    done: list = [None] * len(jobs)
+    waiting, answers = list(range(len(jobs))), [None] * len(jobs)
+    while waiting:
+        asked, regions = [], []
+        for i in waiting:
+            try:
+                regions.append(jobs[i].send(answers[i]).encode())
+                asked.append(i)
+            except StopIteration as end:
+                done[i] = end.value
+        if regions:
+            bounds = np.cumsum([0, *map(len, regions)])
+            starts, tokens, edges = encoder.counts(np.frombuffer(b"".join(regions), dtype=np.uint8), bounds)
+            at = np.searchsorted(starts, edges)
+            for i, a, b, edge in zip(asked, at, at[1:], edges):
+                answers[i] = (starts[a:b] - edge, tokens[a:b])
+        waiting = asked
+    return done
+
+
 def index(docs: DataFrame, path: str) -> DataFrame:
     """(row, tree) for every row; tree is the array of characters and tokens by node, in turn.
 
@@ -155,25 +182,20 @@ def recount(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder()
         for batch in batches:
-            trees, texts, work = [], [], []
-            columns = [batch.column(c) for c in ("tree", "text", "edits")]
-            for sums, text, edits in zip(*columns):
+            jobs = []
+            for sums, text, edits in zip(*(batch.column(c) for c in ("tree", "text", "edits"))):
                 tree = Tree(np.array(sums.values.to_numpy(), dtype=np.int64).reshape(-1, 2))
-                text, encoded = text.as_py() or "", 0
-                for e in edits.as_py() or ():
-                    tree, text, more = edit(own, tree, text, e["start"], e["stop"], e["new"] or "")
-                    encoded += more
-                trees.append(tree.sums.reshape(-1))
-                texts.append(text)
-                work.append(encoded)
+                jobs.append(_edits(tree, text.as_py() or "", edits.as_py() or ()))
+            found = run_all(own, jobs)
+            trees = [tree.sums.reshape(-1) for tree, _, _ in found]
             ends = np.cumsum([0, *map(len, trees)])
             flat = np.concatenate(trees) if trees else np.zeros(0)
             yield pa.record_batch(
                 {
                     "row": batch.column("row"),
                     "tree": lists(flat.astype(np.int32), ends),
-                    "text": pa.array(texts, pa.string()),
-                    "encoded": pa.array(work, pa.int64()),
+                    "text": pa.array([text for _, text, _ in found], pa.string()),
+                    "encoded": pa.array([work for _, _, work in found], pa.int64()),
                 }
             )
 

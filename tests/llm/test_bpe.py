@@ -100,29 +100,36 @@ def test_split_character_decodes(spark):
     assert [r.decoded for r in bpe.decode(rows, RANKS).collect()] == [want, None, b""]
 
 
+def tree_of(encoder, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts, tokens, _ = encoder.counts(raw, np.array([0, len(raw)]))
+    return counts.Tree.of(counts.leaves_of(starts, tokens, len(text)))
+
+
 def test_edits_keep_counts_right(encoder, other, monkeypatch):
     monkeypatch.setattr(counts, "LEAF", 2)
     rng = random.Random(5)
-    for _ in range(400):
-        text = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 90)))
-        starts, tokens = counts._counted(encoder, text)
-        tree = counts.Tree.of(counts.leaves_of(starts, tokens, len(text)))
-        for _ in range(4):
+    make = lambda n: "".join(rng.choice(ALPHABET) for _ in range(n))
+    texts = [make(rng.randrange(0, 90)) for _ in range(300)]
+    trees = [tree_of(encoder, t) for t in texts]
+    for _ in range(4):
+        edits, want = [], []
+        for text in texts:
             a = rng.randrange(0, len(text) + 1)
-            b = a + rng.randrange(0, 12)
-            new = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 12)))
-            want = text[:a] + new + text[b:]
-            tree, text, _ = counts.edit(encoder, tree, text, a, b, new)
-            assert text == want
+            b, new = a + rng.randrange(0, 12), make(rng.randrange(0, 12))
+            edits.append((a, b, new))
+            want.append(text[:a] + new + text[b:])
+        found = counts.run_all(encoder, [counts.edit(tree, t, *e) for tree, t, e in zip(trees, texts, edits)])
+        trees, texts = [f[0] for f in found], [f[1] for f in found]
+        assert texts == want
+        for tree, text in zip(trees, texts):
             assert tree.sums[1].tolist() == [len(text), len(other.encode_ordinary(text))]
             assert tree.sums[tree.leaves :].sum(axis=0).tolist() == tree.sums[1].tolist()
 
 
 def test_edit_of_a_long_text_is_local(encoder):
     text = "some words and numbers 12 34. " * 3000
-    starts, tokens = counts._counted(encoder, text)
-    tree = counts.Tree.of(counts.leaves_of(starts, tokens, len(text)))
-    _, _, work = counts.edit(encoder, tree, text, 40000, 40005, "other")
+    ((_, _, work),) = counts.run_all(encoder, [counts.edit(tree_of(encoder, text), text, 40000, 40005, "other")])
     assert work < 1500
 
 
