@@ -215,7 +215,22 @@ def near_copies(vectors: DataFrame) -> DataFrame:
     )
 
 
-@query()
+NEAR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) for x in e])
+  AND list_bool_or([x <> 0 for x in e])),
+pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, pair.b FROM reach JOIN pair ON pair.a = reach.b),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM low LEFT JOIN n USING (vec_id)
+"""
+
+
+@query(NEAR_SQL)
 def op4_embedding_near_dedup(spark, sf_dir):
     """Links and components of every vector of ``embeddings``."""
     return near_copies(table(spark, sf_dir, "embeddings"))
