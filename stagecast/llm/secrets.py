@@ -114,10 +114,12 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(rid, rhash, spans): the weak spans whose scope holds the other parts of a credential.
 
     Rows with the same key are looked at once. A span's scope reaches ``scope`` characters
-    to both sides. Each part is put in the cells of that width that its scope touches, so the
-    interval join is an equi-join on document and cell with the distance as a residue; a
-    cell has no more members than characters. A weak span is kept if its scope holds an
-    access part and a secret part, itself counted.
+    to both sides. A weak span is put in the cells of that width that its scope touches, the
+    others in all cells that they touch themselves, so the interval join is an equi-join on
+    document and cell with the distance as a residue. Spans of one kind don't overlap, so a
+    cell has no more members than characters of each kind; pairs that meet in several cells
+    fall together in the grouping. A weak span is kept if its scope holds an access part and
+    a secret part, itself counted.
     """
     parts = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (k, PART[name])])
     both = F.concat("strong", "weak")
@@ -129,7 +131,8 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     wide = weak.withColumn("cell", F.explode(F.sequence(cell("start") - 1, cell("stop") + 1)))
     other = spans.select(
         F.col("rid").alias("orid"), F.col("rhash").alias("orhash"), F.col("start").alias("ostart"),
-        F.col("stop").alias("ostop"), F.col("part").alias("opart"), cell("start").alias("ocell"),
+        F.col("stop").alias("ostop"), F.col("part").alias("opart"),
+        F.explode(F.sequence(cell("start"), cell("stop"))).alias("ocell"),
     ).distinct()
     near = wide.join(
         other,

@@ -75,6 +75,22 @@ def test_scope_reaches_over_cells(spark):
         assert (got != "") == (gap < secrets.SCOPE)
 
 
+def test_long_counterparts_at_all_alignments(spark):
+    texts, want = [], []
+    for size, gap in ((400, 1), (200, 1), (40, 140), (400, secrets.SCOPE - 1), (200, secrets.SCOPE)):
+        for shift in range(secrets.SCOPE):
+            key = "token=" + "x.y-" * (size // 4)
+            before = " " * shift + key + " " * (gap - 1) + " user=bob"  # the span is the name alone
+            after = " " * shift + "user=bob" + " " * gap + key
+            for text, apart in ((before, gap + 5), (after, gap)):
+                at = text.index("user=bob") + 5
+                texts.append(text)
+                want.append(f"account:{at}:{at + 3}" if apart < secrets.SCOPE else "")
+    got = spans(spark, texts)
+    found = [next((x for x in got[i].split(",") if x.startswith("account")), "") for i in range(len(texts))]
+    assert found == want
+
+
 def test_documents(spark):
     found = secrets.scan(documents(spark)).collect()
     assert len(found) == len(rows())
