@@ -191,9 +191,12 @@ def sequence_scales(
 
 
 def normalise_sequences(
-    examples: DataFrame, scales: DataFrame, horizons: Sequence[int] = HORIZONS
+    examples: DataFrame, scales: DataFrame, horizons: Sequence[int] = HORIZONS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Histories and labels relative to the last value, divided by the fitted scales."""
+    """Histories and labels relative to the last value, divided by the fitted scales.
+
+    ``keep`` names further columns of the examples to hand on, such as their split.
+    """
     last = F.element_at("history", -1)
     return examples.join(scales, "target_id").select(
         "target_id",
@@ -205,4 +208,5 @@ def normalise_sequences(
         F.array(
             *[((F.col(f"y_{h}") - last) / F.col(f"target_scale_{h}")).cast("float") for h in horizons]
         ).alias("y"),
+        *keep,
     )

@@ -226,6 +226,34 @@ def normalised_sequences(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _relative_sql(value: str, scale: str) -> str:
+    """A value relative to the last one, in the operator's single precision; no negative zero."""
+    gap = f"CAST(CAST({value} AS FLOAT) - CAST(last_value AS FLOAT) AS DOUBLE)"
+    return f"round(CAST(CAST({gap} / {scale} AS FLOAT) AS DOUBLE), 3) + 0.0"
+
+
+@query(f"""WITH {_THIN}, steps AS (SELECT target_id, issued_idx, last_value, f.idx, f.v FROM
+  (SELECT *, unnest(range(issued_idx - 168, issued_idx)) AS at FROM seq) s JOIN fl f ON f.series = target_id AND f.idx = s.at),
+xs AS (SELECT target_id, stddev_pop(v - s.last_value) AS s_x FROM steps s
+  JOIN thin USING (target_id, issued_idx) WHERE split = 'training' GROUP BY 1),
+ys AS (SELECT target_id, {", ".join(f"stddev_pop(y_{h} - last_value) AS s_{h}" for h in HORIZONS)}
+  FROM thin WHERE split = 'training' GROUP BY 1),
+sc AS (SELECT target_id, CASE WHEN s_x = 0 THEN 1 ELSE s_x END AS s_x,
+  {", ".join(f"CASE WHEN s_{h} = 0 THEN 1 ELSE s_{h} END AS s_{h}" for h in HORIZONS)} FROM xs JOIN ys USING (target_id)),
+hs AS (SELECT target_id, issued_idx, list({_relative_sql("v", "s_x")} ORDER BY idx) AS x
+  FROM steps JOIN sc USING (target_id) GROUP BY 1, 2)
+SELECT target_id, issued_idx, split, round(last_value, 4) AS current, x,
+  [{", ".join(_relative_sql(f"y_{h}", f"s_{h}") for h in HORIZONS)}] AS y
+FROM seq JOIN sc USING (target_id) JOIN hs USING (target_id, issued_idx)""")
+def normalised_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Histories x and labels y of all splits relative to the last value, by the training scales."""
+    scales = x.sequence_scales(_split(_thinned(spark, d), "training"))
+    found = x.normalise_sequences(sequences(spark, d), scales, keep=["split"])
+    shown = lambda c: F.transform(c, lambda v: F.round(v.cast("double"), 3) + F.lit(0.0)).alias(c)
+    current = F.round(F.col("current").cast("double"), 4).alias("current")
+    return found.select("target_id", "issued_idx", "split", current, shown("x"), shown("y"))
+
+
 @query(f"""WITH {POOLED_OBS}, {CANON}, {HOURLY_SQL},
 issues AS (SELECT DISTINCT series, idx + 1 AS issued_idx FROM hourly),
 steps AS (SELECT series, issued_idx, unnest(range(issued_idx - 168, issued_idx)) AS idx FROM issues),

@@ -85,6 +85,17 @@ def test_scales_and_normalisation(spark):
     assert np.allclose(got.x, history / history.std()) and got.y[0] == 2.0
 
 
+def test_normalisation_keeps_every_split(spark):
+    from stagecast.queries import REGISTRY
+
+    rows = x.sequence_examples(ramp(spark, "t", 120), 4)
+    rows = rows.withColumn("split", F.when(F.col("issued_idx") % 2 == 0, "training").otherwise("calibration"))
+    got = x.normalise_sequences(rows, x.sequence_scales(rows), keep=["split"])
+    assert got.count() == rows.count() and {r.split for r in got.collect()} == {"training", "calibration"}
+    sql = REGISTRY["normalised_examples"][1]  # compares both arrays of every split
+    assert "split = 'validation'" not in sql and " AS x" in sql and "] AS y" in sql
+
+
 def test_lag_sweep_finds_the_travel_time(spark):
     level = {i: 100.0 + (i % 13) ** 2 for i in range(1600)}
     rows = [("up", i, v) for i, v in level.items()] + [("t", i + 7, 4 + v / 100) for i, v in level.items()]
