@@ -6,13 +6,16 @@ that the chunks cover the whole text. Learned filters over WIDTH bytes run over
 their rectified responses are averaged and maximised per chunk, a hidden layer describes the
 chunk, and the maximum and mean over all chunks are combined into one probability.
 
-Training runs on the driver over a bounded sample of labelled documents and of their chunks
-(MOST_PER_CLASS, MOST_CHARS, MOST_CHUNKS); scoring covers every byte of every text.
+Training runs on the driver over a bounded sample of labelled documents (MOST_PER_CLASS) and of
+runs drawn from the whole of each text (MOST_RUNS, MOST_CHUNKS). The cut is set on whole texts,
+and scoring covers every byte of every text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagecast.llm.common import query, small_batches, table, text_slices, whole_text
+from stagecast.session import materialise
 
 HALF, WIDTH, FILTERS, HIDDEN = 128, 4, 16, 24
 PAD = 256
-#: Bounds of the training sample: documents of each class, characters taken of each to the
-#: driver, half-chunks learned from in each.
-MOST_PER_CLASS, MOST_CHARS, MOST_CHUNKS = 1200, 16384, 24
+#: Bounds of the training sample: documents of each class, runs taken of each to the driver,
+#: half-chunks in a run.
+MOST_PER_CLASS, MOST_RUNS, MOST_CHUNKS = 1200, 8, 24
 EPOCHS, BATCH, RATE = 11, 64, 0.01
 THRESHOLD = 0.7
 #: How much more it counts to lose a good text than to keep a poor one when the cut is set.
@@ -132,13 +136,58 @@ class Network:
         return g
 
 
-def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
-    """A network fitted to texts and labels (1 good, 0 poor); Adam over a fixed number of epochs.
+def _runs(text: bytes, draw: np.random.Generator) -> list[bytes]:
+    """A text as one run if MOST_RUNS runs hold it, else a run from each of MOST_RUNS equal parts."""
+    most = MOST_CHUNKS * HALF
+    if len(text) <= MOST_RUNS * most:
+        return [text]
+    edges = [len(text) * i // MOST_RUNS for i in range(MOST_RUNS + 1)]
+    places = [int(draw.integers(low, high - most + 1)) for low, high in pairwise(edges)]
+    return [text[at : at + most] for at in places]
+
 
-    The classes weigh the same. Part of a good text is as good, so SHORT of them are learned from
-    once more as a few words. A share CUT_ON of the texts is left out of the fit and sets
-    ``shift``, so that THRESHOLD falls where they are divided with the least error, a good text
-    below counting KEEP times. With labels of one class only the network leans to that class.
+def excerpts(text: bytes, good: int, seed: int = 7) -> tuple[bool, list[bytes], list[bytes]]:
+    """Whether a text is left out of the fit, the runs to learn from, and those of a few words.
+
+    Part of a good text is as good, so SHORT of the good texts give a few words as well. The draw
+    depends on the text and the seed alone, so a task and the driver draw the same.
+    """
+    draw = np.random.default_rng([seed, zlib.crc32(text)])
+    apart, few = bool(draw.random() < CUT_ON), []
+    if good and draw.random() < SHORT:
+        words = text.split()
+        at = int(draw.integers(0, max(1, len(words))))
+        few = _runs(b" ".join(words[at : at + int(draw.integers(1, 30))]), draw)
+    return apart, _runs(text, draw), few
+
+
+def _symbols(runs: list[bytes]) -> np.ndarray:
+    return np.concatenate([half_chunks(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in runs])
+
+
+def _logits(net: Network, texts: list[bytes]) -> np.ndarray:
+    found = [net.forward(*half_chunks(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[0] for t in texts]
+    return np.array(found, dtype=np.float64)
+
+
+def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
+    """A network fitted to whole texts and labels (1 good, 0 poor)."""
+    drawn = [excerpts(t, int(y), seed) for t, y in zip(texts, good)]
+    return fit(drawn, good, lambda net, left: _logits(net, [texts[i] for i in left]), seed)
+
+
+def fit(
+    drawn: list[tuple[bool, list[bytes], list[bytes]]],
+    good: np.ndarray,
+    whole: Callable[[Network, list[int]], np.ndarray],
+    seed: int = 7,
+) -> Network:
+    """A network fitted to the excerpts of texts; Adam over a fixed number of epochs.
+
+    The classes weigh the same. The texts left out of the fit set ``shift``, so that THRESHOLD
+    falls where they are divided with the least error, a good text below counting KEEP times;
+    ``whole`` gives their logits, over whole texts, from the network and their places. With
+    labels of one class only the network leans to that class.
     """
     net, draw = Network(seed), np.random.default_rng(seed)
     offset = np.log(THRESHOLD / (1 - THRESHOLD))
@@ -146,35 +195,24 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
         net.p["w2"][:] = 0
         net.shift = offset + (2.0 if len(good) == 0 or good[0] else -2.0)
         return net
-    known = [(t, int(y), k) for k, (t, y) in enumerate(zip(texts, good))]
-    for text, y, k in known[: len(texts)]:
-        if y and draw.random() < SHORT:
-            words = text.split()
-            at = int(draw.integers(0, max(1, len(words))))
-            known.append((b" ".join(words[at : at + int(draw.integers(1, 30))]), 1, k))
-    pieces = []
-    for text, _, _ in known:  # a run of half-chunks from a random place of each text
-        most = MOST_CHUNKS * HALF
-        at = int(draw.integers(0, max(1, len(text) - most + 1)))
-        raw = np.frombuffer(text[at : at + most], dtype=np.uint8)
-        pieces.append(half_chunks(raw, np.array([0, len(raw)]))[0])
-    labels = np.array([y for _, y, _ in known])
+    few = [i for i, (_, _, words) in enumerate(drawn) if words]
+    pieces = [_symbols(runs) for _, runs, _ in drawn] + [_symbols(drawn[i][2]) for i in few]
+    source = np.concatenate([np.arange(len(drawn)), np.array(few, dtype=int)])
+    labels = np.asarray(good, dtype=int)[source]
     share = labels.mean()
     weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    apart = draw.random(len(texts))[[k for _, _, k in known]] < CUT_ON
-    if len(set(labels[apart].tolist())) < 2:
+    apart = np.array([left for left, _, _ in drawn])[source]
+    if len(set(labels[apart].tolist())) < 2 or len(set(labels[~apart].tolist())) < 2:
         apart[:] = True  # too few texts to leave some out
-        fit = np.arange(len(known))
+        learn = np.arange(len(pieces))
     else:
-        fit = np.nonzero(~apart)[0]
+        learn = np.nonzero(~apart)[0]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    step, steps = 0, EPOCHS * -(-len(fit) // BATCH)
+    step, steps = 0, EPOCHS * -(-len(learn) // BATCH)
     for _ in range(EPOCHS):
-        order = draw.permutation(fit)
+        order = draw.permutation(learn)
         for i in range(0, len(order), BATCH):
-            some = order[i : i + BATCH]
-            ends = np.concatenate([[0], np.cumsum([len(pieces[k]) for k in some])])
-            g = net.gradient(np.concatenate([pieces[k] for k in some]), ends, labels[some], weights[some])
+            g = _batch_gradient(net, pieces, order[i : i + BATCH], labels, weights)
             step += 1
             rate = RATE * (1 - step / steps) + 1e-4
             for k, v in net.p.items():
@@ -182,13 +220,26 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-    logit = []
-    for i in np.nonzero(apart)[0]:
-        logit.append(net.forward(pieces[i], np.array([0, len(pieces[i])]))[0])
-    net.shift = float(offset - _cut(np.array(logit, dtype=np.float64), labels[apart], weights[apart]))
+    left = np.nonzero(apart)[0]
+    texts, words = left[left < len(drawn)], left[left >= len(drawn)]
+    short = [net.forward(pieces[i], np.array([0, len(pieces[i])]))[0] for i in words]
+    logit = np.concatenate([whole(net, texts.tolist()), np.array(short, dtype=np.float64)])
+    net.shift = float(offset - _cut(logit, labels[left], weights[left]))
     return net
 
 
+def _batch_gradient(net: Network, pieces: list[np.ndarray], some: np.ndarray, labels, weights) -> dict[str, np.ndarray]:
+    """The gradient of a batch, summed over parts that hold BATCH runs of half-chunks at most."""
+    total: dict[str, np.ndarray] = {}
+    place = np.cumsum([len(pieces[k]) for k in some]) // (BATCH * MOST_CHUNKS)
+    for part in np.split(some, np.nonzero(np.diff(place))[0] + 1):
+        ends = np.concatenate([[0], np.cumsum([len(pieces[k]) for k in part])])
+        g = net.gradient(np.concatenate([pieces[k] for k in part]), ends, labels[part], weights[part])
+        for k, v in g.items():
+            total[k] = total.get(k, 0) + v * np.float32(len(part) / len(some))
+    return total
+
+
 def _cut(logit: np.ndarray, good: np.ndarray, weights: np.ndarray) -> float:
     """The logit that divides good from poor with the least weighted error.
 
@@ -208,22 +259,67 @@ def held_out(ident):
     return F.coalesce(F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels to learn from: up to ``per_class`` documents of each class.
+def chosen(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS) -> DataFrame:
+    """(doc_id, text, q) to learn from: up to ``per_class`` documents of each class.
 
-    They are the labelled rows with the smallest hash of the id, those held out left out. An
-    id with labels that differ, or a null label, teaches nothing. At most MOST_CHARS
-    of each text are taken to the driver, from its beginning.
+    They are the labelled rows with the smallest hash of the id, those held out left
+    out. An id with labels that differ, or a null label, teaches nothing.
     """
     known = labels.filter("doc_id is not null and quality is not null")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id"))
     known = known.agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2")
-    chosen = [known.filter(F.col("q") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class) for q in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
-    texts = docs.select("doc_id", whole_text().alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
+    best = [known.filter(F.col("q") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class) for q in (0, 1)]
+    best = F.broadcast(best[0].unionByName(best[1]))
+    texts = docs.select("doc_id", whole_text().alias("text")).join(best, F.col("doc_id") == F.col("label_id"))
     texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "q")).alias("r"))
-    rows = texts.select("doc_id", F.substring("r.text", 1, MOST_CHARS).alias("text"), "r.q").orderBy("doc_id").collect()
-    return [r["text"].encode() for r in rows], np.array([int(r["q"]) for r in rows])
+    return texts.select("doc_id", "r.text", F.col("r.q").cast("int").alias("q"))
+
+
+def _drawn(rows: DataFrame) -> list:
+    """(doc_id, q, apart, runs, few) of chosen texts, by id; the tasks draw from the whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("q").to_pylist())
+            apart, runs, few = map(list, zip(*[excerpts(t.encode(), q) for t, q in pairs])) if len(batch) else ([], [], [])
+            out = batch.drop_columns(["text"]).append_column("apart", pa.array(apart, pa.bool_()))
+            for name, found in (("runs", runs), ("few", few)):
+                out = out.append_column(name, pa.array(found, pa.list_(pa.binary())))
+            yield out
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    small_batches(rows.sparkSession)
+    found = rows.select("doc_id", "text", "q").mapInArrow(
+        run, f"doc_id {kind}, q int, apart boolean, runs array<binary>, few array<binary>"
+    )
+    return found.orderBy("doc_id").collect()
+
+
+def _excerpts_of(found: list) -> tuple[list[tuple[bool, list[bytes], list[bytes]]], np.ndarray]:
+    drawn = [(r["apart"], [bytes(x) for x in r["runs"]], [bytes(x) for x in r["few"]]) for r in found]
+    return drawn, np.array([r["q"] for r in found], dtype=int)
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS):
+    """Excerpts and labels of the chosen documents; only the runs are taken to the driver."""
+    return _excerpts_of(_drawn(chosen(docs, labels, per_class)))
+
+
+def whole_logits(rows: DataFrame, net: Network, ids: list) -> np.ndarray:
+    """Logits, without shift, of the whole texts of ``ids``, in their order."""
+    sent = rows.sparkSession.sparkContext.broadcast((net, set(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            net, ids = sent.value
+            batch = batch.filter(pa.array([i in ids for i in batch.column("doc_id").to_pylist()], pa.bool_()))
+            for part, raw, bounds in text_slices(batch, "text", SLICE):
+                logit = net.forward(*half_chunks(raw, bounds)).astype(np.float64)
+                yield part.select(["doc_id"]).append_column("logit", pa.array(logit))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = dict(rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, logit double").collect())
+    return np.array([found[i] for i in ids], dtype=np.float64)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -246,7 +342,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def classifier(docs: DataFrame, labels: DataFrame) -> Network:
-    return train(*sample(docs, labels))
+    rows = materialise(chosen(docs, labels), "labelled")
+    found = _drawn(rows)
+    return fit(*_excerpts_of(found), lambda net, left: whole_logits(rows, net, [found[i]["doc_id"] for i in left]))
 
 
 @query()

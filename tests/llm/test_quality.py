@@ -90,6 +90,22 @@ def test_sample_leaves_out_what_is_held_out(spark):
     assert sorted({r.doc_id for r in one.collect() if r.doc_id < 40}) == held
 
 
+def test_long_texts_are_learned_from_to_their_end(spark):
+    rng = random.Random(3)
+    clean = [words(rng, 9000, "aeioustrnlm") for _ in range(40)]
+    docs = [(i, t if i % 2 else t[: 2 * len(t) // 3] + t[2 * len(t) // 3 :].upper(), i % 2) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    found, good = quality.sample(df, df)
+    whole = [any(c.isupper() for c in b"".join(runs).decode()) for _, runs, _ in found]
+    assert all(len(t) > 30000 for t in clean) and whole == [not y for y in good]
+    net = quality.classifier(df, df)
+    got = {r.row.doc_id: r.score for r in quality.score(df, net).collect()}
+    assert all((got[i] >= quality.THRESHOLD) == bool(y) for i, _, y in docs)
+    rows = quality.chosen(df, df)
+    ids = sorted(r.doc_id for r in rows.collect())
+    assert np.allclose(1 / (1 + np.exp(-quality.whole_logits(rows, net, ids) - net.shift)), [got[i] for i in ids])
+
+
 def test_rows(spark):
     net = quality.Network(2)
     found = quality.score(documents(spark), net).collect()
