@@ -262,12 +262,14 @@ def held_out(ident):
 def chosen(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS) -> DataFrame:
     """(doc_id, text, q) to learn from: up to ``per_class`` documents of each class.
 
-    They are the labelled rows with the smallest hash of the id, those held out left
+    They are the labelled rows of ``docs`` with the smallest hash of the id, those held out left
     out. An id with labels that differ, or a null label, teaches nothing.
     """
     known = labels.filter("doc_id is not null and quality is not null")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id"))
     known = known.agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2")
+    there = docs.select(F.col("doc_id").alias("label_id")).distinct()
+    known = known.join(there, "label_id", "left_semi")  # ids that docs lacks take no place
     best = [known.filter(F.col("q") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class) for q in (0, 1)]
     best = F.broadcast(best[0].unionByName(best[1]))
     texts = docs.select("doc_id", whole_text().alias("text")).join(best, F.col("doc_id") == F.col("label_id"))

@@ -106,6 +106,14 @@ def test_long_texts_are_learned_from_to_their_end(spark):
     assert np.allclose(1 / (1 + np.exp(-quality.whole_logits(rows, net, ids) - net.shift)), [got[i] for i in ids])
 
 
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    held = [i for i in range(12) if zlib.crc32(str(i).encode()) % 4 == 2]
+    found, good = quality.sample(docs, labels, per_class=12)
+    assert len(found) == 12 - len(held) and set(good.tolist()) == {0, 1}
+
+
 def test_rows(spark):
     net = quality.Network(2)
     found = quality.score(documents(spark), net).collect()
