@@ -177,13 +177,16 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 @query()
 def op1_byte_bpe(spark, sf_dir):
-    """Token counts of ``documents`` and digests of the ids and of the decoded bytes."""
+    """Token counts of ``documents`` and digests of the ids, the offsets and the decoded bytes."""
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    coded = coded.select(F.col("row.doc_id").alias("doc_id"), "ids")
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, with_offsets=True)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    places = F.concat_ws(";", listed("starts"), listed("stops")).cast("binary")
+    coded = coded.select(F.col("row.doc_id").alias("doc_id"), "ids", F.sha2(places, 256).alias("offsets_sha256"))
     return decode(coded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(listed("ids").cast("binary"), 256).alias("ids_sha256"),
+        "offsets_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

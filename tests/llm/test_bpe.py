@@ -1,6 +1,7 @@
 """Encoding against another library, exact round trips, offsets, edit-aware counts."""
 
 import base64
+import hashlib
 import random
 
 import numpy as np
@@ -92,6 +93,15 @@ def test_rows_round_trip(spark, other):
     assert bpe.encode(empty(spark), RANKS).collect() == []
 
 
+def test_query_gives_a_digest_of_the_offsets(spark, tmp_path):
+    documents(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = bpe.encode(documents(spark), RANKS, with_offsets=True).collect()
+    join = lambda values: ",".join(map(str, values))
+    want = [(str(r.row.doc_id), hashlib.sha256(f"{join(r.starts)};{join(r.stops)}".encode()).hexdigest()) for r in whole]
+    got = [(str(r.doc_id), r.offsets_sha256) for r in bpe.op1_byte_bpe(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_split_character_decodes(spark):
     # one character of four bytes, each a token
     rows = spark.createDataFrame([([172, 253, 224, 222],), (None,), ([],)], "ids array<int>")
