@@ -64,16 +64,20 @@ class Prefixes:
             parts.append((sums[stops] - sums[starts]) % p * down[starts] % p)
         return parts[0] << np.uint64(31) | parts[1]
 
-    def common_extension(self, one, at_one: np.ndarray, other, at_other: np.ndarray) -> np.ndarray:
-        """Length of the longest common span that begins at each pair of places.
+    def common_extension(self, one, at_one: np.ndarray, other, at_other: np.ndarray, most=None, back: bool = False) -> np.ndarray:
+        """Length of the longest common span that begins (with ``back``: ends) at each pair of places.
 
-        ``one`` and ``other`` are prefix arrays; all pairs are searched at the same time.
+        ``one`` and ``other`` are prefix arrays; all pairs are searched at the same time, each up
+        to ``most`` characters, by default to the end of the arrays.
         """
-        low = np.zeros(len(at_one), dtype=np.int64)
-        high = np.minimum(len(one[0]) - 1 - at_one, len(other[0]) - 1 - at_other)
+        if most is None:
+            most = np.minimum(at_one, at_other) if back else np.minimum(len(one[0]) - 1 - at_one, len(other[0]) - 1 - at_other)
+        low, high = np.zeros(len(at_one), dtype=np.int64), np.array(most, dtype=np.int64)
         while np.any(low < high):
             middle = (low + high + 1) // 2
-            same = self.spans(one, at_one, at_one + middle) == self.spans(other, at_other, at_other + middle)
+            ahead, behind = (0, middle) if back else (middle, 0)
+            own = self.spans(one, at_one - behind, at_one + ahead)
+            same = own == self.spans(other, at_other - behind, at_other + ahead)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
@@ -157,7 +161,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-EDITS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def common_ends(texts: list[str], pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the longest common beginning and end of pairs of texts, given by their places."""
+    points, bounds = code_points(texts)
+    arrays = PREFIXES.arrays(points)
+    most = np.minimum(*(bounds[p + 1] - bounds[p] for p in pairs))
+    starts, stops = ([bounds[p + k] for p in pairs] for k in (0, 1))
+    first = PREFIXES.common_extension(arrays, starts[0], arrays, starts[1], most)
+    return first, PREFIXES.common_extension(arrays, stops[0], arrays, stops[1], most, back=True)
+
+
+EDITS = (
+    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+    "prefix_edited long, suffix_edited long, prefix_next long, suffix_next long"
+)
 
 
 def _compare(idents: list, texts: list[str]) -> pa.RecordBatch:
@@ -166,6 +183,8 @@ def _compare(idents: list, texts: list[str]) -> pa.RecordBatch:
     own, new = sketches(texts), sketches(changed)
     n = len(changed)
     before, after = tuple(x[:n] for x in own), tuple(x[1:] for x in own)
+    at = np.arange(n)
+    first, last = common_ends([*texts, *changed], (np.tile(at, 2), np.concatenate([at + len(texts), at + 1])))
     return pa.record_batch(
         {
             "doc_id": pa.array(idents[:n]),
@@ -175,6 +194,10 @@ def _compare(idents: list, texts: list[str]) -> pa.RecordBatch:
             "edited_fingerprint": pa.array(written(new)),
             "near_edited": pa.array(likeness(before, new)),
             "near_next": pa.array(likeness(before, after)),
+            "prefix_edited": pa.array(first[:n]),
+            "suffix_edited": pa.array(last[:n]),
+            "prefix_next": pa.array(first[n:]),
+            "suffix_next": pa.array(last[n:]),
         }
     )
 

@@ -74,6 +74,18 @@ def test_all_distinct_ids_against_a_plain_walk(spark):
         assert found[d].near_next == float(fp.likeness(fp.sketches([text]), fp.sketches([following]))[0])
 
 
+def test_common_ends_against_a_plain_walk(spark):
+    rng = random.Random(4)
+    docs = [(i, rng.choice(["", "é", "ab", "b"]) + "ab" * rng.randrange(0, 40) + rng.choice(["", "b", "😀"])) for i in range(120)]
+    found = {r.doc_id: r for r in fp.edits(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    walk = docs[::-1]
+    for (d, text), (_, following) in zip(walk, walk[1:] + walk[:1]):
+        r, edit = found[d], fp.edited(text, following)
+        assert (r.prefix_edited, r.suffix_edited) == (common(text, edit), common(text[::-1], edit[::-1]))
+        assert (r.prefix_next, r.suffix_next) == (common(text, following), common(text[::-1], following[::-1]))
+
+
 def test_repeated_null_and_lone_ids(spark):
     make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
     lone = fp.edits(make([(5, "hello world")])).collect()
