@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from secrets import randbelow
 
 import numpy as np
 import pyarrow as pa
@@ -96,29 +97,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+PRIME = (1 << 31) - 1
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = 1 << int(n).bit_length()
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, base, dtype=np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
-        return self.up, self.down
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.ones(1, dtype=np.uint64)
+    while len(powers) < n:
+        step = np.uint64(pow(base, len(powers), PRIME))
+        powers = np.concatenate([powers, powers * step % np.uint64(PRIME)])
+    return powers
 
 
-def span_sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, powers: Powers) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of the spans [start, stop), equal for equal spans."""
-    up, down = powers.upto(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return (prefix[stops] - prefix[starts]) * down[starts]
+class SpanHashes:
+    """Polynomial hashes of spans modulo the prime 2**31 - 1, at two bases drawn at random.
+
+    Two different spans of n values collide at a random base with a chance of n / 2**31 at
+    most, whatever the values are; modulo 2**64 there are words that collide at every base.
+    An object sent to tasks takes its bases along, so hashes agree over all tasks of a job.
+    """
+
+    def __init__(self):
+        self.bases = [256 + randbelow(PRIME - 512) for _ in range(2)]
+        self.powers = []
+
+    def __getstate__(self):
+        return {"bases": self.bases, "powers": []}
+
+    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.powers or len(self.powers[0][0]) <= n:
+            self.powers = [(_powers(b, n + 1), _powers(pow(b, -1, PRIME), n + 1)) for b in self.bases]
+        return self.powers
+
+    def of(self, values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """A 62-bit hash of each span [start, stop) of ``values``, equal for equal spans.
+
+        Each base sees 31 bits of a value: values below 2**31 - 1 are seen whole by both,
+        others (hashes) by halves.
+        """
+        p, shift = np.uint64(PRIME), np.uint64(31)
+        wide = values.dtype.itemsize == 8
+        parts = []
+        for lane, (up, down) in enumerate(self.upto(len(values))):
+            own = (values >> shift if lane else values) & p if wide else values + np.uint64(1)
+            own = own * up[: len(values)]
+            sums = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum((own & p) + (own >> shift), out=sums[1:])
+            parts.append((sums[stops] - sums[starts]) % p * down[starts] % p)
+        return parts[0] << shift | parts[1]
 
 
 def is_space() -> np.ndarray:

@@ -10,12 +10,12 @@ from __future__ import annotations
 import numpy as np
 import regex
 
-from stagecast.llm.common import Powers, mix64, span_sums
+from stagecast.llm.common import SpanHashes
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 TOP = 0x110000
-#: Distinct pre-tokens kept per Python worker; beyond it the memory starts afresh.
-KEPT = 1_500_000
+#: Distinct pre-tokens, and their characters, kept per Python worker; beyond, the memory starts afresh.
+KEPT, KEPT_POINTS = 1_500_000, 1 << 24
 
 
 def pattern_classes() -> np.ndarray:
@@ -90,12 +90,13 @@ def gather(spans: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.
 class Encoder:
     """Ids of whole rows. ``encode`` turns a list of distinct pre-tokens into lists of ids.
 
-    Pre-tokens are known by a 64-bit hash of their code points.
+    Pre-tokens are found by a hash of their code points and compared with the stored one; one
+    that shares its hash with another is encoded apart, so a collision costs time only.
     """
 
     def __init__(self, classes: np.ndarray, encode):
         self.classes, self.encode = classes, encode
-        self.powers = Powers(0x9E3779B97F4A7C15)
+        self.hashes = SpanHashes()
         self.forget()
 
     def forget(self):
@@ -104,6 +105,9 @@ class Encoder:
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
+        self.places = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.points = np.zeros(0, dtype=np.uint32)
 
     def rows(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array and the rows' boundaries in it."""
@@ -132,26 +136,52 @@ class Encoder:
         first[edges[:-1][edges[:-1] < len(points)]] = True
         starts = np.nonzero(cut(points, self.classes[points], first))[0]
         stops = np.append(starts[1:], len(points))
-        hashes = mix64(span_sums(mix64(points + np.uint64(1)), starts, stops, self.powers))
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        return starts, self._numbers(distinct, text, starts[at], stops[at])[back], edges
+        if len(self.starts) > KEPT or len(self.points) > KEPT_POINTS:
+            self.forget()
+        distinct, at, back = np.unique(self.hashes.of(points, starts, stops), return_index=True, return_inverse=True)
+        numbers = self._numbers(distinct, text, starts[at], stops[at])[back]
+        odd = self._unlike(points, numbers, starts, stops)
+        if len(odd):
+            texts = [text[a:b] for a, b in zip(starts[odd].tolist(), stops[odd].tolist())]
+            own = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            numbers[odd] = self._store(list(own))[[own[t] for t in texts]]
+        return starts, numbers, edges
+
+    def _unlike(self, points, numbers, starts, stops) -> np.ndarray:
+        """Pre-tokens whose code points differ from those stored under their number."""
+        sizes = stops - starts
+        unlike = self.sizes[numbers] != sizes
+        shift = np.where(unlike, 0, self.places[numbers] - starts)
+        place = np.arange(len(points)) + np.repeat(shift, sizes)
+        place[np.repeat(unlike, sizes)] = 0
+        differs = self.points[place] != points
+        if differs.any():
+            unlike |= np.logical_or.reduceat(differs, starts)
+        return np.nonzero(unlike)[0]
+
+    def _store(self, texts: list[str]) -> np.ndarray:
+        """New numbers of pre-tokens, with their ids and code points."""
+        found = self.encode(texts)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        numbers = len(self.starts) + np.arange(len(texts))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.ids = np.append(self.ids, flat)
+        self.places = np.append(self.places, len(self.points) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.points = np.append(self.points, np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32))
+        return numbers
 
     def _numbers(self, hashes, text, starts, stops) -> np.ndarray:
-        if len(self.known) > KEPT:
-            self.forget()
         place = np.searchsorted(self.known, hashes)
         seen = np.zeros(len(hashes), dtype=bool)
         inside = place < len(self.known)
         seen[inside] = self.known[place[inside]] == hashes[inside]
         new = np.nonzero(~seen)[0]
         if len(new):
-            found = self.encode([text[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist())])
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(sizes.sum()))
-            numbers = len(self.starts) + np.arange(len(new))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.lengths = np.append(self.lengths, sizes)
-            self.ids = np.append(self.ids, flat)
+            numbers = self._store([text[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist())])
             self.known = np.insert(self.known, place[new], hashes[new])
             self.number = np.insert(self.number, place[new], numbers)
             place = np.searchsorted(self.known, hashes)

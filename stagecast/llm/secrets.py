@@ -10,6 +10,7 @@ over scope cells finds them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,9 +70,28 @@ def _random_looking(token: str) -> bool:
     return bool(re.search("[a-z]", token) and re.search("[A-Z]", token) and re.search("[0-9]", token))
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and stops of the stretches that spans, sorted by start, cover; overlapping ones are one."""
+    starts, stops = [], []
+    for start, stop in spans:
+        if stops and start < stops[-1]:
+            stops[-1] = max(stops[-1], stop)
+        else:
+            starts.append(start)
+            stops.append(stop)
+    return starts, stops
+
+
+def masked(text: str, spans: list[tuple[int, int]], mask: str = "[SECRET]") -> str:
+    """The text with every stretch that the spans, sorted by start, cover replaced by ``mask``."""
+    starts, stops = merged(spans)
+    return mask.join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)]))
+
+
 def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak candidates outside the strong spans; none where no access part is in the text."""
-    taken, spans, lowered = np.array([(a, b) for _, a, b in strong]).reshape(-1, 2), [], text.lower()
+    firsts, lasts = merged([(a, b) for _, a, b in strong])
+    spans, lowered = [], text.lower()
     access = any(PART[KINDS[kind]] == "access" for kind, _, _ in strong)
     for kind, (name, part, pattern, group, least) in enumerate(WEAK, len(BASE)):
         if not _may_match(name, lowered) or part != "access" and not access:
@@ -80,7 +100,8 @@ def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
             start, stop = m.span(group)
             if stop - start < least or part == "secret" and not _random_looking(m[group]):
                 continue
-            if not len(taken) or not np.any((taken[:, 0] < stop) & (start < taken[:, 1])):
+            before = bisect_left(firsts, stop)  # merged spans that begin before this one's end
+            if not before or lasts[before - 1] <= start:
                 spans.append((kind, start, stop))
                 access = access or part == "access"
     return spans

@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 
 from stagecast.llm.automaton import Automaton
 from stagecast.llm.common import (
-    Powers,
+    SpanHashes,
     cuts,
     lists,
     mix64,
     query,
     row_key,
     small_batches,
-    span_sums,
     table,
     text_slices,
     whole_text,
@@ -47,16 +46,11 @@ SHARD, CROWDED = 20_000, 500
 #: anchor has other segments that are looked at window by window.
 WHOLE, SINGLE, BOTH = 0, 1, 2
 
-BYTES = Powers(0xC2B2AE3D27D4EB4F)
-WORDS = Powers(0x165667B19E3779F9)
-#: A fixed 64-bit value for each byte.
-BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 
-
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, spans: SpanHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some rows, and the rows' bounds in them."""
     starts, stops, edges = word_spans(raw, bounds)
-    return mix64(span_sums(BYTE_VALUES[raw], starts, stops, BYTES)), edges
+    return mix64(spans.of(raw, starts, stops)), edges
 
 
 def first_smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,7 +64,7 @@ def first_smallest(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def segments(words: np.ndarray, edges: np.ndarray, window: int = WINDOW):
+def segments(words: np.ndarray, edges: np.ndarray, spans: SpanHashes, window: int = WINDOW):
     """(row, anchor hash, segment hash, first window, windows) of all segments of some rows.
 
     Windows are numbered by their first word within the row.
@@ -81,7 +75,7 @@ def segments(words: np.ndarray, edges: np.ndarray, window: int = WINDOW):
     if n <= 0:
         return none, none.astype(np.uint64), none.astype(np.uint64), none, none
     at = np.arange(len(words) - ANCHOR + 1)
-    grams = mix64(span_sums(words, at, at + ANCHOR, WORDS))
+    grams = mix64(spans.of(words, at, at + ANCHOR))
     anchor = first_smallest(grams, width)
     row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     inside = np.nonzero(row[:n] == row[window - 1 :])[0]
@@ -91,18 +85,18 @@ def segments(words: np.ndarray, edges: np.ndarray, window: int = WINDOW):
     heads = np.nonzero(change)[0]
     counts = np.diff(np.append(heads, len(inside)))
     first, anchor = inside[heads], anchor[heads]
-    whole = span_sums(words, first, first + counts + window - 1, WORDS)
+    whole = spans.of(words, first, first + counts + window - 1)
     shape = (anchor - first).astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64)
     return row[first], grams[anchor], mix64(whole + mix64(shape)), first - edges[row[first]], counts
 
 
-def _scan(window: int, full: bool):
+def _scan(window: int, spans: SpanHashes, full: bool):
     """Segments of each row: with ``full`` where they are, else only what is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, bounds in text_slices(batch, "text", SLICE):
-                row, anchor, segment, first, count = segments(*word_hashes(raw, bounds), window)
+                row, anchor, segment, first, count = segments(*word_hashes(raw, bounds, spans), spans, window)
                 found = {"anchor": anchor.view(np.int64), "segment": segment.view(np.int64)}
                 names = ("rid", "rhash", "rk") if full else ("rk",)
                 found |= {k: rows.column(k).take(pa.array(row)) for k in names}
@@ -113,26 +107,30 @@ def _scan(window: int, full: bool):
     return run
 
 
-def _apart(window: int):
+def _apart(window: int, spans: SpanHashes):
     """What has to be looked at beyond whole segments: segments with their words, or windows.
 
     Segments of crowded anchors give a row for each window, with its hash, others one row with
-    their words' hashes. Of equal segments of kind BOTH in a row one is enough.
+    their words' hashes. Of equal segments of kind BOTH in a row one is enough, and so is one of
+    repeated rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
             for rows, raw, bounds in text_slices(batch, "text", SLICE):
-                words, edges = word_hashes(raw, bounds)
-                hits = [(i, h) for i, hs in enumerate(rows.column("hits").to_pylist()) for h in hs if h["kind"] != WHOLE]
+                fresh = [k not in done and not done.add(k) for k in zip(*(rows.column(c).to_pylist() for c in ("rid", "rhash")))]
+                lists_of = zip(fresh, rows.column("hits").to_pylist())
+                hits = [(i, h) for i, (new, hs) in enumerate(lists_of) if new for h in hs if h["kind"] != WHOLE]
                 if not hits:
                     continue
+                words, edges = word_hashes(raw, bounds, spans)
                 row = np.array([i for i, _ in hits])
                 anchor, first, n, kind, crowded = (
                     np.array([h[k] for _, h in hits]) for k in ("anchor", "first", "n", "kind", "crowded")
                 )
                 at = first + edges[row]
-                segment = span_sums(words, at, at + n + window - 1, WORDS).view(np.int64)
+                segment = spans.of(words, at, at + n + window - 1).view(np.int64)
                 same = np.where(kind == BOTH, 0, np.arange(1, len(row) + 1))
                 _, once = np.unique(np.stack([row, anchor, segment, n, same]), axis=1, return_index=True)
                 row, anchor, first, n, kind, crowded, at = (x[once] for x in (row, anchor, first, n, kind, crowded, at))
@@ -145,7 +143,7 @@ def _apart(window: int):
                 length = np.where(crowded, 0, n + window - 1)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 flat = words[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])].view(np.int64)
-                hashes = mix64(span_sums(words, at, at + window, WORDS)).view(np.int64)
+                hashes = mix64(spans.of(words, at, at + window)).view(np.int64)
                 owner = pa.array(row)
                 found = {
                     "rid": rows.column("rid").take(owner),
@@ -234,25 +232,20 @@ def _kept(window: int):
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, kept, n_words, n_removed) of every row: what is left of the text, joined by spaces.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), *row_key(), whole_text().alias("text"))
 
-    A word goes if a window of ``window`` words that covers it has the same words as a window
-    that starts anywhere else, in the same text too. Windows are judged on the input. Words
-    are runs of anything but space and the controls 9 to 13; texts of fewer than ``window``
-    words, empty and null ones lose nothing. Of repeated rows every one loses its windows.
 
-    Texts are read for counting and for placing the segments, then dealt out by row key to be
-    looked at with the segments found in them. Anchors, segments and windows of which there are
-    very many meet only in sums that combine before the shuffle and on the many side of joins
-    against one row per key; a shard holds CROWDED segments of an anchor at most.
+def places(docs: DataFrame, window: int = WINDOW, spans: SpanHashes | None = None) -> DataFrame:
+    """(rid, rhash, hits): the segments of each text whose anchors repeat, and how each is dealt with.
+
+    Repeated rows share one entry, as long as that of a single row.
     """
-    spark = small_batches(docs.sparkSession)
-    whole = docs.select(F.struct("*").alias("row"), *row_key(), whole_text().alias("text"))
-    kind = whole.schema["rid"].dataType.simpleString()
-    plain = whole.select("rid", "rhash", F.xxhash64("rid", "rhash").alias("rk"), "text")
+    spans = spans or SpanHashes()
+    plain = _keyed(docs).select("rid", "rhash", F.xxhash64("rid", "rhash").alias("rk"), "text")
+    kind = plain.schema["rid"].dataType.simpleString()
 
-    counted = plain.select("rk", "text").mapInArrow(_scan(window, False), "anchor long, segment long, rk long")
+    counted = plain.select("rk", "text").mapInArrow(_scan(window, spans, False), "anchor long, segment long, rk long")
     counted = counted.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min("rk").alias("head"))
     counted = materialise(counted, "segments")
     anchors = counted.groupBy("anchor").agg(
@@ -266,21 +259,41 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = materialise(repeated, "repeated")
 
     placed = plain.mapInArrow(
-        _scan(window, True), f"anchor long, segment long, rid {kind}, rhash long, rk long, first int, n int"
+        _scan(window, spans, True), f"anchor long, segment long, rid {kind}, rhash long, rk long, first int, n int"
     )
     hits = placed.join(repeated, ["anchor", "segment"])
     kind_here = F.when((F.col("kind") == BOTH) & (F.col("rk") != F.col("head")), WHOLE).otherwise(F.col("kind"))
     hits = hits.withColumn("kind", kind_here).groupBy("rid", "rhash").agg(
-        F.collect_list(F.struct("anchor", "first", "n", "kind", "crowded")).alias("hits")
+        F.collect_set(F.struct("anchor", "first", "n", "kind", "crowded")).alias("hits")
     )
-    hits = materialise(hits, "hits").withColumnsRenamed({"rid": "hid", "rhash": "hhash"})
+    return materialise(hits, "hits")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, kept, n_words, n_removed) of every row: what is left of the text, joined by spaces.
+
+    A word goes if a window of ``window`` words that covers it has the same words as a window
+    that starts anywhere else, in the same text too. Windows are judged on the input. Words
+    are runs of anything but space and the controls 9 to 13; texts of fewer than ``window``
+    words, empty and null ones lose nothing. Of repeated rows every one loses its windows.
+
+    Texts are read for counting and for placing the segments, then dealt out by row key to be
+    looked at with the segments found in them. Anchors, segments and windows of which there are
+    very many meet only in sums that combine before the shuffle and on the many side of joins
+    against one row per key; a shard holds CROWDED segments of an anchor at most.
+    """
+    spark = small_batches(docs.sparkSession)
+    spans = SpanHashes()
+    whole = _keyed(docs)
+    kind = whole.schema["rid"].dataType.simpleString()
+    hits = places(docs, window, spans).withColumnsRenamed({"rid": "hid", "rhash": "hhash"})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = whole.repartition(n, "rhash")
     here = (F.col("rhash") == F.col("hhash")) & F.col("rid").eqNullSafe(F.col("hid"))
     looked = dealt.join(hits, here).filter(F.exists("hits", lambda h: h["kind"] != WHOLE))
     apart = looked.select("rid", "rhash", "text", "hits").mapInArrow(
-        _apart(window),
+        _apart(window, spans),
         f"rid {kind}, rhash long, anchor long, first int, single boolean, hash long, words array<long>",
     )
     apart = materialise(apart, "apart")
@@ -291,7 +304,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     again = materialise(again, "windows-again")
     windows = windows.filter("single").join(again, ["anchor", "hash"]).select("rid", "rhash", "start")
     starts = shards.unionByName(windows).groupBy(F.col("rid").alias("sid"), F.col("rhash").alias("shash")).agg(
-        F.collect_list("start").alias("starts")
+        F.collect_set("start").alias("starts")
     )
     there = (F.col("rhash") == F.col("shash")) & F.col("rid").eqNullSafe(F.col("sid"))
     rows = dealt.join(hits, here, "left").join(starts, there, "left").select("row", "text", "hits", "starts")

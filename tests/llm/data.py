@@ -27,3 +27,18 @@ def documents(spark, seed=1):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def thue_morse(n):
+    """A word and its complement, which collide modulo 2**64 at every odd base from 512 letters on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def colliding():
+    """Texts that differ by such words alone."""
+    out = []
+    for n in (512, 1024, 2048):
+        one, two = thue_morse(n)
+        out += [f"x {one} y {two}", f"x {two} y {one}", one, two]
+    return out

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 import tiktoken
-from data import documents, empty, rows
+from data import colliding, documents, empty, rows
 from tokenizers import Tokenizer
 
 from stagecast.llm import bpe, counts, pretokens
@@ -56,6 +56,23 @@ def test_memory_that_starts_afresh(encoder, other, monkeypatch):
         assert encoded(encoder, [text]) == [other.encode_ordinary(text)]
 
 
+def test_words_that_collide(encoder, other, spark):
+    assert encoded(encoder, colliding()) == [other.encode_ordinary(t) for t in colliding()]
+    docs = spark.createDataFrame(list(enumerate(colliding())), "doc_id long, text string")
+    assert all(r.decoded == r.row.text.encode() for r in bpe.decode(bpe.encode(docs, RANKS), RANKS).collect())
+    for r in counts.index(docs, RANKS).collect():
+        assert r.tree[3] == len(other.encode_ordinary(r.row.text))
+
+
+def test_equal_hashes_are_told_apart(other):
+    own = bpe._encoder.__wrapped__(bpe.tokenizer_json(bpe.read_ranks(RANKS)), pretokens.pattern_classes().tobytes())
+    own.hashes.of = lambda points, starts, stops: (stops - starts).astype(np.uint64) % np.uint64(3)
+    rng = random.Random(8)
+    for _ in range(5):
+        texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 25))) for _ in range(500)]
+        assert encoded(own, texts) == [other.encode_ordinary(t) for t in texts]
+
+
 def test_classes_of_a_tokenizer_file():
     tokenizer = Tokenizer.from_file(bpe.vocabulary("byte_bpe_50k.json"))
     classes = pretokens.library_classes(tokenizer)

@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
-from data import documents, empty, rows, words
+from data import documents, empty, rows, thue_morse, words
 
 from stagecast.llm import substrings
 from stagecast.llm.automaton import Automaton
+from stagecast.llm.common import SpanHashes
 
 
 def slow(texts, window):
@@ -66,6 +67,27 @@ def test_copies_with_small_edits(spark):
     check(spark, texts)
 
 
+def test_words_that_collide(spark):
+    common = words(random.Random(14), 34)
+    for n in (512, 2048):
+        one, two = thue_morse(n)
+        check(spark, [f"{common} {one}", f"{common} {two}", f"{one} {common}", f"{two} {common}"])
+
+
+def test_repeated_rows_add_no_hits(spark):
+    rng = random.Random(15)
+    text = words(rng, 200)
+    other = text.split()
+    other[100] = "changed"
+    longest, spans = {}, SpanHashes()
+    for copies in (2, 60):
+        check(spark, [text] * copies + [" ".join(other)], [7] * copies + [8])
+        docs = spark.createDataFrame([(7, text)] * copies + [(8, " ".join(other))], "doc_id long, text string")
+        hits = substrings.places(docs.select("doc_id", "text"), spans=spans).select("hits").collect()
+        longest[copies] = max(len(r.hits) for r in hits)
+    assert longest[2] == longest[60]
+
+
 def test_documents(spark):
     found = sorted(substrings.dedup(documents(spark)).collect(), key=lambda r: r.row.row)
     assert [(r.kept, r.n_words, r.n_removed) for r in found] == slow([r[1] for r in rows()], substrings.WINDOW)

@@ -3,7 +3,7 @@ import io
 import numpy as np
 import pyarrow as pa
 import pytest
-from data import documents, empty, rows
+from data import colliding, documents, empty, rows
 from tokenizers import Tokenizer
 
 from stagecast.llm import tokenfiles
@@ -29,6 +29,15 @@ def test_files_round_trip(spark):
     assert [len(r.ids) for r in got] == [crc[r.start].n_tokens for r in got]
 
 
+def test_words_that_collide(spark):
+    folder = scratch(spark, "ids")
+    texts = colliding()
+    files = tokenfiles.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.ids for r in tokenfiles.read(files, folder).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_no_documents(spark):
     folder = scratch(spark, "ids")
     files = tokenfiles.write(empty(spark), folder, PATH)
