@@ -6,11 +6,14 @@ columns of ``docs``. Rows are told apart by id and text, so ids may repeat or be
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagecast.llm import bpe, mixing, quality, secrets, simhash
-from stagecast.llm.common import keyed_join, row_key, table
+from stagecast.llm.common import keyed_join, row_key, small_batches, table
 from stagecast.session import materialise
 
 
@@ -56,42 +59,26 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = secrets.scan(docs).filter(F.size("spans") > 0).select("rid", "rhash", "spans")
     found = found.dropDuplicates(["rid", "rhash"])
     rows = keyed_join(_whole(docs), found, "left")
-    # spans come by start: join those that touch, then cut the text between them
-    empty = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-    start = F.struct(empty.alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
-
-    def widen(acc, span):
-        same = span["start"] < acc["stop"]
-        close = F.when(
-            ~same & (acc["start"] >= 0),
-            F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop")))),
-        ).otherwise(acc["done"])
-        return F.struct(
-            close.alias("done"),
-            F.when(same, acc["start"]).otherwise(span["start"]).alias("start"),
-            F.when(same, F.greatest(acc["stop"], span["stop"])).otherwise(span["stop"]).alias("stop"),
-        )
-
-    last = lambda a: F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["stop"].alias("stop"))))
-    masks = F.aggregate("spans", start, widen, last)
-    text = F.col("row.text")
-    cut = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    masked = F.aggregate(
-        masks,
-        cut,
-        lambda acc, m: F.struct(
-            F.concat(acc["text"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.lit("[SECRET]")).alias("text"),
-            m["stop"].alias("at"),
-        ),
-        lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    new = F.when(F.col("spans").isNull(), text).otherwise(masked)
-    rows = rows.withColumn("new", new).withColumn("changed", F.col("spans").isNotNull())
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    small_batches(spark)
+    new = rows.select("row", F.col("row.text").alias("text"), "spans").mapInArrow(_mask, f"row {kind}, new string")
+    changed = F.col("new").isNotNull()
     fields = {
-        "text": F.col("new"),
-        "n_chars": F.when(F.col("changed"), F.length("new").cast("long")).otherwise(F.col("row.n_chars")),
+        "text": F.when(changed, F.col("new")).otherwise(F.col("row.text")),
+        "n_chars": F.when(changed, F.length("new").cast("long")).otherwise(F.col("row.n_chars")),
     }
-    return rows.select(*[fields.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return new.select(*[fields.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the masked text where there are spans, else null."""
+    for batch in batches:
+        spans = batch.column("spans").to_pylist()
+        new = [None] * len(batch)
+        for i, found in enumerate(spans):
+            if found:
+                new[i] = secrets.masked(batch.column("text")[i].as_py(), [(s["start"], s["stop"]) for s in found])
+        yield batch.select(["row"]).append_column("new", pa.array(new, pa.string()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
