@@ -110,7 +110,8 @@ def offsets(ids: np.ndarray, lengths: np.ndarray, raw: np.ndarray) -> tuple[np.n
     return character[starts], character[stops - 1] + 1
 
 
-def _token_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each token begins in the pool of all tokens' bytes, its length, and the pool."""
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
@@ -126,7 +127,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_offsets: bool =
     spark = small_batches(docs.sparkSession)
     tokens = read_ranks(path)
     encoder = shared_encoder(spark, tokenizer_json(tokens), pattern_classes())
-    sizes = spark.sparkContext.broadcast(_token_table(tokens)[1])
+    sizes = spark.sparkContext.broadcast(token_table(tokens)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder()
@@ -153,7 +154,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     A character split between tokens is whole again once their bytes stand side by side;
     cast ``decoded`` to string for the text. An id outside the vocabulary is an error.
     """
-    starts_lengths_pool = small_batches(rows.sparkSession).sparkContext.broadcast(_token_table(read_ranks(path)))
+    starts_lengths_pool = small_batches(rows.sparkSession).sparkContext.broadcast(token_table(read_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, lengths, pool = starts_lengths_pool.value

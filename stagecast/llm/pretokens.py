@@ -99,6 +99,10 @@ class Encoder:
         self.hashes = SpanHashes()
         self.forget()
 
+    def begins(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether each code point begins a pre-token; ``first`` marks the first of each row."""
+        return cut(points, self.classes[points], first)
+
     def forget(self):
         self.known = np.zeros(0, dtype=np.uint64)
         self.number = np.zeros(0, dtype=np.int64)
@@ -134,7 +138,7 @@ class Encoder:
             edges = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[bounds]
         first = np.zeros(len(points), dtype=bool)
         first[edges[:-1][edges[:-1] < len(points)]] = True
-        starts = np.nonzero(cut(points, self.classes[points], first))[0]
+        starts = np.nonzero(self.begins(points, first))[0]
         stops = np.append(starts[1:], len(points))
         if len(self.starts) > KEPT or len(self.points) > KEPT_POINTS:
             self.forget()
