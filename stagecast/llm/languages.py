@@ -20,10 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.llm.common import keyed_join, query, row_key, small_batches, table, whole_text
+from stagecast.llm.common import query, row_key, small_batches, table, whole_text
 from stagecast.session import materialise
 
 LONGEST = 4
@@ -32,7 +33,7 @@ SMOOTHING = 0.5
 UNIT = 1 << 20
 UNKNOWN = "und"
 #: Words scored where the text is read, at most, and their scores over all languages; their characters.
-SENT, SENT_SCORES, SENT_LENGTH = 1 << 18, 1 << 22, 64
+SENT, SENT_SCORES, SENT_LENGTH = 1 << 19, 1 << 22, 64
 #: Distinct (language, word) pairs a task counts before it hands them on.
 HELD = 400_000
 
@@ -186,6 +187,7 @@ def _scored(often, n_langs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, matrix = often.value
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             sums = np.zeros((len(batch), n_langs), dtype=np.int64)
             letters, rest = [], []
@@ -200,8 +202,10 @@ def _scored(often, n_langs: int):
             flat = pa.array(sums.ravel())
             ends = np.arange(len(batch) + 1, dtype=np.int32) * n_langs
             more = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            pairs = [pa.array([x[j] for r in rest for x in r], t) for j, t in enumerate((pa.string(), pa.int64()))]
+            pairs = [pa.array([x[j] for r in rest for x in r], t) for j, t in enumerate((pa.string(), pa.int32()))]
             rows = batch.drop_columns(["text"]).append_column("letters", pa.array(letters))
+            rows = rows.append_column("uid", pa.array(np.arange(uid, uid + len(batch))))
+            uid += len(batch)
             rows = rows.append_column("sums", pa.ListArray.from_arrays(pa.array(ends), flat))
             yield rows.append_column("rest", pa.ListArray.from_arrays(pa.array(more), pa.StructArray.from_arrays(pairs, ["word", "n"])))
 
@@ -213,7 +217,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the winner's share of the likelihood; of equal languages the first by code
     point wins. Texts that are null or without a letter, and all texts where nothing was
-    learned, are ``und`` with score 0. Repeated rows each get a row. Words that are not in
+    learned, are ``und`` with score 0. Repeated rows each get a row; rows are numbered in the
+    table that the sums are written to. Words that are not in
     the broadcast table are joined by word; the table's size is bounded by SENT and
     SENT_SCORES, whatever the number of words.
     """
@@ -228,17 +233,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast((number, matrix))
     kind = rows.schema["rid"].dataType.simpleString()
     scored = rows.mapInArrow(
-        _scored(sent, n), f"rid {kind}, rhash long, letters boolean, sums array<long>, rest array<struct<word:string,n:long>>"
+        _scored(sent, n), f"rid {kind}, rhash long, letters boolean, uid long, sums array<long>, rest array<struct<word:string,n:int>>"
     )
     scored = materialise(scored, "scored")
-    rest = scored.select("rid", "rhash", F.posexplode("rest").alias("at", "e")).select("rid", "rhash", "at", "e.*")
-    met = rest.join(model.words.filter("not often").select("word", "scores"), "word", "left")
-    more = [F.sum(F.col("n") * F.coalesce(F.get("scores", F.lit(i)), F.lit(0))) for i in range(n)]
-    # repeated rows share a key: their sums are divided by their number
-    met = met.groupBy("rid", "rhash").agg(F.sum((F.col("at") == 0).cast("long")).alias("copies"), F.array(*more).alias("more"))
-    whole = keyed_join(scored.drop("rest"), met, "left")
-    added = lambda x, y: x + F.coalesce((y / F.col("copies")).cast("long"), F.lit(0))
-    whole = whole.withColumn("sums", F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", added)))
+    rest = scored.select("uid", F.explode("rest").alias("e")).select("uid", "e.*")
+    met = rest.join(model.words.filter("not often").select("word", "scores"), "word")
+    more = [F.sum(F.col("n") * F.get("scores", F.lit(i))) for i in range(n)]
+    met = met.groupBy("uid").agg(F.array(*more).alias("more"))
+    whole = scored.drop("rest").join(met, "uid", "left")
+    whole = whole.withColumn("sums", F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y)))
     top = F.array_max("sums")
     share = F.aggregate("sums", F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / UNIT))
     order = F.array(*[F.lit(lang) for lang in langs])
