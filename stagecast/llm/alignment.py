@@ -27,7 +27,7 @@ from stagecast.llm.pretokens import Encoder, gather, library_classes
 from stagecast.session import materialise
 
 #: Bytes of text worked on at once, and of a chunk; a longer document is a chunk of its own.
-SLICE, CHUNK = 1 << 20, 8 << 20
+SLICE, CHUNK = 1 << 19, 4 << 20
 #: Documents of a chunk at most, so that their numbers take 16 bits.
 DOCS = 1 << 16
 #: Documents above which plain bits are shorter than a list of numbers.

@@ -15,7 +15,7 @@ from stagecast.llm.common import SpanHashes
 OTHER, LETTER, NUMBER, SPACE = range(4)
 TOP = 0x110000
 #: Distinct pre-tokens, and their characters, kept per Python worker; beyond, the memory starts afresh.
-KEPT, KEPT_POINTS = 1_500_000, 1 << 24
+KEPT, KEPT_POINTS = 500_000, 1 << 23
 
 
 def pattern_classes() -> np.ndarray:
