@@ -130,32 +130,36 @@ def sequence_examples(
 
 
 def live_histories(
-    series: DataFrame, issues: DataFrame, lookback: int = LOOKBACK_HOURS
+    series: DataFrame, issues: DataFrame, lookback: int = LOOKBACK_HOURS, width: int = 4096
 ) -> DataFrame:
     """History of fully elapsed steps for each ``(series, issued_idx)``.
 
     ``issued_idx`` is the step the issue time falls in; the history ends one step before. Rows
-    with a gap keep a null history and name the first missing step.
+    with a gap keep a null history and name the first missing step. Issues go into the blocks of
+    the readings, so one shuffle brings both together.
     """
-    wanted = issues.select("series", "issued_idx").distinct()
-    back = F.col("issued_idx") - lookback
-    steps = wanted.withColumn("idx", F.explode(F.sequence(back, F.col("issued_idx") - 1)))
-    found = steps.join(series, ["series", "idx"], "left")
-    entries = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("idx", F.col("value").cast("float").alias("v")))))
+    readings = series.where(F.col("value").isNotNull()).select(
+        "series", "idx", F.col("value").cast("float").alias("value"), F.lit(False).alias("issue")
+    )
+    wanted = issues.select("series", F.col("issued_idx").alias("idx")).distinct()
+    both = readings.unionByName(
+        wanted.withColumns({"value": F.lit(None).cast("float"), "issue": F.lit(True)})
+    )
+    back = in_block(["series"], "idx").rangeBetween(-lookback, -1)
+    step = F.when(~F.col("issue"), F.struct("idx", "value"))
+    first = F.col("idx") - lookback
+    # the steps come in order, so the first one that is missing is where counting up stops
+    reached = F.aggregate("steps", first, lambda at, s: F.when(s["idx"] == at, at + 1).otherwise(at))
     return (
-        found.groupBy("series", "issued_idx")
-        .agg(
-            entries.alias("entries"),
-            F.min(F.when(F.col("value").isNull(), F.col("idx"))).alias("first_missing_idx"),
-        )
+        with_blocks(both, "idx", width, before=lookback)
+        .withColumn("steps", F.collect_list(step).over(back))
+        .where(F.col("home") & F.col("issue"))
         .select(
             "series",
-            "issued_idx",
-            (F.col("issued_idx") - 1).alias("input_ends_idx"),
-            F.when(
-                F.col("first_missing_idx").isNull(), F.transform("entries", lambda e: e["v"])
-            ).alias("history"),
-            "first_missing_idx",
+            F.col("idx").alias("issued_idx"),
+            (F.col("idx") - 1).alias("input_ends_idx"),
+            F.when(F.size("steps") == lookback, F.transform("steps", lambda s: s["value"])).alias("history"),
+            F.when(F.size("steps") < lookback, reached).alias("first_missing_idx"),
         )
     )
 

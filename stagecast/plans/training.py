@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagecast.constants import HORIZONS, QUANTILES, RIDGE_MODEL, SPLITS
 from stagecast.functions.columns import split_of
+from stagecast.operators import boosting
 from stagecast.operators import models as m
 from stagecast.operators.features import TARGET_FEATURES
 from stagecast.session import materialise
@@ -128,64 +127,30 @@ def train_trees(
     sequences: DataFrame,
     horizons: Sequence[int] = HORIZONS,
     quantiles: Sequence[float] = QUANTILES,
-    trees: int = 1000,
-    depth: int = 6,
-    step: float = 0.1,
-    seed: int = 20260917,
+    **settings,
 ) -> dict[str, DataFrame]:
-    """Boosted-tree challengers on the change from the latest value, one model per target and horizon.
-
-    Sequences carry ``target_id, split, history`` and ``y_<h>``; they are read several times, so
-    pass a stored table. Each model is fitted to its target's rows, with the validation split for
-    early stopping, in as many rounds as that takes up to ``trees``; histories enter relative to
-    their last value. Returns scored rows, the report with the examples of each split and the
-    rounds used, and residual quantiles. Targets are fitted one after another, each over the
-    cluster.
+    """Boosted-tree challengers on the change from the latest value, of all targets at once.
+
+    Sequences carry ``target_id, split, history, issued_idx`` and ``y_<h>``; they are read several
+    times, so pass a stored table. ``settings`` go to ``boosting.grow``. Returns the ensemble,
+    scored rows, the report with the examples of each split and the trees kept, and residual
+    quantiles of the calibration rows.
     """
     sizes = split_counts(sequences)
     require_splits(sizes)
-    last = F.element_at("history", -1).cast("double")
-    rows = (
-        sequences.where(F.col("split").isin("training", "validation", "calibration"))
-        .withColumn("current", last)
-        .withColumn(
-            "features",
-            array_to_vector(F.transform("history", lambda v: v.cast("double") - F.col("current"))),
-        )
-        .withColumn("held", F.col("split") == "validation")
-    )
-    kept = [c for c in sequences.columns if c != "history"]
-    names = [r.target_id for r in sizes.select("target_id").orderBy("target_id").collect()]
-    scored, rounds = None, []
-    for name in names:
-        mine = rows.where(F.col("target_id") == name)
-        for h in horizons:
-            label = F.col(f"y_{h}").cast("double") - F.col("current")
-            fitted = GBTRegressor(
-                featuresCol="features", labelCol="change", predictionCol=f"d_{h}",
-                validationIndicatorCol="held", maxIter=trees, maxDepth=depth, stepSize=step,
-                subsamplingRate=0.8, minInstancesPerNode=5, seed=seed, cacheNodeIds=False,
-            ).fit(mine.where(F.col("split") != "calibration").withColumn("change", label))
-            rounds.append((name, h, fitted.getNumTrees))
-            mine = fitted.transform(mine).withColumn(f"p_{h}", F.col("current") + F.col(f"d_{h}"))
-        mine = mine.select(*kept, "current", *[f"p_{h}" for h in horizons])
-        scored = mine if scored is None else scored.unionByName(mine)
-    used = sequences.sparkSession.createDataFrame(rounds, "target_id string, horizon int, rounds int")
-    used = used.groupBy("target_id").agg(
+    ensemble = boosting.grow(sequences, horizons, **settings)
+    fitted = sequences.where(F.col("split").isin(*FITTING))
+    scored = boosting.score(fitted, ensemble, horizons)
+    kept = ensemble.groupBy("target_id", "horizon").agg(F.max("tree").alias("rounds"))
+    used = kept.groupBy("target_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "rounds")))).alias("rounds")
     )
     thresholds = m.label_thresholds(_of(sequences, "training"), 0.95, horizons)
     return {
+        "ensemble": ensemble,
         "scored": scored,
         "report": _metrics(_of(scored, "validation"), thresholds, horizons, "boosted_trees")
         .join(sizes, "target_id")
         .join(used, "target_id"),
         "residuals": m.residual_quantiles(_of(scored, "calibration"), horizons, quantiles),
     }
-
-
-def comparison_report(ridge_report: DataFrame, challengers: DataFrame) -> DataFrame:
-    """Challenger reports against the target-only ridge of the same target."""
-    return m.compare(ridge_report.where(F.col("variant") == "target_only"), challengers)
-
-

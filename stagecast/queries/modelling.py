@@ -16,6 +16,7 @@ from stagecast.operators import forecast as f
 from stagecast.operators import models as m
 from stagecast.operators import views
 from stagecast.operators.blocks import every_nth
+from stagecast.plans import challengers
 from stagecast.plans.training import train_ridge, train_trees, with_split
 from stagecast.queries.bindings import (
     CANON,
@@ -470,11 +471,57 @@ def paired_errors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.paired_errors(pairs), "mae_cfs", "rmse_cfs", "signed_bias_cfs", digits=4)
 
 
+#: Settings of the boosted trees here: few, shallow trees in large steps, to keep the query short.
+TREES = {"trees": 5, "depth": 3, "step": 0.3, "bins": 16, "patience": 3}
+
+
 @query()
 def tree_challenger(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on daily histories, rounds until the validation error stops falling."""
+    """Boosted trees on daily histories, grown until the validation error stops falling."""
+    rows = materialise(sequences(spark, d), "sequences")
+    return train_trees(rows, **TREES)["report"]
+
+
+@query()
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees of the pooled daily series against its target-only ridge, with the gate's answer."""
     rows = materialise(sequences(spark, d), "sequences")
-    return train_trees(rows)["report"]
+    found = with_split(x.horizon_examples(daily(spark, d, pooled=True), width=512), day_of(F.col("idx")), DAILY_CUTOFF, DAILY_SPLITS)
+    ridge = train_ridge(materialise(found, "examples"))["report"]
+    _, first, last = next(s for s in DAILY_SPLITS if s[0] == "validation")
+    return challengers.comparison(ridge, train_trees(rows, **TREES)["report"], (first.isoformat(), last.isoformat()))
+
+
+LIVE_LOOKBACK = 168
+
+
+@query()
+def live_challengers(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees of the pooled hourly series on the live history of every hour of every gauge.
+
+    A row per horizon and quantile of each record, or one with a reason for what has none: gaps,
+    and gauges that no ensemble was fitted for. Records and failures are stored twice over by
+    a cycle that runs again, which adds nothing.
+    """
+    pooled = hourly(spark, d, "ALL")
+    series = materialise(pooled.unionByName(hourly(spark, d)), "hourly")
+    own = series.where(F.col("series") == "ALL")
+    rows = with_split(x.sequence_examples(own, LIVE_LOOKBACK), day_of(F.col("issued_idx"), HOUR), HOURLY_CUTOFF, HOURLY_SPLITS)
+    rows = materialise(rows, "sequences")
+    whole = rows.groupBy("target_id").agg(F.count_distinct("split").alias("n")).where(F.col("n") >= 3)
+    rows = rows.join(whole.select("target_id"), "target_id", "left_semi")
+    fitted = train_trees(rows, **TREES)
+    issues = series.select(F.col("series").alias("target_id"), (F.col("idx") + 1).alias("issued_idx"))
+    found = challengers.cycle(
+        series, issues, fitted["ensemble"], fitted["residuals"],
+        challengers.lookbacks(fitted["ensemble"], LIVE_LOOKBACK), LIVE_LOOKBACK,
+    )
+    folder = scratch(spark, "challengers")
+    for _ in range(2):
+        challengers.append_cycle(found, folder)
+    records = spark.read.parquet(f"{folder}/records").drop("issued_on")
+    failures = spark.read.parquet(f"{folder}/failures").drop("issued_on")
+    return records.unionByName(failures, allowMissingColumns=True)
 
 
 # --- forecasts ---------------------------------------------------------------
