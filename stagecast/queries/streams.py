@@ -13,6 +13,7 @@ from stagecast.queries.episodes import EVENT_SQL, event_readings
 from stagecast.queries.sources import messages
 from stagecast.session import scratch
 from stagecast.sources.envelopes import decode
+from stagecast.streaming import compaction as sc
 from stagecast.streaming import events as se
 from stagecast.streaming import ingest as si
 
@@ -97,6 +98,20 @@ def direct_ingest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {OBS} SELECT gauge_id, event_time, value, payload_hash FROM obs""")
+def compacted_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries with a compaction after each, the second one replayed, old folders released."""
+    root = scratch(spark, "compacted")
+    first, second, third = _direct(spark, d)
+    for batch_id, part in ((0, first), (1, second), (1, second), (2, third)):
+        si.ingest(part, "direct", root, batch_id=batch_id)
+        sc.compact(spark, root, open_months=0)
+        sc.release(spark, root)
+    return si.revisions_table(spark, root).select(
+        "gauge_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "value", "payload_hash"
+    )
+
+
 @query(f"""WITH {OBS} SELECT gauge_id || '-value' AS series_key, max(event_time) AS event_time FROM obs GROUP BY 1""")
 def direct_high_water(spark: SparkSession, d: str) -> DataFrame:
     root = scratch(spark, "direct")

@@ -3,7 +3,7 @@
 Both ways end in ``store_batch``. Delivery is at least once: revisions lie in folders by
 parameter, month and batch, marks and dead letters by batch; a replay overwrites the folders of
 its own batch, and the anti-join looks at the other batches only. A batch lists and reads just the
-months it holds itself. Late data and corrections are new revisions and kept; the canonical series
+months it holds itself, of compacted ones (see ``compaction``) the packed files and later batches. Late data and corrections are new revisions and kept; the canonical series
 is a query over the table.
 """
 
@@ -18,10 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from stagecast.operators.revisions import high_water, new_revisions
 from stagecast.schemas import REVISION
 from stagecast.sources.envelopes import TOPIC, accepted, checked, encode, refused
-from stagecast.sources.tables import read_parts, read_table, with_month
+from stagecast.sources.tables import read_table, with_month
+from stagecast.streaming.compaction import marks, month_parts, stored_parts
 
-STORED = REVISION + ", event_month string, batch_id bigint"
-MARKS = "source string, series_key string, event_time timestamp, batch_id bigint"
 DEAD = "value string, reason string"
 
 
@@ -47,7 +46,8 @@ def file_values(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def revisions_table(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, f"{root}/revisions", STORED)
+    """All revisions: compacted months and the batches since."""
+    return stored_parts(spark, root, month_parts(spark, root))
 
 
 def dead_letter_table(spark: SparkSession, root: str) -> DataFrame:
@@ -56,8 +56,7 @@ def dead_letter_table(spark: SparkSession, root: str) -> DataFrame:
 
 def high_water_table(spark: SparkSession, root: str) -> DataFrame:
     """The newest event time of each series; every batch stores the marks of its own revisions."""
-    marks = read_table(spark, f"{root}/high_water", MARKS)
-    return marks.groupBy("source", "series_key").agg(F.max("event_time").alias("event_time"))
+    return marks(spark, root).groupBy("source", "series_key").agg(F.max("event_time").alias("event_time"))
 
 
 def store_batch(revisions: DataFrame, batch_id: int, root: str) -> None:
@@ -70,7 +69,7 @@ def store_batch(revisions: DataFrame, batch_id: int, root: str) -> None:
     revisions = with_month(revisions)
     held = revisions.select("parameter_code", "event_month").distinct().collect()  # a row per month
     months = [f"parameter_code={r.parameter_code}/event_month={r.event_month}" for r in held]
-    stored = read_parts(spark, f"{root}/revisions", months, STORED).where(F.col("batch_id") != batch_id)
+    stored = stored_parts(spark, root, months, skip=batch_id)
     spread = F.pmod(F.xxhash64("gauge_id", "event_time"), F.lit(64))
     (
         new_revisions(revisions, stored)
@@ -104,8 +103,7 @@ def ingest(
     """
     if mode == "direct":
         if batch_id is None:
-            marks = read_table(observations.sparkSession, f"{root}/high_water", MARKS)
-            last = marks.agg(F.max("batch_id").alias("b")).first().b
+            last = marks(observations.sparkSession, root).agg(F.max("batch_id").alias("b")).first().b
             batch_id = 0 if last is None else last + 1
         fields = observations.sparkSession.createDataFrame([], REVISION).schema
         store_batch(observations.select(*[F.col(f.name).cast(f.dataType) for f in fields]), batch_id, root)

@@ -16,6 +16,7 @@ from stagecast.sources import payloads as p
 from stagecast.sources import tables as t
 from stagecast.sources.basins import basins
 from stagecast.streaming import events as se
+from stagecast.streaming import compaction as sc
 from stagecast.streaming import ingest as si
 
 AT = datetime(2026, 1, 1)
@@ -199,11 +200,13 @@ def test_direct_batches_store_a_revision_once(spark, tmp_path):
 
 def test_a_batch_reads_only_its_months(spark, tmp_path, monkeypatch):
     asked = []
-    monkeypatch.setattr(si, "read_parts", lambda s, path, parts, schema: asked.append(sorted(parts)) or t.read_parts(s, path, parts, schema))
+    monkeypatch.setattr(sc, "read_parts", lambda s, path, parts, schema: asked.append(sorted({p.split("/batch_id")[0] for p in parts})) or t.read_parts(s, path, parts, schema))
     for batch, at in enumerate((datetime(2020, 5, 1), datetime(2026, 1, 1))):
         si.ingest(spark.createDataFrame([revision(at=at)], REVISION), "direct", str(tmp_path), batch_id=batch)
     si.ingest(spark.createDataFrame([revision(at=datetime(2020, 5, 1)), revision(at=datetime(2026, 1, 1))], REVISION), "direct", str(tmp_path), batch_id=2)
-    assert asked == [["parameter_code=00065/event_month=2020-05"], ["parameter_code=00065/event_month=2026-01"], ["parameter_code=00065/event_month=2020-05", "parameter_code=00065/event_month=2026-01"]]
+    si.ingest(spark.createDataFrame([revision(at=datetime(2020, 5, 1))], REVISION), "direct", str(tmp_path), batch_id=3)
+    both = ["parameter_code=00065/event_month=2020-05", "parameter_code=00065/event_month=2026-01"]
+    assert [parts for parts in asked if parts] == [both, both[:1]]
     assert si.revisions_table(spark, str(tmp_path)).count() == 2
 
 
