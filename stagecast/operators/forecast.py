@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import exp
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -360,15 +362,20 @@ def crossing_rows(forecasts: DataFrame) -> DataFrame:
     return forecasts.select("id", "target_id", "issued_at", F.inline("threshold_crossings"))
 
 
-def ordered_only(
-    forecasts: DataFrame, parts: Sequence[str] = ("stage", "maximum_stage", "discharge")
-) -> DataFrame:
+PARTS = ("stage", "maximum_stage", "discharge")
+
+
+def _in_order(parts: Sequence[str]) -> Column:
+    """Whether quantiles rise at every horizon of every part; a part that is null is in order."""
+    each = [F.coalesce(F.forall(part, lambda p: quantiles_ordered(p["quantiles"])), F.lit(True)) for part in parts]
+    return reduce(and_, each)
+
+
+def ordered_only(forecasts: DataFrame, parts: Sequence[str] = PARTS) -> DataFrame:
     """Forecasts whose quantiles do not cross at any horizon, in any part."""
-    for part in parts:
-        forecasts = forecasts.where(F.forall(part, lambda p: quantiles_ordered(p["quantiles"])))
-    return forecasts
+    return forecasts.where(_in_order(parts))
 
 
-def crossing_quantiles(forecasts: DataFrame, part: str = "stage") -> DataFrame:
-    """Forecasts to reject: quantiles cross at some horizon."""
-    return forecasts.where(F.exists(part, lambda p: ~quantiles_ordered(p["quantiles"])))
+def crossing_quantiles(forecasts: DataFrame, parts: Sequence[str] = PARTS) -> DataFrame:
+    """Forecasts to reject, all that ``ordered_only`` leaves out: quantiles cross at some horizon."""
+    return forecasts.where(~_in_order(parts))

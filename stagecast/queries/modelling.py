@@ -666,9 +666,18 @@ def forecast_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_PERSISTENCE} SELECT target_id, count(*) AS ordered, CAST(0 AS BIGINT) AS crossing FROM base GROUP BY 1""")
+@query(f"""WITH {_PERSISTENCE}, marked AS (SELECT target_id, id, h, CASE CAST(extract(hour FROM issued_at) AS INT) % 4
+    WHEN 1 THEN max(stage) - min(stage) WHEN 2 THEN max(maximum) - min(maximum)
+    WHEN 3 THEN max(discharge) - min(discharge) ELSE 0 END AS fall FROM qs GROUP BY target_id, id, issued_at, h),
+m AS (SELECT target_id, id, max(fall) > 0 AS crosses FROM marked GROUP BY 1, 2)
+SELECT target_id, count(*) FILTER (NOT crosses) AS ordered, count(*) FILTER (crosses) AS crossing FROM m GROUP BY 1""")
 def quantile_order_check(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts kept and rejected where the hour of issue decides which part's quantiles are mirrored."""
     issued = _persistence(spark, d)
+    turn = F.hour("issued_at") % 4
+    for i, part in enumerate(f.PARTS, 1):
+        mirrored = F.transform(part, lambda p: p.withField("quantiles", F.transform_values(p["quantiles"], lambda _, v: -v)))
+        issued = issued.withColumn(part, F.when(turn == i, mirrored).otherwise(F.col(part)))
     marked = f.ordered_only(issued).select("target_id", F.lit(1).alias("good")).unionByName(
         f.crossing_quantiles(issued).select("target_id", F.lit(0).alias("good"))
     )

@@ -11,6 +11,7 @@ from stagecast.constants import RECONCILIATION_HOURS
 from stagecast.functions.columns import (
     content_hash,
     floor_time,
+    reconciliation_bounds,
     season,
     split_of,
     stable_id,
@@ -135,11 +136,8 @@ def reconciliation_windows(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.filter(
         F.array(
             *[
-                F.when(
-                    F.col("event_time") >= F.col("newest") - F.make_dt_interval(hours=F.lit(hours)),
-                    kind,
-                )
-                for kind, hours in RECONCILIATION_HOURS.items()
+                F.when(F.col("event_time").between(*reconciliation_bounds(kind, F.col("newest"))), kind)
+                for kind in RECONCILIATION_HOURS
             ]
         ),
         lambda kind: kind.isNotNull(),

@@ -78,11 +78,6 @@ def payload_errors(payloads: DataFrame) -> DataFrame:
     )
 
 
-def canonical_json(column: Column) -> Column:
-    """Compact JSON text of a map, keys sorted."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
-
-
 def catalogue_entries(payloads: DataFrame) -> DataFrame:
     """Catalogue rows of payloads ``(source, resource, retrieved_at, payload)``, one per content.
 

@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stagecast.constants import DAY, HOUR, MINUTE
@@ -203,3 +204,24 @@ def test_window_labels_are_three_valued(spark):
     assert label([11.9]) is None
     assert label([11.9] * 4) is False
     assert label([11.9, 11.9, 11.9, 11.9, 99.0]) is False
+
+
+@pytest.mark.parametrize("width", [80 * HOUR, 30 * DAY])
+def test_window_labels_at_any_width(spark, width):
+    rng = random.Random(6)
+    at = sorted(rng.sample(range(-300 * 60, 300 * 60), 700))
+    readings = [("g", START + timedelta(minutes=m), rng.choice([None, 1.0, float(rng.randrange(50))])) for m in at]
+    asked = [("g", START + timedelta(minutes=m), 40.0) for m in [*rng.sample(at, 40), *rng.sample(range(-18000, 18000), 40), 0, 0]]
+    found = window_labels(
+        spark.createDataFrame(readings, "gauge_id string, event_time timestamp, value double"),
+        spark.createDataFrame(asked, "gauge_id string, issued_at timestamp, threshold double"),
+        (1, 6, 72), width=width,
+    )
+    assert "RANGE BETWEEN 1 FOLLOWING" not in found._jdf.queryExecution().toString().upper()
+    got = sorted((r.issued_at, r.horizon_hours, r.valid_samples, -1.0 if r.maximum is None else r.maximum) for r in found.collect())
+    want = []
+    for _, t, _ in asked:
+        for h in (1, 6, 72):
+            ahead = [v for _, s, v in readings if v is not None and t < s <= t + timedelta(hours=h)]
+            want.append((t.replace(tzinfo=None), h, len(ahead), max(ahead, default=-1.0)))
+    assert got == sorted(want)

@@ -102,6 +102,17 @@ def test_ridge_needs_the_reading_an_hour_back(spark):
     assert f.refusals(known, needs_prior=True).first().reason == "no earlier reading"
 
 
+@pytest.mark.parametrize("part", f.PARTS)
+def test_a_crossing_in_any_part_rejects(spark, part):
+    issued = f.persistence_forecasts(state(spark, [(before(0), 15.0), (before(60), 14.0)]), limits(spark))
+    turned = F.transform(part, lambda p: p.withField("quantiles", F.transform_values(p["quantiles"], lambda _, v: -v)))
+    both = issued.unionByName(issued.withColumn("target_id", F.lit("crossing")).withColumn(part, turned))
+    assert [r.target_id for r in f.crossing_quantiles(both).collect()] == ["crossing"]
+    assert f.ordered_only(both).count() == 1
+    nothing = issued.withColumn(part, F.lit(None).cast(issued.schema[part].dataType))
+    assert f.ordered_only(nothing).count() == 1 and f.crossing_quantiles(nothing).count() == 0
+
+
 def test_quantiles_never_cross_and_ids_are_stable(spark):
     known = state(spark, [(before(0), 0.05), (before(60), 1.0)])
     issued = f.persistence_forecasts(known, limits(spark))
