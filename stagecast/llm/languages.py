@@ -48,11 +48,10 @@ def words_of(text: str) -> list[str]:
     return [w for w in found if w.isascii() or any(c.isalpha() for c in w)]
 
 
-def grams_of(word: str) -> list[str]:
-    """All n-grams up to LONGEST characters of a word between two spaces; no lone space."""
-    padded = f" {word} "
-    found = [padded[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(padded) - n + 1)]
-    return [*word, *found]
+def grams_of(word: str, n: int) -> list[str]:
+    """The n-grams of a word between two spaces; single characters without the spaces."""
+    padded = word if n == 1 else f" {word} "
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
 def held_out(ident: Column) -> Column:
@@ -94,21 +93,27 @@ def _add_words(counts: dict, batch: pa.RecordBatch) -> None:
 def _add_grams(counts: dict, batch: pa.RecordBatch) -> None:
     for word, lang, n in zip(*(batch.column(c).to_pylist() for c in ("word", "lang", "n"))):
         own = counts.setdefault(lang, Counter())
-        for gram in grams_of(word):
-            own[gram] += n
+        for size in range(1, LONGEST + 1):
+            for gram in grams_of(word, size):
+                own[gram] += n
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = batch.column("word").to_pylist()
-        found = [Counter(grams_of(word)) for word in words]
-        yield pa.record_batch(
-            {
-                "word": pa.array([w for w, own in zip(words, found) for _ in own], pa.string()),
-                "gram": pa.array([g for own in found for g in own], pa.string()),
-                "times": pa.array([n for own in found for n in own.values()], pa.int64()),
-            }
-        )
+def _grams(n: int):
+    """(word, gram, times): the n-grams of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            found = [Counter(grams_of(word, n)) for word in words]
+            yield pa.record_batch(
+                {
+                    "word": pa.array([w for w, own in zip(words, found) for _ in own], pa.string()),
+                    "gram": pa.array([g for own in found for g in own], pa.string()),
+                    "times": pa.array([n for own in found for n in own.values()], pa.int64()),
+                }
+            )
+
+    return run
 
 
 class Model(NamedTuple):
@@ -161,13 +166,17 @@ def learn(docs: DataFrame) -> Model:
     grams = learned.mapInArrow(_totals(_add_grams), "word string, lang string, n long")
     grams = grams.groupBy(F.col("word").alias("key"), "lang").agg(F.sum("n").alias("n"))
     grams = _scores(grams, F.length("key"), langs)
-    asked = totals.filter("not known").select("word").mapInArrow(_grams, "word string, gram string, times long")
-    met = asked.join(grams.withColumnRenamed("key", "gram"), "gram")
-    sums = [F.sum(F.col("times") * F.get("scores", F.lit(i))) for i in range(len(langs))]
-    by_level = met.groupBy("word", "level").agg(F.sum("times").alias("weight"), F.array(*sums).alias("sums"))
-    longest = by_level.groupBy("word").agg(F.max_by(F.struct("weight", "sums"), "level").alias("m"))
-    mean = F.transform("m.sums", lambda x: F.round(x / F.col("m.weight")).cast("long"))
-    words = known.unionByName(longest.select("word", mean.alias("scores")))
+    grams = grams.withColumnRenamed("key", "gram")
+    words, left = known, totals.filter("not known").select("word")
+    sums = F.array(*[F.sum(F.col("times") * F.get("scores", F.lit(i))) for i in range(len(langs))])
+    for n in range(LONGEST, 0, -1):
+        asked = left.mapInArrow(_grams(n), "word string, gram string, times long")
+        met = asked.join(grams.filter(F.col("level") == n), "gram")
+        met = met.groupBy("word").agg(F.sum("times").alias("weight"), sums.alias("sums"))
+        mean = F.transform("sums", lambda x: F.round(x / F.col("weight")).cast("long"))
+        met = materialise(met.select("word", mean.alias("scores")), "unseen")
+        words = words.unionByName(met)
+        left = materialise(left.join(met.select("word"), "word", "left_anti"), "left")
 
     step = F.floor(F.log2("total") * 8).cast("int")
     short = totals.filter(F.length("word") <= SENT_LENGTH)
