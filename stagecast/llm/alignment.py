@@ -34,6 +34,8 @@ DOCS = 1 << 16
 DENSE = DOCS // 16
 #: Pairs of a group up to which its links are written out before they are counted.
 SMALL = 64
+#: Distinct units that each of the two encoders of a worker keeps.
+KEPT = 500_000
 SPACE_MARK = "▁"
 
 
@@ -235,6 +237,7 @@ def _index(encoders, sizes, kind: pa.DataType):
         from hashlib import sha256
 
         one, other = (e() for e in encoders)
+        one.kept = other.kept = KEPT
         a_table, b_table = sizes.value
         chunk, docs, size, links = TaskContext.get().partitionId() << 24, 0, 0, []
 

@@ -15,7 +15,7 @@ from stagecast.llm.common import SpanHashes
 OTHER, LETTER, NUMBER, SPACE = range(4)
 TOP = 0x110000
 #: Distinct pre-tokens, and their characters, kept per Python worker; beyond, the memory starts afresh.
-KEPT, KEPT_POINTS = 500_000, 1 << 23
+KEPT, KEPT_POINTS = 1_000_000, 1 << 24
 
 
 def pattern_classes() -> np.ndarray:
@@ -97,6 +97,7 @@ class Encoder:
     def __init__(self, classes: np.ndarray, encode):
         self.classes, self.encode = classes, encode
         self.hashes = SpanHashes()
+        self.kept = None  # fewer pre-tokens than KEPT, where several encoders share a worker
         self.forget()
 
     def begins(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,7 +141,7 @@ class Encoder:
         first[edges[:-1][edges[:-1] < len(points)]] = True
         starts = np.nonzero(self.begins(points, first))[0]
         stops = np.append(starts[1:], len(points))
-        if len(self.starts) > KEPT or len(self.points) > KEPT_POINTS:
+        if len(self.starts) > (self.kept or KEPT) or len(self.points) > KEPT_POINTS:
             self.forget()
         distinct, at, back = np.unique(self.hashes.of(points, starts, stops), return_index=True, return_inverse=True)
         numbers = self._numbers(distinct, text, starts[at], stops[at])[back]
