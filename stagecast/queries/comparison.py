@@ -16,6 +16,7 @@ from stagecast.operators import forecast as f
 from stagecast.operators import models as m
 from stagecast.operators import verification as v
 from stagecast.operators.labels import window_labels
+from stagecast.operators.triggers import risk_events
 from stagecast.queries.bindings import HOURLY_SQL, hourly, query, rounded, samples
 from stagecast.queries.episodes import MARGIN, THRESHOLD, _episodes, cluster_sql, episode_sql
 from stagecast.queries.modelling import _FIT, _PERSISTENCE, FEATURES, LABELS, _persistence, _split, forecast_issues, stored_examples
@@ -236,6 +237,22 @@ def risk_reliability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(v.reliability(_scored(spark, d), ["target_id"]), "mean_p", "observed_share")
 
 
+@query(f"""WITH {_SCORED.replace(str(RISK), str(60.0))}, r AS (SELECT target_id, issued_at, 1.0 - CASE WHEN lq IS NULL THEN hq
+    WHEN hq IS NULL THEN lq ELSE lq + (hq - lq) * ((CAST(60 AS DOUBLE) - lv) / (hv - lv)) END >= 0.5 AS above FROM sides),
+m AS (SELECT *, CASE WHEN above AND lag(above) OVER w THEN 1
+  WHEN NOT above AND NOT lag(above) OVER w AND NOT lag(above, 2) OVER w THEN 0 END AS mark
+  FROM r WINDOW w AS (PARTITION BY target_id ORDER BY issued_at)),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY target_id ORDER BY issued_at
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM m)
+SELECT target_id, issued_at, CASE mark WHEN 1 THEN 'risk_opened' ELSE 'risk_closed' END AS transition FROM s WHERE mark <> was""")
+def risk_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Risk events over the issued probabilities: two above to open, three below to close."""
+    day = F.get(F.filter("maximum_stage", lambda p: p["horizon_hours"] == 24), F.lit(0))
+    p = v.exceedance(day["quantiles"], F.lit(60.0))
+    issued = materialise(_persistence(spark, d).select("target_id", "issued_at", p.alias("p")), "issued")
+    return _ntz(risk_events(issued, F.col("p") >= 0.5, width=200), "issued_at")
+
+
 REPLICATES = 200
 _CDF = "[" + ", ".join(f"CAST({total!r} AS DOUBLE)" for total in accumulate(exp(-1.0) / factorial(k) for k in range(14))) + "]"
 _BOOT = f"""{_FIT}, src AS (SELECT series AS gauge_id, idx * {DAY} AS us, value, {THRESHOLD} AS threshold FROM daily),

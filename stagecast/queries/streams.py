@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagecast.constants import DAY
 from stagecast.operators.revisions import canonical
-from stagecast.queries.bindings import CANON, OBS, observations, query
+from stagecast.operators.triggers import coalesced_triggers as coalesce_triggers
+from stagecast.queries.bindings import CANON, OBS, observations, query, rounded, table
 from stagecast.queries.episodes import EVENT_SQL, event_readings
 from stagecast.queries.sources import messages
 from stagecast.session import scratch
@@ -16,6 +18,7 @@ from stagecast.sources.envelopes import decode
 from stagecast.streaming import compaction as sc
 from stagecast.streaming import events as se
 from stagecast.streaming import ingest as si
+from stagecast.streaming import live
 
 
 DELIVERIES = (None, datetime(2024, 1, 11), datetime(2024, 1, 21), None)
@@ -158,3 +161,83 @@ def stream_events_late(spark: SparkSession, d: str) -> DataFrame:
     return se.corrected(spark, root, whole).select(
         "gauge_id", "seq", F.col("at").cast("timestamp_ntz").alias("event_time"), "transition"
     )
+
+
+def _triggers(spark: SparkSession, d: str) -> DataFrame:
+    """A trigger per event; a high value stands for a correction."""
+    kind = F.when(F.col("value") >= 60, "correction").otherwise("batch")
+    return table(spark, d, "events").select(
+        F.col("event_type").alias("target_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")
+    )
+
+
+_GROUPS = """t AS (SELECT event_type AS target_id, ts, CASE WHEN value >= 60 THEN 'correction' ELSE 'batch' END AS kind FROM events),
+s AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY target_id ORDER BY ts) <= 300000000
+  THEN 0 ELSE 1 END AS fresh FROM t),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY target_id ORDER BY ts) AS grp FROM s),
+groups AS (SELECT target_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS triggers,
+  string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM g GROUP BY target_id, grp)"""
+
+
+def _shown(groups: DataFrame) -> DataFrame:
+    ntz = {n: F.col(n).cast("timestamp_ntz") for n in ("first_at", "last_at")}
+    return groups.withColumns({**ntz, "kinds": F.array_join("kinds", ",")})
+
+
+@query(f"WITH {_GROUPS} SELECT * FROM groups")
+def trigger_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Triggers within five minutes of each other, as one."""
+    return _shown(coalesce_triggers(_triggers(spark, d), width=2 * DAY))
+
+
+def _landed(parts: list[DataFrame], path: str) -> None:
+    for part in parts:
+        part.repartition(3).write.mode("append").parquet(path)
+
+
+@query(f"""WITH {_GROUPS} SELECT * FROM groups
+WHERE last_at + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def stream_trigger_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same groups from a stream, as far as its watermark has passed them."""
+    path, out = scratch(spark, "triggers"), scratch(spark, "trigger-groups")
+    _landed(_deliveries(_triggers(spark, d), "at"), path)
+    live.run_view(live.live_sessions(live.landed(spark, path, live.TRIGGER, 3)), out, scratch(spark, "checkpoint"))
+    return _shown(spark.read.parquet(out))
+
+
+def _late_order(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Deliveries of readings, the middle one last and so behind the watermark."""
+    rows = table(spark, d, "events").select(
+        F.col("event_type").alias("gauge_id"), F.col("ts").cast("timestamp").alias("at"), "value"
+    )
+    first, second, third = _deliveries(rows, "at")
+    return [first, third, second]
+
+
+@query("""SELECT event_type AS gauge_id, time_bucket(INTERVAL 1 HOUR, ts) AS starts_at, count(*) AS readings,
+  round(avg(value), 6) AS mean, max(value) AS most FROM events
+WHERE ts < TIMESTAMP '2024-01-11' OR ts >= TIMESTAMP '2024-01-21' GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def stream_live_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly windows of a stream behind a watermark of two hours; the late delivery is left out.
+
+    The stream is stopped and taken up again after every delivery.
+    """
+    path, out, checkpoint = scratch(spark, "readings"), scratch(spark, "windows"), scratch(spark, "checkpoint")
+    for part in _late_order(spark, d):
+        _landed([part], path)
+        live.run_view(live.live_windows(live.landed(spark, path, live.READING, 3)), out, checkpoint)
+    found = spark.read.parquet(out).drop("ends_at")
+    return rounded(found.withColumn("starts_at", F.col("starts_at").cast("timestamp_ntz")), "mean")
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts >= TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch_id
+  FROM events), k AS (SELECT batch_id, max(max(ts)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+  FROM b GROUP BY 1)
+SELECT event_type AS gauge_id, count(*) AS late_rows FROM b JOIN k USING (batch_id)
+WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= newest - INTERVAL 2 HOUR GROUP BY 1""")
+def live_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that came too late for their live window."""
+    parts = [part.withColumn("batch_id", F.lit(i)) for i, part in enumerate(_late_order(spark, d))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return live.late_rows(rows).groupBy("gauge_id").agg(F.count("*").alias("late_rows"))
