@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagecast.constants import ARCHIVE_START, DISCHARGE, HOUR, SPLITS, STAGE
+from stagecast.constants import ARCHIVE_START, DISCHARGE, HOUR, RELEASE_PROXIES, SPLITS, STAGE
 from stagecast.functions.columns import month_count
 from stagecast.operators import coverage as c
 from stagecast.operators import episodes as e
@@ -188,14 +188,25 @@ def upstream_analysis(
 
 
 def upstream_selection(
-    topology: DataFrame, metadata: DataFrame, start: date, cutoff: date
+    topology: DataFrame,
+    metadata: DataFrame,
+    start: date,
+    cutoff: date,
+    proxies: dict[str, str] = RELEASE_PROXIES,
+    lean: int = 3,
+    **rule,
 ) -> dict[str, DataFrame]:
-    """Candidates, selection and lean selection from landed topology and series metadata."""
+    """Candidates, selection and lean selection from landed topology and series metadata.
+
+    ``proxies`` name the gauge a target must keep, ``lean`` is the mainstem gauges of the lean
+    selection, ``rule`` goes to ``select_candidates``. ``acquisition`` lists each gauge once.
+    """
     candidates = u.connected_candidates(topology, u.preferred_series(metadata), start, cutoff)
-    selected = u.select_candidates(candidates)
+    selected = u.select_candidates(candidates, proxies=proxies, **rule)
     return {
         "candidates": candidates,
         "ranked": u.rank_candidates(candidates),
         "selected": selected,
-        "model_selected": u.lean_selection(selected),
+        "model_selected": u.lean_selection(selected, lean, proxies),
+        "acquisition": u.acquisition_list(selected),
     }

@@ -651,6 +651,16 @@ def latest_forecast(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_PERSISTENCE}, newest AS (SELECT id FROM base ORDER BY issued_at DESC, id LIMIT 1)
+SELECT id, target_id, issued_at, freshness FROM base WHERE id IN (SELECT id FROM newest)""")
+def forecast_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The newest forecast of all, read by its id."""
+    issued = materialise(_persistence(spark, d), "issued")
+    newest = issued.orderBy(F.col("issued_at").desc(), "id").select("id").first()
+    found = views.forecast_by_id(issued, newest.id if newest else "")
+    return found.select("id", "target_id", F.col("issued_at").cast("timestamp_ntz").alias("issued_at"), "freshness")
+
+
 @query(f"""WITH {_PERSISTENCE} SELECT target_id, count(*) AS stored, count(DISTINCT id) AS ids,
   count(*) FILTER (issued_at >= TIMESTAMP '2024-01-15') AS reissued FROM base GROUP BY 1""")
 def forecast_upsert(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stagecast.operators import series as s
 from stagecast.operators import upstream as u
-from stagecast.plans.audits import upstream_analysis
+from stagecast.plans.audits import upstream_analysis, upstream_selection
 from stagecast.queries.bindings import (
     CANON,
     HOURLY_SQL,
@@ -226,6 +226,56 @@ def lean_selection(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_FORCED = f"""{_CANDIDATES},
+proxies AS (SELECT CAST(min(s_suppkey) AS VARCHAR) AS target_id, CAST(max(s_suppkey) AS VARCHAR) AS proxy
+  FROM supplier GROUP BY s_nationkey HAVING min(s_suppkey) % 3 <> 0),
+regular AS (SELECT target_id, gauge_id, is_target_mainstem, side_rank, false AS forced FROM ranked
+  WHERE side_rank <= CASE WHEN is_target_mainstem THEN 2 ELSE 1 END),
+added AS (SELECT c.target_id, c.gauge_id, c.is_target_mainstem, 0 AS side_rank, true AS forced FROM candidates c
+  JOIN proxies p ON p.target_id = c.target_id AND p.proxy = c.gauge_id
+  WHERE NOT EXISTS (SELECT 1 FROM regular r WHERE r.target_id = c.target_id AND r.gauge_id = c.gauge_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY forced, is_target_mainstem DESC, side_rank) AS position,
+  bool_or(forced) OVER (PARTITION BY target_id) AS has_forced FROM (SELECT * FROM regular UNION ALL SELECT * FROM added)),
+chosen AS (SELECT target_id, gauge_id, is_target_mainstem, least(position, 2) AS rank, CASE WHEN forced THEN 'forced'
+  WHEN is_target_mainstem THEN 'mainstem' ELSE 'tributary' END AS why
+  FROM placed WHERE forced OR position <= CASE WHEN has_forced THEN 1 ELSE 2 END),
+lean AS (SELECT c.*, proxy, row_number() OVER (PARTITION BY target_id, is_target_mainstem ORDER BY rank) AS k
+  FROM chosen c LEFT JOIN proxies USING (target_id))"""
+
+
+def _forced(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The selection plan where two of three nations must keep their last supplier; a row per nation."""
+    ends = table(spark, d, "supplier").groupBy("s_nationkey").agg(
+        F.min("s_suppkey").alias("first"), F.max("s_suppkey").alias("last")
+    )
+    proxies = {str(r.first): str(r.last) for r in ends.where("first % 3 <> 0").collect()}
+    return upstream_selection(
+        topology(spark, d), series_metadata(spark, d), START, CUTOFF, proxies, lean=1, mainstem=2, tributaries=1, limit=2
+    )
+
+
+@query(f"""WITH {_FORCED} SELECT 'selected' AS part, target_id, gauge_id, is_target_mainstem, rank, why FROM chosen
+UNION ALL SELECT 'model_selected', target_id, gauge_id, is_target_mainstem, rank, why FROM lean
+WHERE (is_target_mainstem AND k <= 1) OR CASE WHEN proxy IS NOT NULL THEN gauge_id = proxy
+  ELSE NOT is_target_mainstem AND k = 1 END""")
+def forced_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Selection and lean selection with required gauges, whatever their overlap or rank."""
+    report = _forced(spark, d)
+    reason = F.col("selection_reason")
+    why = F.when(reason.startswith("required"), "forced").when(reason.contains("mainstem"), "mainstem").otherwise("tributary")
+    rows = [
+        report[part].select(F.lit(part).alias("part"), "target_id", "gauge_id", "is_target_mainstem", "rank", why.alias("why"))
+        for part in ("selected", "model_selected")
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"WITH {_FORCED} SELECT DISTINCT gauge_id, '00060' AS parameter_code FROM chosen")
+def acquisition_gauges(spark: SparkSession, d: str) -> DataFrame:
+    """Each selected gauge once, with what to fetch."""
+    return _forced(spark, d)["acquisition"]
+
+
 @query("""WITH t AS (SELECT CAST(s_nationkey AS VARCHAR) AS target_id, CAST(s_suppkey AS VARCHAR) AS gauge_id,
   (row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(s_suppkey AS VARCHAR)) - 1) // 40 AS chunk
   FROM supplier)
