@@ -18,7 +18,9 @@ from stagecast.llm.common import cuts, lists, query, small_batches, table, text_
 from stagecast.llm.pretokens import Encoder, gather, pattern_classes
 
 #: Bytes of text worked on at once; a longer document is a piece of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Pre-tokens that the library encodes in one call; its results take several hundred bytes each.
+PIECES = 1 << 13
 
 
 def vocabulary(name: str) -> str:
@@ -88,7 +90,8 @@ def _encoder(model: str, classes: bytes) -> Encoder:
     tokenizer.encode_special_tokens = True
 
     def ids(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        groups = (pieces[i : i + PIECES] for i in range(0, len(pieces), PIECES))
+        return [e.ids for some in groups for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     return Encoder(np.frombuffer(classes, dtype=np.uint8), ids)
 
