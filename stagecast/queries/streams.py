@@ -18,7 +18,7 @@ from stagecast.sources.envelopes import decode
 from stagecast.streaming import compaction as sc
 from stagecast.streaming import events as se
 from stagecast.streaming import ingest as si
-from stagecast.streaming import live
+from stagecast.streaming import live, retention
 
 
 DELIVERIES = (None, datetime(2024, 1, 11), datetime(2024, 1, 21), None)
@@ -241,3 +241,21 @@ def live_late_rows(spark: SparkSession, d: str) -> DataFrame:
     parts = [part.withColumn("batch_id", F.lit(i)) for i, part in enumerate(_late_order(spark, d))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return live.late_rows(rows).groupBy("gauge_id").agg(F.count("*").alias("late_rows"))
+
+
+@query("""SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'archive' ELSE 'table' END AS place,
+  strftime(ts, '%Y-%m-%d') AS day, count(*) AS readings, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def retained_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings by day after the first half of January was exported, compared and released."""
+    path, archive = scratch(spark, "dated"), scratch(spark, "archive")
+    rows = table(spark, d, "events").select(
+        F.col("event_type").alias("gauge_id"), F.col("ts").cast("timestamp").alias("at"), "value", F.date_format("ts", "yyyy-MM-dd").alias("day")
+    )
+    rows.write.partitionBy("day").parquet(path)
+    call = (spark, path, archive, "january", live.READING, "day")
+    retention.export(*call, "2024-01-15")
+    retention.release(*call)
+    kept = spark.read.schema(f"{live.READING}, day string").parquet(path).withColumn("place", F.lit("table"))
+    moved = retention.exported(spark, archive, "january", live.READING, "day").withColumn("place", F.lit("archive"))
+    found = kept.unionByName(moved).groupBy("place", "day").agg(F.count("*").alias("readings"), F.sum("value").alias("total"))
+    return rounded(found, "total", digits=4)
