@@ -1,12 +1,14 @@
 """Forecast bulletins: ``.E``/``.ER`` sequences with continuations, ``.A``/``.AR`` crests.
 
-Lines of one bulletin are put in order by a window; what a continuation needs is the last good
-header before it and the number of values since. Nothing is carried from row to row in Python.
+A bulletin is worked out inside its row by array functions: its lines are parsed once, cut before
+each good header, and the values of a header's lines counted by a fold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagecast.functions.columns import (
@@ -52,144 +54,216 @@ def _tokens(data: Column, header: bool) -> Column:
     return F.transform(pieces, read)
 
 
-def bulletin_lines(bulletins: DataFrame) -> DataFrame:
-    """Record lines of ``(bulletin_id, text)`` with their parsed parts; ids are unique."""
-    line = F.col("line")
-    body = F.col("body")
-    lines = (
-        bulletins.select("bulletin_id", F.posexplode(F.split("text", _LINE_ENDS)).alias("pos", "raw"))
-        .withColumn("line", _stripped(F.col("raw")))
-        .where(line.startswith("."))
-        .withColumn(
-            "kind",
-            F.when(line.rlike(r"^\.ER? "), "sequence")
-            .when(line.startswith(".E"), "continuation")
-            .when(line.rlike(r"^\.AR? "), "crest")
-            .otherwise("other"),
-        )
-        .withColumn("parts", F.split("line", r"\s+"))
-        .withColumn("body", F.array_join(F.slice("parts", F.lit(5), F.size("parts")), " "))
-        .withColumn("pieces", F.split("body", "/"))
-        .withColumn("station", F.get("parts", F.lit(1)))
-        .withColumn("zone", zone_name(F.get("parts", F.lit(3))))
-        .withColumn(
-            "day",
-            F.when(
-                F.get("parts", F.lit(2)).rlike("^[0-9]{8}$"),
-                F.try_to_date(F.get("parts", F.lit(2)), "yyyyMMdd"),
-            ),
-        )
-    )
+def _marked(x: Column) -> dict[str, Column]:
+    line = x["line"]
+    return {
+        "kind": F.when(line.rlike(r"^\.ER? "), "sequence")
+        .when(line.startswith(".E"), "continuation")
+        .when(line.rlike(r"^\.AR? "), "crest")
+        .otherwise("other"),
+        "parts": F.split(line, r"\s+"),
+    }
+
+
+def _split(x: Column) -> dict[str, Column]:
+    day = F.get(x["parts"], F.lit(2))
+    return {
+        "body": F.array_join(F.slice(x["parts"], F.lit(5), F.size(x["parts"])), " "),
+        "station": F.get(x["parts"], F.lit(1)),
+        "zone": zone_name(F.get(x["parts"], F.lit(3))),
+        "day": F.when(day.rlike("^[0-9]{8}$"), F.try_to_date(day, "yyyyMMdd")),
+    }
+
+
+def _fielded(x: Column) -> dict[str, Column]:
     # a field is a slash, a code of two or three letters and its value; the first piece has no slash
-    fields = F.slice("pieces", F.lit(2), F.size("pieces"))
-    observed, creation = _field(fields, "DH"), _field(fields, "DC")
-    hour = _digits(observed, 1, 2).cast("int")
-    minute = F.coalesce(_digits(observed, 3, 2).cast("int"), F.lit(0))
-    created = F.concat(_digits(creation, 1, 8), _digits(creation, 9, 4))
-    interval = F.split(_field(fields, "DIH"), r"\s+")[0]
-    words = F.filter(F.split(body, r"[/\s]+"), lambda p: p.startswith("HGIFF"))
-    first_parameter = F.get(words, F.lit(0))
-    # a crest's parameter code is a word of its own, followed by its value
-    coded = F.filter(
-        F.transform(fields, lambda p: F.split(p, r"\s+")),
+    pieces = F.split(x["body"], "/")
+    return {"fields": F.slice(pieces, F.lit(2), F.size(pieces))}
+
+
+def _coded(x: Column) -> dict[str, Column]:
+    """Fields by their codes; a parameter is the first word of its field."""
+    words = F.transform(x["fields"], lambda p: F.split(p, r"\s+"))
+    crest = F.filter(
+        words,
         lambda w: w[0].isin("HGIFF", "HGIFFX", "HGIFFZZ") & (F.coalesce(F.get(w, F.lit(1)), F.lit("")) != ""),
     )
-    crest = F.get(coded, F.lit(0))
-    is_crest = F.col("kind") == "crest"
-    lines = (
-        lines.withColumn("hour", F.when(is_crest, F.coalesce(hour, F.lit(0))).otherwise(hour))
-        .withColumn("minute", minute)
-        .withColumn("created_text", created)
-        .withColumn("created", F.try_to_timestamp("created_text", F.lit("yyyyMMddHHmm")))
-        .withColumn("step", F.when(F.translate(interval, "0123456789", "") == "", interval.try_cast("int")))
-        .withColumn("parameter", F.when(is_crest, crest[0]).otherwise(first_parameter))
-        .withColumn("crest_token", F.get(crest, F.lit(1)))
-        .withColumn("data_from", F.instr(body, F.concat(F.lit("/"), F.col("parameter"))))
-        .withColumn(
-            "base",
-            F.when(
-                (F.col("hour") < 24) & (F.col("minute") < 60),
-                F.col("day").cast("timestamp")
-                + F.make_dt_interval(hours=F.col("hour"), mins=F.col("minute")),
-            ),
-        )
-    )
-    dated = F.col("base").isNotNull() & F.col("zone").isNotNull() & F.col("parameter").isNotNull()
-    sequence_ok = (
+    return {
+        "observed": _field(x["fields"], "DH"),
+        "creation": _field(x["fields"], "DC"),
+        "interval": F.split(_field(x["fields"], "DIH"), r"\s+")[0],
+        "coded": F.when(x["kind"] == "crest", F.get(crest, F.lit(0))).otherwise(
+            F.get(F.filter(words, lambda w: w[0].startswith("HGIFF")), F.lit(0))
+        ),
+    }
+
+
+def _read(x: Column) -> dict[str, Column]:
+    hour = _digits(x["observed"], 1, 2).cast("int")
+    return {
+        "hour": F.when(x["kind"] == "crest", F.coalesce(hour, F.lit(0))).otherwise(hour),
+        "minute": F.coalesce(_digits(x["observed"], 3, 2).cast("int"), F.lit(0)),
+        "created_text": F.concat(_digits(x["creation"], 1, 8), _digits(x["creation"], 9, 4)),
+        "step": F.when(
+            F.translate(x["interval"], "0123456789", "") == "", x["interval"].try_cast("int")
+        ),
+        "parameter": F.get(x["coded"], F.lit(0)),
+    }
+
+
+def _dated(x: Column) -> dict[str, Column]:
+    return {
+        "created": F.try_to_timestamp(x["created_text"], F.lit("yyyyMMddHHmm")),
+        "data_from": F.instr(x["body"], F.concat(F.lit("/"), x["parameter"])),
+        "base": F.when(
+            (x["hour"] < 24) & (x["minute"] < 60),
+            x["day"].cast("timestamp") + F.make_dt_interval(hours=x["hour"], mins=x["minute"]),
+        ),
+    }
+
+
+def _framed(x: Column) -> dict[str, Column]:
+    dated = x["base"].isNotNull() & x["zone"].isNotNull() & x["parameter"].isNotNull()
+    sequence = (
         dated
-        & F.col("step").isNotNull()
-        & (F.col("data_from") > 0)
-        & (F.col("created_text").isNull() | F.col("created").isNotNull())
+        & x["step"].isNotNull()
+        & (x["data_from"] > 0)
+        & (x["created_text"].isNull() | x["created"].isNotNull())
     )
-    after = F.col("data_from") + F.length("parameter") + 1
-    sequence_data = F.substring(body, after, F.length(body))
+    return {
+        "framed": F.when(x["kind"] == "sequence", sequence)
+        .when(x["kind"] == "crest", dated)
+        .otherwise(x["kind"] == "continuation")
+    }
+
+
+def _tokened(x: Column) -> dict[str, Column]:
+    line, body = x["line"], x["body"]
+    after = x["data_from"] + F.length(x["parameter"]) + 1
     slash = F.instr(line, "/")
-    continuation_data = F.when(slash > 0, F.substring(line, slash + 1, F.length(line))).otherwise(line)
-    return (
-        lines.withColumn(
-            "framed",
-            F.when(F.col("kind") == "sequence", sequence_ok)
-            .when(is_crest, dated)
-            .when(F.col("kind") == "continuation", True)
-            .otherwise(False),
-        )
-        .withColumn(
-            "tokens",
-            F.when(
-                F.col("framed"),
-                F.when(F.col("kind") == "sequence", _tokens(sequence_data, True))
-                .when(F.col("kind") == "continuation", _tokens(continuation_data, False))
-                .otherwise(_tokens(F.col("crest_token"), False)),
-            ),
-        )
-        .withColumn("bad_at", F.array_position(F.transform("tokens", lambda t: t["readable"]), False))
-        .withColumn("whole", F.col("framed") & (F.col("bad_at") == 0))
-        .withColumn(
-            "good",
-            F.when(F.col("bad_at") > 0, F.slice("tokens", F.lit(1), (F.col("bad_at") - 1).cast("int"))).otherwise(
-                F.col("tokens")
-            ),
-        )
+    continued = F.when(slash > 0, F.substring(line, slash + 1, F.length(line))).otherwise(line)
+    tokens = (
+        F.when(x["kind"] == "sequence", _tokens(F.substring(body, after, F.length(body)), True))
+        .when(x["kind"] == "continuation", _tokens(continued, False))
+        .otherwise(_tokens(F.get(x["coded"], F.lit(1)), False))
     )
+    return {"tokens": F.when(x["framed"], tokens)}
+
+
+def _checked(x: Column) -> dict[str, Column]:
+    return {"bad_at": F.array_position(F.transform(x["tokens"], lambda t: t["readable"]), False)}
+
+
+_STEPS = (_marked, _split, _fielded, _coded, _read, _dated, _framed, _tokened, _checked)
+_HEADER = ("station", "base", "zone", "parameter", "created", "step")
+
 
+def _extended(lines: Column, step: Callable[[Column], dict[str, Column]]) -> Column:
+    """Each line with the fields that the step reads off it."""
 
-def _placed(bulletins: DataFrame) -> DataFrame:
-    """Lines with the header that dates them and the number of values before theirs."""
-    lines = bulletin_lines(bulletins)
-    by_line = Window.partitionBy("bulletin_id").orderBy("pos")
-    header = F.when(
-        (F.col("kind") == "sequence") & F.col("whole"),
-        F.struct("station", "base", "zone", "parameter", "created", "step"),
+    def extend(x: Column) -> Column:
+        out = x
+        for name, value in step(x).items():
+            out = out.withField(name, value)
+        return out
+
+    return F.transform(lines, extend)
+
+
+def _parsed(text: Column) -> Column:
+    """Record lines of a bulletin in order, each with its parsed parts; every step is worked out once."""
+    lines = F.transform(
+        F.split(text, _LINE_ENDS),
+        lambda raw, i: F.struct(i.alias("pos"), raw.alias("raw"), _stripped(raw).alias("line")),
     )
-    advance = F.when(
-        F.col("whole") & F.col("kind").isin("sequence", "continuation"), F.size("tokens")
-    ).otherwise(0)
-    group = Window.partitionBy("bulletin_id", "header_no").orderBy("pos")
-    return (
-        lines.withColumn("header", header)
-        .withColumn("header_no", F.count("header").over(by_line))
-        .withColumn(
-            "carried",
-            F.last("header", ignorenulls=True).over(
-                by_line.rowsBetween(Window.unboundedPreceding, -1)
-            ),
+    lines = F.filter(lines, lambda x: x["line"].startswith("."))
+    for step in _STEPS:
+        lines = _extended(lines, step)
+
+    def kept(x: Column) -> Column:
+        whole = x["framed"] & (x["bad_at"] == 0)
+        readable = F.slice(x["tokens"], F.lit(1), (x["bad_at"] - 1).cast("int"))
+        return F.struct(
+            *[x[name] for name in ("pos", "raw", "kind", "framed", *_HEADER)],
+            whole.alias("whole"),
+            F.when(x["bad_at"] > 0, readable).otherwise(x["tokens"]).alias("good"),
+            F.when(whole & x["kind"].isin("sequence", "continuation"), F.size(x["tokens"]))
+            .otherwise(0)
+            .alias("advance"),
         )
-        .withColumn("advance", F.when(F.col("header_no") > 0, advance).otherwise(0))
-        .withColumn(
+
+    return F.transform(lines, kept)
+
+
+def _spans(lines: Column, marks: Column) -> Column:
+    """Lines cut before each good header: its place (null before the first), the lines from it on
+    and how many values of the span stand before each of them."""
+    first = F.coalesce(F.get(marks, F.lit(0)), F.size(lines) + 1)
+    orphans = F.struct(F.lit(None).cast("int").alias("at"), F.slice(lines, F.lit(1), first - 1).alias("lines"))
+
+    def span(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(marks, k + 1), F.size(lines) + 1)
+        return F.struct(at.alias("at"), F.slice(lines, at, end - at).alias("lines"))
+
+    def counted(s: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
+        return s.withField(
             "before",
-            F.coalesce(
-                F.sum("advance").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.aggregate(
+                s["lines"],
+                start,
+                lambda a, x: F.struct(
+                    (a["total"] + x["advance"]).alias("total"),
+                    F.concat(a["before"], F.array(a["total"])).alias("before"),
+                ),
+                lambda a: a["before"],
             ),
         )
+
+    return F.transform(F.concat(F.array(orphans), F.transform(marks, span)), counted)
+
+
+def bulletin_lines(bulletins: DataFrame) -> DataFrame:
+    """Record lines of ``(bulletin_id, text)``: their parsed parts, the good header before them
+    (``carried``), the number of values since it (``before``) and the reason if they cannot be read.
+
+    All of it happens inside the row of the bulletin, so nothing is shuffled and ids may repeat. A
+    null or empty text gives no lines. Work grows with the square of the lines under one header, by
+    one copied number each.
+    """
+    def place(s: Column) -> Column:
+        header = F.get(F.col("lines"), s["at"] - 1)
+        carried = F.when(s["at"].isNotNull(), F.struct(*[header[n].alias(n) for n in _HEADER]))
+        return F.transform(
+            s["lines"],
+            lambda x, i: F.struct(x.alias("x"), carried.alias("carried"), F.get(s["before"], i).alias("before")),
+        )
+
+    mark = F.transform(
+        F.col("lines"), lambda x, i: F.when((x["kind"] == "sequence") & x["whole"], i + 1)
+    )
+    orphan = (F.col("kind") == "other") | ((F.col("kind") == "continuation") & F.col("carried").isNull())
+    reason = (
+        F.when(orphan, "unsupported construct")
+        .when(~F.col("framed"), "missing or unreadable date, zone, interval or forecast-stage parameter")
+        .when(~F.col("whole"), "unreadable value")
+    )
+    return (
+        bulletins.select("bulletin_id", _parsed(F.col("text")).alias("lines"))
+        .withColumn("marks", F.filter(mark, lambda m: m.isNotNull()))
+        .withColumn("spans", _spans(F.col("lines"), F.col("marks")))
+        .select("bulletin_id", F.explode(F.flatten(F.transform("spans", place))).alias("row"))
+        .select("bulletin_id", "row.x.*", "row.carried", "row.before")
+        .withColumn("reason", reason)
     )
 
 
 def bulletin_values(bulletins: DataFrame) -> DataFrame:
     """Values: station, parameter, valid time (UTC), value, creation time (UTC), crest flag."""
-    own = F.struct("station", "base", "zone", "parameter", "created", "step")
+    own = F.struct(*_HEADER)
     continued = F.col("kind") == "continuation"
     rows = (
-        _placed(bulletins)
+        bulletin_lines(bulletins)
         .where(F.col("framed") & (~continued | F.col("carried").isNotNull()))
         .withColumn("h", F.when(continued, F.col("carried")).otherwise(own))
         .withColumn("first", F.when(continued, F.col("before")).otherwise(0))
@@ -213,17 +287,8 @@ def bulletin_values(bulletins: DataFrame) -> DataFrame:
 
 def bulletin_errors(bulletins: DataFrame) -> DataFrame:
     """Lines that could not be read, whole or in part."""
-    orphan = (F.col("kind") == "other") | (
-        (F.col("kind") == "continuation") & F.col("carried").isNull()
-    )
-    reason = (
-        F.when(orphan, "unsupported construct")
-        .when(~F.col("framed"), "missing or unreadable date, zone, interval or forecast-stage parameter")
-        .when(~F.col("whole"), "unreadable value")
-    )
     return (
-        _placed(bulletins)
-        .withColumn("reason", reason)
+        bulletin_lines(bulletins)
         .where(F.col("reason").isNotNull())
         .select("bulletin_id", F.col("pos").alias("line"), F.col("raw").alias("text"), "reason")
     )

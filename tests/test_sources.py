@@ -120,6 +120,30 @@ def test_continuations_follow_the_last_good_header(spark):
     ]
 
 
+def test_bulletins_are_worked_out_inside_their_rows(spark):
+    text = ".E AAAA1 20240628 Z /DH00/DIH1/HGIFF 1\r\n.E1 /2\n.B X"
+    rows = [(1, text), (1, text), (2, ".E1 /5"), (3, None), (4, ""), (None, text)]
+    df = spark.createDataFrame(rows, "bulletin_id bigint, text string")
+    values = b.bulletin_values(df)
+    got = [(r.bulletin_id, r.line, r.valid_at.hour, r.value) for r in values.collect()]
+    own = [(0, 0, 1.0), (1, 1, 2.0)]
+    assert sorted(got, key=repr) == sorted([(i, *v) for i in (1, 1, None) for v in own], key=repr)
+    errors = [(r.bulletin_id, r.line) for r in b.bulletin_errors(df).collect()]
+    assert sorted(errors, key=repr) == sorted([(1, 2), (1, 2), (2, 0), (None, 2)], key=repr)
+    shuffled = spark.range(2).selectExpr("id AS bulletin_id", "'.E1 /5' AS text")
+    for found in (b.bulletin_values(shuffled), b.bulletin_errors(shuffled)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_under_one_header_are_numbered_on(spark):
+    lines = [".E AAAA1 20240101 Z /DH00/DIH1/HGIFF 0"]
+    lines += [f".E{i} /{'/'.join(map(str, range(3 * i - 2, 3 * i + 1)))}" for i in range(1, 201)]
+    values, errors = bulletin(spark, *lines)
+    start = datetime(2024, 1, 1)
+    assert errors == [] and len(values) == 601
+    assert all((r.valid_at - start).total_seconds() == 3600 * r.value for r in values)
+
+
 SERIES = """id string, monitoring_location_id string, parameter_code string, statistic_id string, primary string,
     computation_period_identifier string, begin string, end string"""
 
