@@ -215,6 +215,17 @@ def storm_clusters(
     )
 
 
+def cluster_bounds(members: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per cluster of ``storm_cluster_members``: bounds, number of gauges and of episodes.
+
+    Counts combine before the shuffle, so a cluster that holds nearly every gauge stays one row
+    of two numbers; its gauges are the member rows.
+    """
+    return members.groupBy(*keys, "started_at", "ended_at").agg(
+        F.count("*").alias("gauge_count"), F.sum("episode_count").alias("episode_count")
+    )
+
+
 def episode_split(cutoff: date, splits=SPLITS) -> Column:
     """Split of an episode, by the UTC day of its midpoint."""
     start, last = micros(F.col("started_at")), micros(F.col("last_above_at"))

@@ -68,7 +68,8 @@ def quality_audit(
         "episodes",
     )
     counted = e.episodes_by_split(found, thresholds, cutoff, by_threshold, splits)
-    clusters = e.storm_clusters(found, ["threshold_name"])
+    members = materialise(e.storm_cluster_members(found, ["threshold_name"]), "members")
+    clusters = e.cluster_bounds(members, ["threshold_name"])
     by_split = e.clusters_by_split(clusters, cutoff, ["threshold_name"], splits)
     gate = e.target_gate(counted, e.pooled_gate(by_split, ["threshold_name"]), ["threshold_name"])
     return {
@@ -85,6 +86,7 @@ def quality_audit(
             F.count("*").alias("episodes"), F.count_if("uncertain_end").alias("uncertain_episodes")
         ),
         "clusters": clusters,
+        "cluster_members": members,
         "clusters_by_split": by_split,
         "gate": gate,
         "gate_status": e.overall_gate(gate, ["threshold_name"]),
@@ -117,7 +119,8 @@ def stage_audit(
     found = materialise(
         e.flood_episodes(samples, "flood_stage_ft", **episode_rule).select("*", name), "episodes"
     )
-    clusters = e.storm_clusters(found, ["threshold_name"])
+    members = materialise(e.storm_cluster_members(found, ["threshold_name"]), "members")
+    clusters = e.cluster_bounds(members, ["threshold_name"])
     by_split = e.clusters_by_split(clusters, cutoff, ["threshold_name"], splits)
     counted = e.episodes_by_split(
         found, gauges.select("*", name), cutoff, ["gauge_id", "threshold_name"], splits
@@ -130,6 +133,7 @@ def stage_audit(
         "episodes": found,
         "episodes_by_split": counted,
         "clusters": clusters,
+        "cluster_members": members,
         "clusters_by_split": by_split,
         "gate": e.overall_gate(gate),
     }

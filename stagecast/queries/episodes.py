@@ -353,6 +353,32 @@ def stage_audit_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_AUDIT}
+SELECT c3.threshold_name, started_at, ended_at, count(DISTINCT gauge_id) AS gauge_count, count(*) AS episode_count
+FROM c3 JOIN clusters k ON k.threshold_name = c3.threshold_name AND k.cluster = c3.cluster GROUP BY 1, 2, 3""")
+def quality_audit_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The quality audit's clusters by threshold: bounds and counts, no list of gauges."""
+    rows = _as_revisions(spark, d)
+    report = quality_audit(
+        rows, rows.select("gauge_id").distinct(), None, DAILY_CUTOFF, DAILY_START, DAILY_SPLITS,
+        source="lineitem", per_day=1, **RULE,
+    )
+    return report["clusters"]
+
+
+@query(f"""WITH {_EPISODES}, {cluster_sql()}
+SELECT started_at, ended_at, count(DISTINCT gauge_id) AS gauge_count, count(*) AS episode_count
+FROM c3 JOIN (SELECT cluster, started_at, ended_at FROM clusters) k USING (cluster) GROUP BY 1, 2""")
+def stage_audit_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The stage audit's clusters: bounds and counts, no list of gauges."""
+    rows = _as_revisions(spark, d)
+    gauges = rows.select("gauge_id", F.lit(THRESHOLD).alias("flood_stage_ft")).distinct()
+    report = stage_audit(
+        rows, gauges, DAILY_CUTOFF, DAILY_START, DAILY_SPLITS, source="lineitem", per_day=1, **RULE
+    )
+    return report["clusters"].drop("threshold_name")
+
+
 def _as_revisions(spark: SparkSession, d: str) -> DataFrame:
     return daily_samples(spark, d).select(
         "gauge_id",

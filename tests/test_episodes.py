@@ -111,6 +111,10 @@ def test_storms_are_connected_components(spark):
     for width in (5 * DAY, 90 * DAY):
         got = e.storm_clusters(df, width=width).collect()
         assert {(r.started_at, r.ended_at, tuple(r.gauge_ids), r.episode_count) for r in got} == wanted
+        bounds = e.cluster_bounds(e.storm_cluster_members(df, width=width)).collect()
+        assert {(r.started_at, r.ended_at, r.gauge_count, r.episode_count) for r in bounds} == {
+            (start, end, len(gauges), n) for start, end, gauges, n in wanted
+        }
 
 
 def test_clusters_over_a_boundary_belong_to_no_split(spark):
