@@ -6,14 +6,14 @@ Frames reach a bounded number of steps, so every example comes from one shuffle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagecast.constants import HORIZONS, LOOKBACK_HOURS
 from stagecast.functions.columns import relative_history
-from stagecast.operators.blocks import in_block, with_blocks
+from stagecast.operators.blocks import every_nth, in_block, with_blocks
 
 TARGET_FEATURES = ("target_stage_ft", "target_change_1h_ft")
 
@@ -100,6 +100,21 @@ def sequence_examples(
     A step's mean is known when the next step begins, so ``issued_idx`` is one past the history's
     end and horizons count from there. Values are single precision.
     """
+    examples = _issues(series, lookback, horizons, width, {"history": F.collect_list("value")})
+    return examples.select("target_id", "issued_idx", "history", *label_names(horizons))
+
+
+def _single(series: DataFrame) -> DataFrame:
+    return series.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("float"))
+
+
+def _issues(
+    series: DataFrame, lookback: int, horizons: Sequence[int], width: int, over_history: dict[str, Column]
+) -> DataFrame:
+    """Issues with a whole history and every label; ``over_history`` is worked out over the history.
+
+    ``block`` and ``place`` tell where the history ends: in which block, as which of its readings.
+    """
     w = in_block(["series"], "idx")
     back = w.rangeBetween(-(lookback - 1), 0)
     labels = {
@@ -109,26 +124,55 @@ def sequence_examples(
     for name in labels:
         complete = complete & F.col(name).isNotNull()
     return (
-        with_blocks(
-            series.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("float")),
-            "idx",
-            width,
-            before=lookback - 1,
-            after=max(horizons) + 1,
-        )
+        with_blocks(_single(series), "idx", width, before=lookback - 1, after=max(horizons) + 1)
         .withColumns(
-            {"steps": F.count("value").over(back), "history": F.collect_list("value").over(back), **labels}
+            {
+                "steps": F.count("value").over(back),
+                "place": F.row_number().over(w),
+                **{name: found.over(back) for name, found in over_history.items()},
+                **labels,
+            }
         )
         .where(complete)
         .select(
             F.col("series").alias("target_id"),
             (F.col("idx") + 1).alias("issued_idx"),
-            "history",
+            "block",
+            "place",
+            *over_history,
             *labels,
         )
     )
 
 
+def thinned_examples(
+    series: DataFrame,
+    every: int,
+    split: Callable[[DataFrame], DataFrame],
+    lookback: int = LOOKBACK_HOURS,
+    horizons: Sequence[int] = HORIZONS,
+    width: int = 4096,
+) -> DataFrame:
+    """Every n-th of the ``sequence_examples`` of a target and split, in order of issue.
+
+    ``split`` adds a column of that name and drops rows outside all splits. Issues are numbered
+    without their histories; those that stay are cut from their block's readings, which lie in one
+    array of at most ``width + lookback`` values, so no history is built to be dropped.
+    """
+    found = split(_issues(series, lookback, horizons, width, {}).withColumnRenamed("block", "cell"))
+    kept = every_nth(found, ["target_id", "split"], "issued_idx", every, width)
+    blocks = with_blocks(_single(series), "idx", width, before=lookback - 1)
+    packed = blocks.groupBy(F.col("series").alias("target_id"), F.col("block").alias("cell")).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("readings")
+    )
+    history = F.transform(
+        F.slice("readings", F.col("place") - lookback + 1, F.lit(lookback)), lambda r: r["value"]
+    )
+    return kept.join(packed, ["target_id", "cell"]).select(
+        "target_id", "issued_idx", history.alias("history"), *label_names(horizons), "split"
+    )
+
+
 def live_histories(
     series: DataFrame, issues: DataFrame, lookback: int = LOOKBACK_HOURS, width: int = 4096
 ) -> DataFrame:

@@ -15,7 +15,6 @@ from stagecast.operators import features as x
 from stagecast.operators import forecast as f
 from stagecast.operators import models as m
 from stagecast.operators import views
-from stagecast.operators.blocks import every_nth
 from stagecast.plans import challengers
 from stagecast.plans.training import train_ridge, train_trees, with_split
 from stagecast.queries.bindings import (
@@ -148,6 +147,10 @@ def feature_set(spark: SparkSession, d: str) -> DataFrame:
 
 def sequences(spark: SparkSession, d: str, lookback: int = 168) -> DataFrame:
     found = x.sequence_examples(daily(spark, d, pooled=True), lookback, width=1024)
+    return _daily_split(found)
+
+
+def _daily_split(found: DataFrame) -> DataFrame:
     return with_split(found, day_of(F.col("issued_idx")), DAILY_CUTOFF, DAILY_SPLITS)
 
 
@@ -193,7 +196,7 @@ _THIN = f"""{_SEQ}, thin AS (SELECT * FROM (SELECT *, row_number() OVER (
 
 
 def _thinned(spark: SparkSession, d: str) -> DataFrame:
-    return every_nth(sequences(spark, d), ["target_id", "split"], "issued_idx", 12, width=256)
+    return x.thinned_examples(daily(spark, d, pooled=True), 12, _daily_split, 168, width=1024)
 
 
 @query(f"WITH {_THIN} SELECT {_SEQ_COLUMNS} FROM thin")

@@ -76,6 +76,21 @@ def test_live_history_rejects_a_gap(spark):
     assert failure.reason == "incomplete history" and str(failure.first_missing_at).startswith("2026-01-02 10:00:00")
 
 
+@pytest.mark.parametrize("width", [7, 4096])
+def test_thinning_keeps_every_nth_example_with_its_history(spark, width):
+    def split(df):
+        return df.withColumn("split", F.when(F.col("issued_idx") < 30, "a").when(F.col("issued_idx") > 40, "b")).where("split IS NOT NULL")
+
+    series = ramp(spark, "t", 160, skip=(17, 55)).unionByName(ramp(spark, "u", 110))
+    whole = {"t": {"a": [], "b": []}, "u": {"a": [], "b": []}}
+    for r in split(x.sequence_examples(series, 4)).orderBy("issued_idx").collect():
+        whole[r.target_id][r.split].append((r.issued_idx, r.history, [r[y] for y in x.label_names()]))
+    wanted = {(k, s, *map(str, v)) for k, by in whole.items() for s, rows in by.items() for v in rows[::3]}
+    got = x.thinned_examples(series, 3, split, 4, width=width).collect()
+    found = {(r.target_id, r.split, *map(str, (r.issued_idx, r.history, [r[y] for y in x.label_names()]))) for r in got}
+    assert found == wanted and len(got) == len(wanted) > 20
+
+
 def test_scales_and_normalisation(spark):
     rows = x.sequence_examples(ramp(spark, "t", 120), 4)
     scales = x.sequence_scales(rows).first()
