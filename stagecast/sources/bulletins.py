@@ -1,16 +1,20 @@
 """Forecast bulletins: ``.E``/``.ER`` sequences with continuations, ``.A``/``.AR`` crests.
 
-A bulletin is worked out inside its row by array functions: its lines are parsed once, cut before
-each good header, and the values of a header's lines counted by a fold.
+Lines are parsed as rows of their own, so that Spark compiles the parse; the lines of a bulletin stay
+together and in order, and a pass over each batch of them hands every line the good header before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
+from stagecast.constants import ZONES
 from stagecast.functions.columns import (
     is_bulletin_missing,
     local_to_utc,
@@ -18,257 +22,197 @@ from stagecast.functions.columns import (
     zone_name,
 )
 
-_LINE_ENDS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+_RARE_ENDS = r"\r\n|[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+_RARE = r"[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+_HEADER = ("station", "base", "zone", "parameter", "created", "step")
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text of one line without the blanks around it; tabs are the only others a line can hold."""
+    return F.trim(text, F.lit(" \t"))
+
 
+def _first_word(text: Column) -> Column:
+    """What stands before the first blank; empty if the text begins with one."""
+    return F.substring_index(text, " ", 1)
 
-def _field(pieces: Column, code: str) -> Column:
-    """What follows a two- or three-letter code in the first of the slash-separated pieces with it."""
-    piece = F.get(F.filter(pieces, lambda p: p.startswith(code)), F.lit(0))
-    return F.substring(piece, len(code) + 1, 64)
+
+def _field(body: Column, code: str) -> Column:
+    """What follows a code in the first slash-separated field that begins with it; null without one."""
+    at = F.instr(body, F.lit(f"/{code}"))
+    return F.when(at > 0, F.substring_index(F.substring(body, at + len(code) + 1, F.lit(64)), "/", 1))
 
 
 def _digits(text: Column, start: int, size: int) -> Column:
     """A run of digits at a fixed place, or null."""
     part = F.substring(text, start, size)
-    return F.when((F.length(part) == size) & (F.translate(part, "0123456789", "") == ""), part)
+    return F.when(part.rlike(f"^[0-9]{{{size}}}$"), part)
 
 
 def _tokens(data: Column, header: bool) -> Column:
-    """Values of slash-separated data as ``(value, readable)``."""
+    """Numbers of slash-separated data, NaN for a missing value and null for what cannot be read."""
     pieces = F.filter(F.transform(F.split(data, "/"), _stripped), lambda t: t != "")
     if header:
-        pieces = F.filter(pieces, lambda t: ~t.rlike("^D[CHI]"))
+        pieces = F.filter(pieces, lambda t: ~F.substring(t, 1, 2).isin("DC", "DH", "DI"))
 
     def read(token: Column) -> Column:
-        head = F.split(token, r"\s+")[0]
-        number = strict_double(head)
-        missing = is_bulletin_missing(head if header else token)
-        return F.struct(
-            F.when(~missing, number).alias("value"), (missing | number.isNotNull()).alias("readable")
-        )
+        missing = is_bulletin_missing(_first_word(token) if header else token)
+        return F.when(missing, float("nan")).otherwise(strict_double(_first_word(token)))
 
     return F.transform(pieces, read)
 
 
-def _marked(x: Column) -> dict[str, Column]:
-    line = x["line"]
-    return {
-        "kind": F.when(line.rlike(r"^\.ER? "), "sequence")
-        .when(line.startswith(".E"), "continuation")
-        .when(line.rlike(r"^\.AR? "), "crest")
-        .otherwise("other"),
-        "parts": F.split(line, r"\s+"),
-    }
-
-
-def _split(x: Column) -> dict[str, Column]:
-    day = F.get(x["parts"], F.lit(2))
-    return {
-        "body": F.array_join(F.slice(x["parts"], F.lit(5), F.size(x["parts"])), " "),
-        "station": F.get(x["parts"], F.lit(1)),
-        "zone": zone_name(F.get(x["parts"], F.lit(3))),
-        "day": F.when(day.rlike("^[0-9]{8}$"), F.try_to_date(day, "yyyyMMdd")),
-    }
-
+def _parsed(bulletins: DataFrame) -> DataFrame:
+    """A row per record line with its parsed parts; ``bulletin`` tells bulletins of one id apart.
 
-def _fielded(x: Column) -> dict[str, Column]:
-    # a field is a slash, a code of two or three letters and its value; the first piece has no slash
-    pieces = F.split(x["body"], "/")
-    return {"fields": F.slice(pieces, F.lit(2), F.size(pieces))}
-
-
-def _coded(x: Column) -> dict[str, Column]:
-    """Fields by their codes; a parameter is the first word of its field."""
-    words = F.transform(x["fields"], lambda p: F.split(p, r"\s+"))
-    crest = F.filter(
-        words,
-        lambda w: w[0].isin("HGIFF", "HGIFFX", "HGIFFZZ") & (F.coalesce(F.get(w, F.lit(1)), F.lit("")) != ""),
+    Parts of a header are null on other lines. Each step of columns is worked out before the next.
+    """
+    kind, body = F.col("kind"), F.col("body")
+    sequence, crest, continuation = kind == "sequence", kind == "crest", kind == "continuation"
+    line = F.col("line")
+    text = F.when(F.col("text").rlike(_RARE), F.regexp_replace("text", _RARE_ENDS, "\n")).otherwise(F.col("text"))
+    raws = bulletins.select("bulletin_id", F.monotonically_increasing_id().alias("bulletin"), F.split(text, "\n").alias("raws"))
+    rows = (
+        raws.select("bulletin_id", "bulletin", F.posexplode("raws").alias("pos", "raw"))
+        .withColumn("line", _stripped(F.col("raw")))
+        .where(line.startswith("."))
+        .withColumn(
+            "kind",
+            F.when(line.startswith(".E ") | line.startswith(".ER "), "sequence")
+            .when(line.startswith(".E"), "continuation")
+            .when(line.startswith(".A ") | line.startswith(".AR "), "crest")
+            .otherwise("other"),
+        )
+        .withColumn("line", F.replace(line, F.lit("\t"), F.lit(" ")))
+        .withColumn("parts", F.when(sequence | crest, F.split(F.regexp_replace(line, "  +", " "), " ", 5)))
     )
-    return {
-        "observed": _field(x["fields"], "DH"),
-        "creation": _field(x["fields"], "DC"),
-        "interval": F.split(_field(x["fields"], "DIH"), r"\s+")[0],
-        "coded": F.when(x["kind"] == "crest", F.get(crest, F.lit(0))).otherwise(
-            F.get(F.filter(words, lambda w: w[0].startswith("HGIFF")), F.lit(0))
-        ),
-    }
-
-
-def _read(x: Column) -> dict[str, Column]:
-    hour = _digits(x["observed"], 1, 2).cast("int")
-    return {
-        "hour": F.when(x["kind"] == "crest", F.coalesce(hour, F.lit(0))).otherwise(hour),
-        "minute": F.coalesce(_digits(x["observed"], 3, 2).cast("int"), F.lit(0)),
-        "created_text": F.concat(_digits(x["creation"], 1, 8), _digits(x["creation"], 9, 4)),
-        "step": F.when(
-            F.translate(x["interval"], "0123456789", "") == "", x["interval"].try_cast("int")
+    day, parts = F.col("day"), F.col("parts")
+    rows = rows.withColumns({
+        "body": F.when(parts.isNotNull(), F.coalesce(F.get(parts, F.lit(4)), F.lit(""))),
+        "station": F.get(parts, F.lit(1)),
+        "zone": zone_name(F.get(parts, F.lit(3))),
+        "day": F.get(parts, F.lit(2)),
+    }).drop("parts")
+    # a field is a slash, a code of two or three letters and its value; a parameter is the first word of its field
+    stage = F.instr(body, F.lit("/HGIFF"))
+    crests = "/(HGIFF|HGIFFX|HGIFFZZ) ([^/ ]+)"
+    rows = rows.withColumns({
+        "day": F.when(day.rlike("^[0-9]{8}$"), F.try_to_date(day, "yyyyMMdd")),
+        "observed": _field(body, "DH"),
+        "creation": F.when(sequence, _field(body, "DC")),
+        "interval": F.when(sequence, _first_word(_field(body, "DIH"))),
+        "parameter": F.when(crest, F.nullif(F.regexp_extract(body, crests, 1), F.lit(""))).when(
+            stage > 0, _first_word(F.substring_index(F.substring(body, stage + 1, F.length(body)), "/", 1))
         ),
-        "parameter": F.get(x["coded"], F.lit(0)),
-    }
-
-
-def _dated(x: Column) -> dict[str, Column]:
-    return {
-        "created": F.try_to_timestamp(x["created_text"], F.lit("yyyyMMddHHmm")),
-        "data_from": F.instr(x["body"], F.concat(F.lit("/"), x["parameter"])),
+        "maximum": F.when(crest, F.regexp_extract(body, crests, 2)),
+    })
+    observed, creation, interval = F.col("observed"), F.col("creation"), F.col("interval")
+    hour = _digits(observed, 1, 2).cast("int")
+    rows = rows.withColumns({
+        "hour": F.when(crest, F.coalesce(hour, F.lit(0))).otherwise(hour),
+        "minute": F.coalesce(_digits(observed, 3, 2).cast("int"), F.lit(0)),
+        "created_text": F.concat(_digits(creation, 1, 8), _digits(creation, 9, 4)),
+        "step": F.when(interval.rlike("^[0-9]+$"), interval.try_cast("int")),
+        "data_from": F.instr(body, F.concat(F.lit("/"), F.col("parameter"))),
+    }).drop("observed", "creation", "interval")
+    rows = rows.withColumns({
+        "created": F.try_to_timestamp("created_text", F.lit("yyyyMMddHHmm")),
         "base": F.when(
-            (x["hour"] < 24) & (x["minute"] < 60),
-            x["day"].cast("timestamp") + F.make_dt_interval(hours=x["hour"], mins=x["minute"]),
+            (F.col("hour") < 24) & (F.col("minute") < 60),
+            day.cast("timestamp") + F.make_dt_interval(hours=F.col("hour"), mins=F.col("minute")),
         ),
-    }
-
-
-def _framed(x: Column) -> dict[str, Column]:
-    dated = x["base"].isNotNull() & x["zone"].isNotNull() & x["parameter"].isNotNull()
-    sequence = (
+    }).drop("hour", "minute", "day")
+    dated = F.col("base").isNotNull() & F.col("zone").isNotNull() & F.col("parameter").isNotNull()
+    whole_header = (
         dated
-        & x["step"].isNotNull()
-        & (x["data_from"] > 0)
-        & (x["created_text"].isNull() | x["created"].isNotNull())
+        & F.col("step").isNotNull()
+        & (F.col("data_from") > 0)
+        & (F.col("created_text").isNull() | F.col("created").isNotNull())
     )
-    return {
-        "framed": F.when(x["kind"] == "sequence", sequence)
-        .when(x["kind"] == "crest", dated)
-        .otherwise(x["kind"] == "continuation")
-    }
-
-
-def _tokened(x: Column) -> dict[str, Column]:
-    line, body = x["line"], x["body"]
-    after = x["data_from"] + F.length(x["parameter"]) + 1
-    slash = F.instr(line, "/")
+    rows = rows.withColumn(
+        "framed", F.when(sequence, whole_header).when(crest, dated).otherwise(continuation)
+    )
+    after = F.col("data_from") + F.length("parameter") + 1
+    slash = F.instr(line, F.lit("/"))
     continued = F.when(slash > 0, F.substring(line, slash + 1, F.length(line))).otherwise(line)
     tokens = (
-        F.when(x["kind"] == "sequence", _tokens(F.substring(body, after, F.length(body)), True))
-        .when(x["kind"] == "continuation", _tokens(continued, False))
-        .otherwise(_tokens(F.get(x["coded"], F.lit(1)), False))
+        F.when(sequence, _tokens(F.substring(body, after, F.length(body)), True))
+        .when(continuation, _tokens(continued, False))
+        .otherwise(_tokens(F.col("maximum"), False))
     )
-    return {"tokens": F.when(x["framed"], tokens)}
-
-
-def _checked(x: Column) -> dict[str, Column]:
-    return {"bad_at": F.array_position(F.transform(x["tokens"], lambda t: t["readable"]), False)}
-
-
-_STEPS = (_marked, _split, _fielded, _coded, _read, _dated, _framed, _tokened, _checked)
-_HEADER = ("station", "base", "zone", "parameter", "created", "step")
-
-
-def _extended(lines: Column, step: Callable[[Column], dict[str, Column]]) -> Column:
-    """Each line with the fields that the step reads off it."""
-
-    def extend(x: Column) -> Column:
-        out = x
-        for name, value in step(x).items():
-            out = out.withField(name, value)
-        return out
-
-    return F.transform(lines, extend)
-
-
-def _parsed(text: Column) -> Column:
-    """Record lines of a bulletin in order, each with its parsed parts; every step is worked out once."""
-    lines = F.transform(
-        F.split(text, _LINE_ENDS),
-        lambda raw, i: F.struct(i.alias("pos"), raw.alias("raw"), _stripped(raw).alias("line")),
+    rows = rows.withColumn("read", F.when(F.col("framed"), tokens))
+    rows = rows.withColumn("bad_at", F.array_position(F.transform("read", lambda v: v.isNull()), True))
+    whole, bad_at = F.col("framed") & (F.col("bad_at") == 0), F.col("bad_at")
+    return rows.select(
+        "bulletin_id", "bulletin", "pos", "raw", "kind", "framed", *_HEADER,
+        whole.alias("whole"),
+        F.when(bad_at > 0, F.slice("read", F.lit(1), (bad_at - 1).cast("int"))).otherwise(F.col("read")).alias("good"),
+        F.when(whole & (sequence | continuation), F.size("read")).otherwise(0).alias("advance"),
     )
-    lines = F.filter(lines, lambda x: x["line"].startswith("."))
-    for step in _STEPS:
-        lines = _extended(lines, step)
-
-    def kept(x: Column) -> Column:
-        whole = x["framed"] & (x["bad_at"] == 0)
-        readable = F.slice(x["tokens"], F.lit(1), (x["bad_at"] - 1).cast("int"))
-        return F.struct(
-            *[x[name] for name in ("pos", "raw", "kind", "framed", *_HEADER)],
-            whole.alias("whole"),
-            F.when(x["bad_at"] > 0, readable).otherwise(x["tokens"]).alias("good"),
-            F.when(whole & x["kind"].isin("sequence", "continuation"), F.size(x["tokens"]))
-            .otherwise(0)
-            .alias("advance"),
-        )
 
-    return F.transform(lines, kept)
-
-
-def _spans(lines: Column, marks: Column) -> Column:
-    """Lines cut before each good header: its place (null before the first), the lines from it on
-    and how many values of the span stand before each of them."""
-    first = F.coalesce(F.get(marks, F.lit(0)), F.size(lines) + 1)
-    orphans = F.struct(F.lit(None).cast("int").alias("at"), F.slice(lines, F.lit(1), first - 1).alias("lines"))
-
-    def span(at: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(marks, k + 1), F.size(lines) + 1)
-        return F.struct(at.alias("at"), F.slice(lines, at, end - at).alias("lines"))
-
-    def counted(s: Column) -> Column:
-        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
-        return s.withField(
-            "before",
-            F.aggregate(
-                s["lines"],
-                start,
-                lambda a, x: F.struct(
-                    (a["total"] + x["advance"]).alias("total"),
-                    F.concat(a["before"], F.array(a["total"])).alias("before"),
-                ),
-                lambda a: a["before"],
-            ),
-        )
 
-    return F.transform(F.concat(F.array(orphans), F.transform(marks, span)), counted)
+def _hand_on(passed: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Give each line the good header before it in its bulletin and the number of values since.
 
-
-def bulletin_lines(bulletins: DataFrame) -> DataFrame:
-    """Record lines of ``(bulletin_id, text)``: their parsed parts, the good header before them
-    (``carried``), the number of values since it (``before``) and the reason if they cannot be read.
-
-    All of it happens inside the row of the bulletin, so nothing is shuffled and ids may repeat. A
-    null or empty text gives no lines. Work grows with the square of the lines under one header, by
-    one copied number each.
+    What a batch leaves to the next is its last good header, with the values counted up to there.
     """
-    def place(s: Column) -> Column:
-        header = F.get(F.col("lines"), s["at"] - 1)
-        carried = F.when(s["at"].isNotNull(), F.struct(*[header[n].alias(n) for n in _HEADER]))
-        return F.transform(
-            s["lines"],
-            lambda x, i: F.struct(x.alias("x"), carried.alias("carried"), F.get(s["before"], i).alias("before")),
-        )
 
-    mark = F.transform(
-        F.col("lines"), lambda x, i: F.when((x["kind"] == "sequence") & x["whole"], i + 1)
-    )
-    orphan = (F.col("kind") == "other") | ((F.col("kind") == "continuation") & F.col("carried").isNull())
-    reason = (
-        F.when(orphan, "unsupported construct")
-        .when(~F.col("framed"), "missing or unreadable date, zone, interval or forecast-stage parameter")
-        .when(~F.col("whole"), "unreadable value")
-    )
-    return (
-        bulletins.select("bulletin_id", _parsed(F.col("text")).alias("lines"))
-        .withColumn("marks", F.filter(mark, lambda m: m.isNotNull()))
-        .withColumn("spans", _spans(F.col("lines"), F.col("marks")))
-        .select("bulletin_id", F.explode(F.flatten(F.transform("spans", place))).alias("row"))
-        .select("bulletin_id", "row.x.*", "row.carried", "row.before")
-        .withColumn("reason", reason)
+    def run(batches):
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if left is None else pa.concat_batches([left, batch])
+            column = {name: rows.column(name) for name in rows.schema.names}
+            at = np.arange(rows.num_rows)
+            tag, advance, is_header = (column[n].to_numpy(zero_copy_only=False) for n in ("bulletin", "advance", "is_header"))
+            header = np.maximum.accumulate(np.where(is_header, at, -1))
+            known = (header >= 0) & (tag[header] == tag)
+            counted = np.cumsum(advance, dtype=np.int64) - advance
+            before = np.where(known, counted - counted[header], 0).astype(np.int32)
+            found = {name: value for name, value in column.items() if name not in passed}
+            found["carried"] = column["own"].take(pa.array(header, mask=~known))
+            found["before"] = pa.array(before)
+            done = pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
+            yield done.slice(rows.num_rows - batch.num_rows)
+            left = None
+            if known[-1]:
+                field = rows.schema.get_field_index("advance")
+                total = pa.array([before[-1] + advance[-1]], pa.int32())
+                left = rows.slice(int(header[-1]), 1).set_column(field, rows.schema.field(field), total)
+
+    return run
+
+
+_PASSED = ("bulletin", "is_header", "advance", "own")
+
+
+def _carried(lines: DataFrame, columns: Sequence[str], header: Sequence[str]) -> DataFrame:
+    """Columns of parsed lines, some parts of the good header before them (``carried``, null
+    without one) and the number of values since it (``before``)."""
+    is_header = (F.col("kind") == "sequence") & F.col("whole")
+    rows = lines.select(
+        *columns, "bulletin", "advance", F.coalesce(is_header, F.lit(False)).alias("is_header"), F.struct(*header).alias("own")
     )
+    given = rows.schema
+    schema = StructType([f for f in given.fields if f.name not in _PASSED])
+    schema = schema.add("carried", given["own"].dataType).add("before", IntegerType())
+    return rows.mapInArrow(_hand_on(_PASSED), schema)
 
 
 def bulletin_values(bulletins: DataFrame) -> DataFrame:
-    """Values: station, parameter, valid time (UTC), value, creation time (UTC), crest flag."""
-    own = F.struct(*_HEADER)
+    """Values: station, parameter, valid time (UTC), value, creation time (UTC), crest flag.
+
+    Nothing is shuffled, ids may repeat, and a null or empty text gives no lines.
+    """
     continued = F.col("kind") == "continuation"
+    lines = _carried(_parsed(bulletins), ("bulletin_id", "pos", "kind", "framed", "good", *_HEADER), _HEADER)
     rows = (
-        bulletin_lines(bulletins)
-        .where(F.col("framed") & (~continued | F.col("carried").isNotNull()))
-        .withColumn("h", F.when(continued, F.col("carried")).otherwise(own))
+        lines.where(F.col("framed") & (~continued | F.col("carried").isNotNull()))
+        .withColumn("h", F.when(continued, F.col("carried")).otherwise(F.struct(*_HEADER)))
         .withColumn("first", F.when(continued, F.col("before")).otherwise(0))
         .withColumn("is_crest", F.col("kind") == "crest")
-        .select("bulletin_id", "pos", "h", "first", "is_crest", F.posexplode("good").alias("i", "token"))
+        .select("bulletin_id", "pos", "h", "first", "is_crest", F.posexplode("good").alias("i", "number"))
     )
     local = F.col("h.base") + F.make_dt_interval(
         hours=((F.col("first") + F.col("i")) * F.when(F.col("is_crest"), 0).otherwise(F.col("h.step"))).cast("int")
@@ -278,17 +222,32 @@ def bulletin_values(bulletins: DataFrame) -> DataFrame:
         F.col("pos").alias("line"),
         F.col("h.station").alias("station"),
         F.col("h.parameter").alias("parameter"),
-        local_to_utc(local, F.col("h.zone")).alias("valid_at"),
-        F.col("token.value").alias("value"),
-        F.when(~F.col("is_crest"), local_to_utc(F.col("h.created"), F.col("h.zone"))).alias("created_at"),
+        _utc(local, F.col("h.zone")).alias("valid_at"),
+        F.when(~F.isnan("number"), F.col("number")).alias("value"),
+        F.when(~F.col("is_crest"), _utc(F.col("h.created"), F.col("h.zone"))).alias("created_at"),
         "is_crest",
     )
 
 
+def _utc(local: Column, zone: Column) -> Column:
+    """``local_to_utc`` for the zones of bulletins, each looked up once instead of for every row."""
+    found = F.lit(None).cast("timestamp")
+    for name in ZONES.values():
+        found = F.when(zone == name, local_to_utc(local, F.lit(name))).otherwise(found)
+    return found
+
+
 def bulletin_errors(bulletins: DataFrame) -> DataFrame:
     """Lines that could not be read, whole or in part."""
+    lines = _carried(_parsed(bulletins), ("bulletin_id", "pos", "raw", "kind", "framed", "whole"), ("step",))
+    orphan = (F.col("kind") == "other") | ((F.col("kind") == "continuation") & F.col("carried").isNull())
+    reason = (
+        F.when(orphan, "unsupported construct")
+        .when(~F.col("framed"), "missing or unreadable date, zone, interval or forecast-stage parameter")
+        .when(~F.col("whole"), "unreadable value")
+    )
     return (
-        bulletin_lines(bulletins)
+        lines.withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
         .select("bulletin_id", F.col("pos").alias("line"), F.col("raw").alias("text"), "reason")
     )

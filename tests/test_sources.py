@@ -135,6 +135,26 @@ def test_bulletins_are_worked_out_inside_their_rows(spark):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 10_000])
+def test_bulletin_lines_are_rows_before_they_are_parsed(spark, size):
+    good = ".E AAAA1 20240628 Z /DH00/DIH1/HGIFF 1/M"
+    first = "\r\n".join([".E1 /9", good, ".E1 /2", "\t.E2 \t/+3.0\tx / -999.5 ", ".E BBBB1 2024 Z /DH00/DIH1/HGIFF 7", ".E3 /5", ".E4"])
+    rows = [(1, first), (1, ".E1 /8"), (1, first), (2, None), (2, f"{good}\x85.E1 /4")]
+    df = spark.createDataFrame(rows, "bulletin_id bigint, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        found = b.bulletin_values(df)
+        got = sorted((r.bulletin_id, r.line, r.valid_at.hour, r.value or -1.0) for r in found.collect())
+        errors = sorted((r.bulletin_id, r.line) for r in b.bulletin_errors(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mine = [(1, 1, 0, 1.0), (1, 1, 1, -1.0), (1, 2, 2, 2.0), (1, 3, 3, 3.0), (1, 3, 4, -999.5), (1, 5, 5, 5.0)]
+    assert got == sorted(mine + mine + [(2, 0, 0, 1.0), (2, 0, 1, -1.0), (2, 1, 2, 4.0)])
+    assert errors == [(1, 0), (1, 0), (1, 0), (1, 4), (1, 4), (1, 6), (1, 6)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
 def test_values_under_one_header_are_numbered_on(spark):
     lines = [".E AAAA1 20240101 Z /DH00/DIH1/HGIFF 0"]
     lines += [f".E{i} /{'/'.join(map(str, range(3 * i - 2, 3 * i + 1)))}" for i in range(1, 201)]
