@@ -13,6 +13,7 @@ A late reading of a compacted month is a batch folder beside the version until t
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,26 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return files.groupBy("parameter_code", "event_month").agg(F.sum("file_size").alias("bytes"))
 
 
+def spread_months(rows: DataFrame, sizes: DataFrame, file_size: int) -> DataFrame:
+    """Stored revisions dealt out so that a task holds what will be one file of one month.
+
+    ``sizes`` has the bytes of each parameter and month. They are collected, a row per month like
+    the pointer: joined as a query of unknown size, they would draw a month's rows into one task.
+    """
+    placed, first = [], 0
+    for r in sizes.orderBy("parameter_code", "event_month").collect():
+        files = max(1, -(-r.bytes // file_size))
+        placed.append((r.parameter_code, r.event_month, files, first))
+        first += files
+    # from Arrow it is a local table of known size, which Spark broadcasts; from a list of rows it is not
+    kinds = [("parameter_code", pa.string()), ("event_month", pa.string()), ("files", pa.int32()), ("first", pa.int32())]
+    table = pa.table([pa.array(v, t) for v, (_, t) in zip(zip(*placed), kinds)], pa.schema(kinds))
+    months = rows.sparkSession.createDataFrame(table)
+    file = F.pmod(F.xxhash64("gauge_id", "event_time"), F.col("files")).cast("int")
+    dealt = rows.join(months, ["parameter_code", "event_month"]).withColumn("file", F.col("first") + file)
+    return dealt.repartitionById(max(1, first), "file").drop("file", "files", "first")
+
+
 def compact(spark: SparkSession, root: str, open_months: int = 1, file_size: int = FILE_SIZE) -> int | None:
     """Write closed months and the marks anew; the new version, or None if there is nothing to do.
 
@@ -139,14 +160,10 @@ def compact(spark: SparkSession, root: str, open_months: int = 1, file_size: int
         sizes = _sizes(loose)
         if old:
             sizes = sizes.unionByName(_sizes(packed)).groupBy("parameter_code", "event_month").agg(F.sum("bytes").alias("bytes"))
-        rows = loose.select(*columns).unionByName(packed.select(*columns)).join(sizes, ["parameter_code", "event_month"])
-        files = F.ceil(F.col("bytes") / file_size).cast("int")
-        tasks = sizes.agg(F.sum(files).alias("n")).first().n
-        rows = rows.withColumn("file", F.pmod(F.xxhash64("gauge_id", "event_time"), files))
+        rows = loose.select(*columns).unionByName(packed.select(*columns))
         (
-            rows.repartition(tasks, "parameter_code", "event_month", "file")
+            spread_months(rows, sizes, file_size)
             .sortWithinPartitions("parameter_code", "event_month", "gauge_id", "event_time")
-            .drop("file", "bytes")
             .write.mode("overwrite")
             .partitionBy("parameter_code", "event_month")
             .parquet(f"{root}/compacted/v={version}")

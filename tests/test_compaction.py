@@ -4,6 +4,7 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from test_sources import revision
 
 from stagecast.schemas import REVISION
@@ -92,3 +93,15 @@ def test_next_batch_follows_the_compacted_ones(spark, root):
     sc.release(spark, root)
     si.ingest(spark.createDataFrame([revision(gauge="c", payload="n", at=datetime(2026, 3, 9))], REVISION), "direct", root)
     assert "batch_id=4" in folders(root, "2026-03")
+
+
+def test_a_month_is_not_drawn_into_one_task(spark):
+    readings = [revision(gauge="a", payload=str(i), at=datetime(2026, 1 + i % 2, 1, i % 24, i // 24)) for i in range(400)]
+    stored = spark.createDataFrame(readings, REVISION).selectExpr("*", "date_format(event_time, 'yyyy-MM') AS event_month")
+    sizes = stored.groupBy("parameter_code", "event_month").agg(F.lit(1000).cast("bigint").alias("bytes"))
+    dealt = sc.spread_months(stored, sizes, 300)
+    found = dealt.groupBy(F.spark_partition_id().alias("task"), "event_month").agg(F.count("*").alias("n")).collect()
+    # four files a month, each in a task of its own
+    assert len(found) == len({r.task for r in found}) == 8 and sum(r.n for r in found) == 400
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(parameter_code" not in plan
