@@ -33,19 +33,19 @@ def _deliveries(df: DataFrame, time: str) -> list[DataFrame]:
     return parts
 
 
-def _land(parts: list[DataFrame], path: str, files: int = 3) -> None:
-    """A few files per delivery; files are taken in by age."""
-    for part in parts:
-        part.repartition(files).write.mode("append").text(path)
+def _land(part: DataFrame, path: str) -> int:
+    """Write a delivery with all cores; the most files it can have."""
+    files = max(3, part.sparkSession.sparkContext.defaultParallelism)
+    part.repartition(files).write.mode("append").text(path)
+    return files
 
 
 def _ingested(spark: SparkSession, d: str) -> str:
-    """Land the encoded events, a delivery per batch, and take them in."""
-    landing, root = scratch(spark, "landing"), scratch(spark, "table")
-    parts = _deliveries(observations(spark, d), "ingested_at")
-    _land([messages(part).select("value") for part in parts], landing)
-    values = si.file_values(spark, landing, files_per_batch=3)
-    si.run_available(values, root, scratch(spark, "checkpoint"))
+    """Land the encoded events and take them in, a delivery per batch."""
+    landing, root, checkpoint = scratch(spark, "landing"), scratch(spark, "table"), scratch(spark, "checkpoint")
+    for part in _deliveries(observations(spark, d), "ingested_at"):
+        files = _land(messages(part).select("value"), landing)
+        si.run_available(si.file_values(spark, landing, files_per_batch=files), root, checkpoint)
     return root
 
 
@@ -132,13 +132,14 @@ def _direct(spark: SparkSession, d: str) -> list[DataFrame]:
 
 def _observed(spark: SparkSession, d: str, order: tuple[int, ...]) -> tuple[str, DataFrame]:
     """Take the deliveries of event readings in, in an order; the root and all readings."""
-    landing, root = scratch(spark, "readings"), scratch(spark, "events")
+    landing, root, checkpoint = scratch(spark, "readings"), scratch(spark, "events"), scratch(spark, "checkpoint")
     readings = event_readings(spark, d)
     parts = _deliveries(readings, "at")
     times = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
-    _land([parts[i].select(F.to_json(F.struct(*readings.columns), times).alias("value")) for i in order], landing)
-    values = se.reading_values(spark, landing, files_per_batch=3)
-    si.run_available(values, root, scratch(spark, "checkpoint"), se.observe_batch)
+    for i in order:
+        files = _land(parts[i].select(F.to_json(F.struct(*readings.columns), times).alias("value")), landing)
+        values = se.reading_values(spark, landing, files_per_batch=files)
+        si.run_available(values, root, checkpoint, se.observe_batch)
     return root, readings
 
 
