@@ -155,6 +155,24 @@ def test_bulletin_lines_are_rows_before_they_are_parsed(spark, size):
     assert "MapInArrow" in plan and "aggregate(" not in plan
 
 
+def test_header_parts_go_to_python_once_as_plain_columns(spark):
+    df = spark.range(2).selectExpr("id AS bulletin_id", "'.E1 /5' AS text")
+    plan = b.bulletin_values(df)._jdf.queryExecution().executedPlan().toString()
+    passed = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "own#" not in passed and passed.count("station#") == 2  # once in, once out
+    assert "struct(station" not in plan
+
+
+def test_even_data_are_cast_like_words(spark):
+    head = ".E AAAA1 20240628 Z /DC202406281446/DH15/DIH06/HGIFF "
+    values, errors = bulletin(spark, head + "1.5/+2/-.5/3e2", ".E1 /4 / 5.//6", ".E2 /1/1-2/3", ".E3 /7/M/8 x", ".E4 /1d/2", ".E5 /")
+    assert [(r.line, r.value) for r in values] == [
+        (0, 1.5), (0, 2.0), (0, -0.5), (0, 300.0), (1, 4.0), (1, 5.0), (1, 6.0), (2, 1.0), (3, 7.0), (3, None), (3, 8.0)
+    ]
+    assert [(r.line, r.reason) for r in errors] == [(2, "unreadable value"), (4, "unreadable value")]
+    assert {r.created_at for r in values} == {datetime(2024, 6, 28, 14, 46)}
+
+
 def test_values_under_one_header_are_numbered_on(spark):
     lines = [".E AAAA1 20240101 Z /DH00/DIH1/HGIFF 0"]
     lines += [f".E{i} /{'/'.join(map(str, range(3 * i - 2, 3 * i + 1)))}" for i in range(1, 201)]
