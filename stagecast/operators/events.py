@@ -62,9 +62,12 @@ def event_transitions(rows: DataFrame, width: int = 100_000) -> DataFrame:
     below closes it. Stale readings are reported and change nothing.
     """
     local, earlier = _islands(rows, width)
+    return _transitions(rows, local, earlier, _below_batches(local, earlier))
+
+
+def _transitions(rows: DataFrame, local: DataFrame, earlier: DataFrame, below: DataFrame) -> DataFrame:
     resolved = (
-        _below_batches(local, earlier)
-        .where((F.col("n") == BATCHES_TO_CLOSE) & (F.col("island") > 0))
+        below.where((F.col("n") == BATCHES_TO_CLOSE) & (F.col("island") > 0))
         .select("gauge_id", "island", F.col("first.seq").alias("seq"), F.col("first.at").alias("at"))
     )
     starts = (
@@ -93,12 +96,23 @@ def event_transitions(rows: DataFrame, width: int = 100_000) -> DataFrame:
 def event_state(rows: DataFrame, width: int = 100_000) -> DataFrame:
     """State after the last reading: ``open`` and the distinct batches below since the last crossing."""
     local, earlier = _islands(rows, width)
+    return _state(local, _below_batches(local, earlier))
+
+
+def transitions_and_state(rows: DataFrame, width: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both of the same readings, and the table of batches below that they share.
+
+    The table holds at most three rows per reading at or above the threshold. A caller that runs both
+    persists it, so that it is worked out once.
+    """
+    local, earlier = _islands(rows, width)
+    below = _below_batches(local, earlier)
+    return _transitions(rows, local, earlier, below), _state(local, below), below
+
+
+def _state(local: DataFrame, below: DataFrame) -> DataFrame:
     islands = local.groupBy("gauge_id").agg(F.count_if("above").alias("island"))
-    below = (
-        _below_batches(local, earlier)
-        .groupBy("gauge_id", "island")
-        .agg(F.array_sort(F.collect_list("batch_id")).alias("below_batches"))
-    )
+    below = below.groupBy("gauge_id", "island").agg(F.array_sort(F.collect_list("batch_id")).alias("below_batches"))
     return (
         islands.join(below, ["gauge_id", "island"], "left")
         .withColumn("below_batches", F.coalesce("below_batches", F.array().cast("array<string>")))

@@ -30,7 +30,12 @@ def read_table(spark: SparkSession, path: str, schema: str, required: bool = Fal
             raise
         if required:
             raise MissingTable(f"no table at {path}") from error
-        return spark.createDataFrame([], schema)
+        return _no_rows(spark, schema)
+
+
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table that Spark knows to be empty, so that a join with it shuffles nothing."""
+    return spark.createDataFrame([], schema).limit(0)
 
 
 def read_parts(spark: SparkSession, path: str, parts: Sequence[str], schema: str) -> DataFrame:
@@ -39,7 +44,7 @@ def read_parts(spark: SparkSession, path: str, parts: Sequence[str], schema: str
     store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
     there = [f"{path}/{p}" for p in parts if store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{p}"))]
     if not there:
-        return spark.createDataFrame([], schema)
+        return _no_rows(spark, schema)
     return spark.read.schema(schema).option("basePath", path).parquet(*there)
 
 

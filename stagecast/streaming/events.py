@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagecast.operators.events import event_state, event_transitions
+from stagecast.operators.events import event_state, event_transitions, transitions_and_state
 from stagecast.sources.tables import read_table
 
 READING = """
@@ -78,9 +78,10 @@ def observe_batch(readings: DataFrame, batch_id: int, root: str) -> None:
     is_late = F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
     timely = placed.where(~is_late).drop("last_seq")
     placed.where(is_late).drop("last_seq").write.mode("overwrite").parquet(f"{root}/late/late_in={batch_id}")
-    both = _replayed(state).unionByName(timely)
+    transitions, after, below = transitions_and_state(_replayed(state).unionByName(timely))
+    below.persist()  # for both outputs
     (
-        event_transitions(both)
+        transitions
         .join(last, "gauge_id", "left")
         .where(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq")))
         .drop("last_seq")
@@ -89,12 +90,13 @@ def observe_batch(readings: DataFrame, batch_id: int, root: str) -> None:
     )
     newest = timely.where(~F.col("stale")).groupBy("gauge_id").agg(F.max("seq").alias("last_seq"))
     kept = state.join(newest.select("gauge_id"), "gauge_id", "left_anti")
-    moved = event_state(both).join(newest, "gauge_id")
+    moved = after.join(newest, "gauge_id")
     (
         moved.unionByName(kept)
         .write.mode("overwrite")
         .parquet(f"{root}/state/batch_id={batch_id}")
     )
+    below.unpersist()
     placed.unpersist()
 
 

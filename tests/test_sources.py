@@ -10,6 +10,7 @@ from stagecast.operators import views
 from stagecast.operators.coverage import IncompleteArchiveError, require_complete
 from stagecast.operators.revisions import scan
 from stagecast.schemas import REVISION
+from stagecast.operators.events import event_state, event_transitions, transitions_and_state
 from stagecast.sources import bulletins as b
 from stagecast.sources import envelopes as v
 from stagecast.sources import payloads as p
@@ -299,6 +300,30 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert si.high_water_table(spark, root).count() == 2
 
 
+def test_a_join_with_a_table_not_there_yet_shuffles_nothing(spark, tmp_path):
+    readings = spark.range(3).selectExpr("CAST(id AS string) AS gauge_id", "id AS seq")
+    last = se.state_table(spark, str(tmp_path), -1).select("gauge_id", "last_seq")
+    placed = readings.join(last, "gauge_id", "left")
+    assert [r.last_seq for r in placed.collect()] == [None] * 3
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transitions_and_state_share_the_batches_below(spark):
+    stages = [2.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0]
+    rows = spark.createDataFrame(
+        [(g, i, AT, f"b{i}", v, 1.0, False) for g in ("a", "b") for i, v in enumerate(stages)], se.READING
+    )
+    transitions, state, below = transitions_and_state(rows, width=2)
+    below.persist()
+    try:
+        for found, want in ((transitions, event_transitions(rows, width=2)), (state, event_state(rows, width=2))):
+            assert "InMemoryTableScan" in found.select("*")._jdf.queryExecution().executedPlan().toString()
+            assert sorted(found.collect()) == sorted(want.collect())
+    finally:
+        below.unpersist()
+    assert sorted((r.gauge_id, r.open, len(r.below_batches)) for r in state.collect()) == [("a", True, 2), ("b", True, 2)]
+
+
 def test_event_state_is_carried_between_batches(spark, tmp_path):
     root = str(tmp_path)
 
